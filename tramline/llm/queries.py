@@ -6,18 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, decontaminate, toxicity
+from tramline.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
 from tramline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, toxicity.grades_of(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -31,5 +40,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op6_toxicity, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op6_toxicity, op7_line_dedup, op9_decontamination, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
