@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, decontaminate, fingerprint, line_dedup, ngram_join, toxicity, url_filter
-from tramline.llm.common import table
+from tramline.llm import bpe, chat, decontaminate, fingerprint, licenses, line_dedup, ngram_join, substring_dedup, toxicity, url_filter
+from tramline.llm.common import cut, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -51,6 +51,19 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.n = 1
 """.format(rules=", ".join(map(str, URL_RULES)))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], told.schema)
+    nodes = cut(chat.reply_chains(told.union(extra)))
+    formatted = chat.format_branches(nodes, chat.branches(nodes))
+    return chat.digests(formatted).withColumnRenamed("tree", "conv_id")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, toxicity.grades_of(table(spark, sf_dir, "labels")))
@@ -62,6 +75,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -75,5 +92,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_ngram_jaccard, op3_url_filter, op6_toxicity, op7_line_dedup, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_ngram_jaccard, op3_url_filter, op4_license_scan, op5_chat_format, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_decontamination, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL}
