@@ -61,8 +61,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     byte for byte, empty ones too. A text of which all lines go is empty. A null text
     stays null and counts as one empty line. Rows of one id with one text are one document
     and get the same result; with several texts they come in the order of a text hash. Rows
-    with a null id are kept as they are. Other columns pass through.
+    with a null id are kept as they are. Other columns pass through; those named like a result are replaced.
     """
+    docs = docs.drop("n_lines", "n_removed", "longest_run")
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     levels = suffix_levels(docs, id_col, text_col)
@@ -73,10 +74,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         later = later.union(level.where("later").where(F.col("size") >= min_lines).select("_id", "_h", "pos", "size"))
     # All runs of more lines are covered by those of min_lines.
     found = later.groupBy("_id", "_h").agg(
-        F.collect_set(F.when(F.col("size") == min_lines, F.col("pos"))).alias("starts"), F.max("size").alias("run"))
+        F.collect_set(F.when(F.col("size") == min_lines, F.col("pos"))).alias("_starts"), F.max("size").alias("_run"))
     joined = rows.join(found.withColumnRenamed("_id", id_col), [id_col, "_h"], "left")
     out = joined.select(
-        *docs.columns, "starts", F.coalesce("run", F.lit(0)).cast("int").alias("longest_run"),
+        *docs.columns, "_starts", F.coalesce("_run", F.lit(0)).cast("int").alias("longest_run"),
         F.size(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("n_lines"),
     )
 
@@ -84,7 +85,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             names = batch.schema.names
             texts, removed = [], []
-            for text, starts in zip(batch.column(names.index(text_col)), batch.column(names.index("starts"))):
+            for text, starts in zip(batch.column(names.index(text_col)), batch.column(names.index("_starts"))):
                 text, starts = text.as_py(), starts.as_py()
                 if not starts or text is None:
                     texts.append(text)
@@ -94,8 +95,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kept = [line for k, line in enumerate(text.split("\n")) if k not in gone]
                 texts.append("\n".join(kept))
                 removed.append(len(gone))
-            columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(k) for k, n in enumerate(names) if n != "starts"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], [*(n for n in names if n != "starts"), "n_removed"])
+            columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(k) for k, n in enumerate(names) if n != "_starts"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], [*(n for n in names if n != "_starts"), "n_removed"])
 
     fields = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema)
     return out.mapInArrow(edit, f"{fields}, longest_run int, n_lines int, n_removed int")
