@@ -317,7 +317,7 @@ add("ml15_report", lambda s, d: rounded(learning.report(fixtures.predictions(s,
     union all select 'weighted avg', round(sum(precision*support)/sum(support),4), round(sum(recall*support)/sum(support),4), round(sum(f1*support)/sum(support),4), cast(sum(support) as bigint) from rep
     union all select 'accuracy', round(avg(h),4), round(avg(h),4), round(avg(h),4), count(*) from (select cast(true_label = pred_label as int) as h from pred)""", "rep")
 add("ml16_confusion", lambda s, d: learning.confusion(fixtures.predictions(s, d)), "select true_label, pred_label, count(*) as n from pred group by 1, 2", "pred")
-add("ml17_point_predictions", lambda s, d: located(s, d).select("segment_id", "seq", r("lat").alias("lat"), "true_label", "pred_label", r("confidence").alias("confidence")), f"select segment_id, seq, round(lat,4) as lat, true_label, pred_label, round(confidence,4) as confidence from {LOC}", "seg", "pred")
+add("ml17_point_predictions", lambda s, d: located(s, d).select("segment_id", "seq", "lat", "true_label", "pred_label", r("confidence").alias("confidence")), f"select segment_id, seq, lat, true_label, pred_label, round(confidence,4) as confidence from {LOC}", "seg", "pred")
 add("dsh29_report_maps", lambda s, d: dashboards.reshape_report(rounded(learning.report(fixtures.predictions(s, d)))).select(F.element_at("f1", "Walk").alias("walk_f1"), F.size("recall").cast("long").alias("labels")),
     "select max(case when label = 'Walk' then round(f1,4) end) as walk_f1, count(*) as labels from rep", "rep")
 add("dsh31_summary", lambda s, d: rounded(learning.report(fixtures.predictions(s, d)).where(F.col("label").isin("macro avg", "weighted avg")).select("label", "f1", "support")),
