@@ -24,7 +24,7 @@ MAX_TRAINING_ROWS = 6000
 #: Features that fewer labelled texts have, or fewer than this share of them, are left out,
 MIN_TEXTS, MIN_SHARE = 3, 0.001
 #: and so are those of more than this share of the texts: they only slow the fit.
-MAX_SHARE = 0.1
+MAX_SHARE = 0.5
 PENALTY = 0.0001
 STEPS = 300
 
