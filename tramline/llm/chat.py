@@ -67,7 +67,8 @@ def branches(nodes: DataFrame, tree: str = "tree_id", node: str = "node_id", par
     parents = rows.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     paths = rows.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("above"))
     for k in reversed(range(len(up))):
-        paths = paths.union(paths.join(up[k], ["tree", "node"]).select("tree", "leaf", F.col("parent").alias("node"), F.col("above") + (1 << k)))
+        # Both halves read the paths so far; without the cut the plan would double in each round.
+        paths = cut(paths.union(paths.join(up[k], ["tree", "node"]).select("tree", "leaf", F.col("parent").alias("node"), F.col("above") + (1 << k))))
     paths = paths.join(rows, ["tree", "node"])
     whole = paths.groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score"), F.max("above").alias("length"), F.max(F.col("parent").isNull()).alias("rooted")).where("rooted")
     order = Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")
