@@ -76,11 +76,51 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def focal_loss(p_true: Column, n_classes: int, gamma: float = 2.0, smoothing: float = 0.1, p_rest_log_sum: Column | None = None) -> Column:
-    """Label-smoothed focal loss of a row: p_true is the probability of its class, p_rest_log_sum the sum of the other classes' log probabilities."""
-    rest = smoothing / (n_classes - 1)
-    smooth = -(1 - smoothing) * F.log(p_true) - (rest * p_rest_log_sum if p_rest_log_sum is not None else F.lit(0.0))
-    return F.pow(1 - p_true, F.lit(gamma)) * smooth
+def focal_loss(probabilities: Column, truth: Column, n_classes: int, gamma: float = 2.0, smoothing: float = 0.1, weights: Column | None = None) -> Column:
+    """Label-smoothed focal loss of a row: an array of probabilities, the number of the true class, weights by class if given."""
+    def term(p: Column, k: Column) -> Column:
+        target = F.when(k == truth, 1 - smoothing + smoothing / n_classes).otherwise(smoothing / n_classes)
+        loss = -F.pow(1 - p, F.lit(gamma)) * target * F.log(p + 1e-8)
+        return loss if weights is None else loss * F.get(weights, k)
+
+    return F.aggregate(F.transform(probabilities, term), F.lit(0.0), lambda a, x: a + x)
+
+
+def weighted_cross_entropy(probabilities: Column, truth: Column, weights: Column) -> Column:
+    """Of a row; the mean over rows is the sum of these by the sum of the true classes' weights."""
+    return -F.get(weights, truth) * F.log(F.get(probabilities, truth) + 1e-8)
+
+
+def augment(points: DataFrame, kind: str, keys: list[str], order: str = "step", seed: int = 42) -> DataFrame:
+    """A changed copy of each segment: scale (speed and acceleration by 0.85 to 1.15), noise (0.05 on motion), flip (backwards).
+
+    What is random comes from a hash of the segment, the row and the seed, so a lost task
+    gives the same values again.
+    """
+    unit = lambda *salt: (F.pmod(F.xxhash64(*keys, *map(F.lit, salt), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    if kind == "scale":
+        factor = 0.85 + 0.3 * unit("scale")
+        return points.withColumns({c: F.col(c) * factor for c in ("speed", "acceleration")})
+    if kind == "noise":
+        def normal(c: str) -> Column:
+            spot = lambda part: (F.pmod(F.xxhash64(*keys, F.col(order), F.lit(c), F.lit(part), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+            return F.sqrt(-2 * F.log(spot(1))) * F.cos(6.283185307179586 * spot(2))
+
+        return points.withColumns({c: F.col(c) + 0.05 * normal(c) for c in ("speed", "acceleration", "bearing_change", "distance", "time_diff")})
+    if kind == "flip":
+        last = F.max(order).over(Window.partitionBy(*keys)) + F.min(order).over(Window.partitionBy(*keys))
+        return points.withColumn(order, last - F.col(order))
+    raise ValueError(kind)
+
+
+def oversample(segments: DataFrame, key: str, label: str = "label", ratio: float = 0.3) -> DataFrame:
+    """Rows (key, label, copy): copies 1, 2, ... of segments of rare labels, so that with the originals each label has ``ratio`` of the largest."""
+    counts = segments.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = counts.withColumn("_need", F.floor(F.max("_n").over(Window.partitionBy(F.lit(0))) * ratio) - F.col("_n")).where("_need > 0")
+    # The labels in need are rare, so their rows can be numbered label by label.
+    numbered = segments.select(key, label).join(wanted, label).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1)
+    copies = F.floor(F.col("_need") / F.col("_n")) + F.when(F.col("_r") < F.col("_need") % F.col("_n"), 1).otherwise(0)
+    return numbered.withColumn("_copies", copies).where("_copies > 0").select(key, label, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
 
 
 def confusion(predictions: DataFrame, truth: str = "true_label", guess: str = "pred_label") -> DataFrame:

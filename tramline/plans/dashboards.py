@@ -48,7 +48,7 @@ def pivoted_confusion(predictions: DataFrame, labels: tuple[str, ...] = schemas.
 
 def carbon(predictions: DataFrame, km: float = 2.0, per_km: float = 0.08, per_tree: float = 18.0) -> DataFrame:
     """Carbon that rightly recognised green segments save, and what trees that makes."""
-    right = predictions.agg(F.count(F.when((F.col("true_label") == F.col("pred_label")) & green(F.col("true_label")), 1)).alias("n_green"))
+    right = predictions.agg(F.count(F.when((F.col("true_label") == F.col("pred_label")) & green(F.col("true_label"), True), 1)).alias("n_green"))
     return right.select("n_green", (F.col("n_green") * km * per_km).alias("carbon_kg"), (F.col("n_green") * km * per_km / per_tree).alias("trees"))
 
 
@@ -89,7 +89,7 @@ def trip_carbon(history: DataFrame, car: float = 0.24, per_kg: float = 0.05) ->
     """Carbon and trees of each trip: against a car, for green modes only, never below 0."""
     from tramline.functions.scalar import mapped
 
-    factor = mapped(F.col("mode"), {"Walk": 0.0, "Bike": 0.0, "Bus": 0.08, "Subway": 0.05}, F.lit(car))
+    factor = mapped(F.col("mode"), {"Walk": 0.0, "Bike": 0.0, "Bus": 0.06, "Subway": 0.04}, F.lit(car))
     saved = F.greatest(F.lit(0.0), (car - factor) * F.col("distance") / 1000.0)
     kg = F.when(green(F.col("mode"), True), saved).otherwise(0.0)
     return history.select("trajectory_id", "mode", kg.alias("carbon_kg"), (kg * per_kg).alias("trees"))
@@ -111,3 +111,33 @@ def reshape_report(reports: DataFrame) -> DataFrame:
     rows = reports.where(~F.col("label").isin("accuracy", "macro avg", "weighted avg"))
     made = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", F.coalesce(c, F.lit(0.0)))))).alias(c)
     return rows.agg(made("precision"), made("recall"), made("f1"))
+
+
+def experiment_trend(reports: DataFrame) -> DataFrame:
+    """experiment, accuracy, macro_f1 of rows (experiment, label, f1)."""
+    pick = lambda name: F.max(F.when(F.col("label") == name, F.col("f1")))
+    return reports.groupBy("experiment").agg(pick("accuracy").alias("accuracy"), pick("macro avg").alias("macro_f1"))
+
+
+def gain_shares(trend: DataFrame) -> DataFrame:
+    """What share of the whole gain of macro F1 each experiment adds to the one before; null where there is no gain."""
+    w = Window.partitionBy(F.lit(0)).orderBy("experiment")
+    gains = trend.withColumn("gain", F.col("macro_f1") - F.lag("macro_f1").over(w)).where("gain is not null")
+    total = F.sum("gain").over(Window.partitionBy(F.lit(0)))
+    return gains.select("experiment", "gain", F.when(total > 0, F.col("gain") / total).alias("share"))
+
+
+def recall_series(reports: DataFrame, labels: tuple[str, ...] = ("Bike", "Bus")) -> DataFrame:
+    return reports.where(F.col("label").isin(*labels)).select("experiment", "label", "recall")
+
+
+def ramp(ratio):
+    """Red, green, blue of a green ratio."""
+    return F.struct(F.floor(255 * (1 - ratio)).alias("red"), F.floor(255 * ratio + 100 * (1 - ratio)).alias("green"), F.floor(50 * (1 - ratio)).alias("blue"))
+
+
+def map_scale(regions: DataFrame, value: str = "ratio", at: float = 0.8) -> DataFrame:
+    """The value at floor(at * n) of the sorted positive ones. Regions are few."""
+    w = Window.partitionBy(F.lit(0))
+    ranked = regions.where(F.col(value) > 0).select(F.row_number().over(w.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"), F.col(value).alias("scale"))
+    return ranked.where(F.col("_r") == F.floor(F.col("_n") * at) + 1).select("scale")

@@ -264,7 +264,7 @@ add("dsh4_mode_by_road", lambda s, d: dashboards.shares(located(s, d).join(spati
     f"select road_class, {_SHARES} from {LOC} l join roadf f on l.seq = f.seq group by 1", "seg", "pred", "roadf")
 add("dsh5_predicted_shares", lambda s, d: dashboards.distribution(fixtures.predictions(s, d), "pred_label"), "select pred_label, count(*) as n, round(count(*)*100.0/sum(count(*)) over (),2) as percent from pred group by 1", "pred")
 add("dsh7_top_errors", lambda s, d: dashboards.top_errors(fixtures.predictions(s, d)), "select true_label, count(*) as n_errors from pred where true_label <> pred_label group by 1 order by 2 desc, 1 limit 5", "pred")
-add("dsh11_carbon", lambda s, d: rounded(dashboards.carbon(fixtures.predictions(s, d))), "select n as n_green, round(n*2*0.08::double,4) as carbon_kg, round(n*2*0.08::double/18,4) as trees from (select count(*) filter (true_label = pred_label and true_label in ('Walk','Bike')) as n from pred)", "pred")
+add("dsh11_carbon", lambda s, d: rounded(dashboards.carbon(fixtures.predictions(s, d))), "select n as n_green, round(n*2*0.08::double,4) as carbon_kg, round(n*2*0.08::double/18,4) as trees from (select count(*) filter (true_label = pred_label and true_label in ('Walk','Bike','Bus','Subway')) as n from pred)", "pred")
 add("dsh12_green_summary", lambda s, d: rounded(dashboards.green_summary(fixtures.predictions(s, d))), "select count(*) as n, cast(sum(cast(g as int)) as bigint) as n_green, round(avg(cast(g as int)),4) as green_share, round(avg(confidence),4) as mean_confidence from (select *, pred_label in ('Walk','Bike','Bus','Subway') as g from pred)", "pred")
 add("dsh14_dataset_stats", lambda s, d: rounded(dashboards.dataset_stats(fixtures.predictions(s, d))), "select count(*) as segments, count(distinct user_id) as users, count(distinct true_label) as modes, round(avg(length),4) as mean_length from pred", "pred")
 add("dsh15_mode_distribution", lambda s, d: dashboards.distribution(fixtures.predictions(s, d), "true_label"), "select true_label, count(*) as n, round(count(*)*100.0/sum(count(*)) over (),2) as percent from pred group by 1", "pred")
@@ -279,7 +279,7 @@ add("dsh21_dsh22_profile", lambda s, d: rounded(dashboards.user_profile(history(
       round(sum(round(case mode when 'Walk' then 0.15 when 'Bike' then 0.10 when 'Bus' then 0.05 when 'Subway' then 0.05 else 0 end::double*distance/1000.0,6)),4) as carbon_kg from {HISTORY_SQL} group by 1""", "pred")
 add("dsh23_trip_carbon", lambda s, d: rounded(dashboards.trip_carbon(history(s, d))),
     f"""select trajectory_id, mode, round(kg,4) as carbon_kg, round(kg*0.05::double,4) as trees from (select trajectory_id, mode,
-      case when mode in ('Walk','Bike','Bus','Subway') then greatest(0.0::double, (0.24::double - case mode when 'Walk' then 0.0 when 'Bike' then 0.0 when 'Bus' then 0.08 when 'Subway' then 0.05 else 0.24 end::double)*distance::double/1000) else 0.0::double end as kg from {HISTORY_SQL})""", "pred")
+      case when mode in ('Walk','Bike','Bus','Subway') then greatest(0.0::double, (0.24::double - case mode when 'Walk' then 0.0 when 'Bike' then 0.0 when 'Bus' then 0.06 when 'Subway' then 0.04 else 0.24 end::double)*distance::double/1000) else 0.0::double end as kg from {HISTORY_SQL})""", "pred")
 add("dsh24_confusion_pivot", lambda s, d: dashboards.pivoted_confusion(fixtures.predictions(s, d)), "select true_label, " + ", ".join(f"count(*) filter (pred_label = '{v}') as \"{v}\"" for v in schemas.MODES) + " from pred group by 1", "pred")
 add("dsh25_five_numbers", lambda s, d: rounded(dashboards.five_numbers(fixtures.predictions(s, d))),
     "select pred_label, " + ", ".join(f"round(quantile_cont(confidence, {p}),4) as {n}" for n, p in (("minimum", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("maximum", 1.0))) + " from pred group by 1", "pred")
@@ -309,8 +309,10 @@ for _m, _e in (("inverse", "tot/(c*n)"), ("sqrt_inverse", "sqrt(tot/(c*n))"), ("
 add("ml7_rules", lambda s, d: fixtures.predictions(s, d).select("segment_id", "pred_label"), "select segment_id, pred_label from pred", "pred")
 add("ml13_softmax", lambda s, d: fixtures.segment_stats(s, d).select("segment_id", F.array("speed_mean", "accel_mean", F.lit(1.0)).alias("z")).select("segment_id", learning.argmax(F.col("z")).alias("best"), F.round(F.array_max(learning.softmax(F.col("z"))), 4).alias("confidence")),
     "select segment_id, cast(case when a >= b and a >= 1 then 0 when b >= 1 then 1 else 2 end as int) as best, round(1.0/(exp(a-m)+exp(b-m)+exp(1-m)),4) as confidence from (select segment_id, speed_mean as a, accel_mean as b, greatest(speed_mean, accel_mean, 1.0) as m from stats)", "stats")
-add("ml11_focal_loss", lambda s, d: fixtures.predictions(s, d).select("segment_id", r(learning.focal_loss(F.col("confidence"), 2, p_rest_log_sum=F.log(1 - F.col("confidence") + 1e-9))).alias("loss")),
-    "select segment_id, round(pow(1-confidence,2)*(-0.9*ln(confidence)-0.1*ln(1-confidence+1e-9)),4) as loss from pred", "pred")
+add("ml11_focal_loss", lambda s, d: fixtures.predictions(s, d).select("segment_id", r(learning.focal_loss(F.array(F.col("confidence"), 1 - F.col("confidence")), F.lit(0), 2)).alias("loss")),
+    "select segment_id, round(-pow(1-confidence,2)*0.95*ln(confidence+1e-8) - pow(confidence,2)*0.05*ln(1-confidence+1e-8),4) as loss from pred", "pred")
+add("ml11_cross_entropy", lambda s, d: fixtures.predictions(s, d).select("segment_id", r(learning.weighted_cross_entropy(F.array(F.col("confidence"), 1 - F.col("confidence")), F.lit(0), F.array(F.lit(2.0), F.lit(1.0)))).alias("loss")),
+    "select segment_id, round(-2.0*ln(confidence+1e-8),4) as loss from pred", "pred")
 add("ml15_report", lambda s, d: rounded(learning.report(fixtures.predictions(s, d))),
     """select label, round(precision,4) as precision, round(recall,4) as recall, round(f1,4) as f1, support from rep
     union all select 'macro avg', round(avg(precision),4), round(avg(recall),4), round(avg(f1),4), cast(sum(support) as bigint) from rep
@@ -322,3 +324,73 @@ add("dsh29_report_maps", lambda s, d: dashboards.reshape_report(rounded(learning
     "select max(case when label = 'Walk' then round(f1,4) end) as walk_f1, count(*) as labels from rep", "rep")
 add("dsh31_summary", lambda s, d: rounded(learning.report(fixtures.predictions(s, d)).where(F.col("label").isin("macro avg", "weighted avg")).select("label", "f1", "support")),
     "select 'macro avg' as label, round(avg(f1),4) as f1, cast(sum(support) as bigint) as support from rep union all select 'weighted avg', round(sum(f1*support)/sum(support),4), cast(sum(support) as bigint) from rep", "rep")
+
+
+# --- more projections, checks and dashboards
+DISPLAY = {"Walk": "步行", "Bike": "骑行", "Bus": "公交", "Subway": "地铁", "Train": "火车", "Car & taxi": "小汽车"}  # fixed values
+add("prj4_display_name", lambda s, d: fixtures.predictions(s, d).select("segment_id", scalar.mapped(F.col("pred_label"), DISPLAY, F.col("pred_label")).alias("name")),
+    "select segment_id, case pred_label " + " ".join(f"when '{k}' then '{v}'" for k, v in DISPLAY.items()) + " else pred_label end as name from pred", "pred")
+_NINE = ("lat", "lon", "speed", "acceleration", "bearing_change", "distance", "time_diff", "total_distance", "total_time")
+add("prj10_point_features", lambda s, d: rounded(fixtures.features(s, d).select("seq", *_NINE), 3).join(vectors(s, d), "seq"),
+    "select k.seq, " + ", ".join(f"round(k.{c},3) as {c}" for c in _NINE) + f", v.* exclude (seq) from kin k join ({VECTOR_SQL}) v on k.seq = v.seq", "kin", "roadf", "poif", "dens")
+add("cln5_time_gaps", lambda s, d: cleaning.fill_gaps(fixtures.points(s, d), ["track_id"], step=10.0, longest=5.0).select("track_id", "seq", "lat", "lon", "filled"), "select track_id, seq, lat, lon, false as filled from pts", "pts")
+add("geo23_green_colour", lambda s, d: spatial.grid_green(located(s, d), scalar.green(F.col("pred_label"))).select("cell_y", "cell_x", dashboards.ramp(F.col("green_ratio")).alias("c")).select("cell_y", "cell_x", "c.*"),
+    f"""select cell_y, cell_x, cast(floor(255*(1-g)) as bigint) as red, cast(floor(255*g+100*(1-g)) as bigint) as green, cast(floor(50*(1-g)) as bigint) as blue from (
+      select cast(floor((lat-39.7)/0.005) as bigint) as cell_y, cast(floor((lon-116.1)/0.005) as bigint) as cell_x, sum(cast({GREEN} as int))/cast(count(*) as double) as g from {LOC} group by 1, 2)""", "seg", "pred")
+add("geo25_map_scale", lambda s, d: rounded(dashboards.map_scale(regions(s, d))), f"select round(ratio,4) as scale from (select ratio, row_number() over (order by ratio) as n, count(*) over () as c from {REGION} where ratio > 0) where n = floor(c*0.8)+1", "seg", "pred")
+
+
+def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Straight pieces between road nodes of one group of ten."""
+    nodes = fixtures.roads(spark, sf_dir)
+    w = Window.partitionBy(F.floor(F.col("node_id") / 10)).orderBy("node_id")
+    ahead = nodes.select(F.col("node_id").alias("road_id"), "road_type", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"))
+    # Pieces of at most 2 km, as roads have them.
+    return ahead.where("lat2 is not null").where((F.abs(F.col("lat1") - F.col("lat2")) < 0.02) & (F.abs(F.col("lon1") - F.col("lon2")) < 0.02))
+
+
+add("geo19_nearest_line", lambda s, d: spatial.nearest_segment(fixtures.points(s, d), road_lines(s, d), "seq", 300.0, 1).select("seq", "road_id", r("distance", 3).alias("distance")),
+    """, ln as (select * from (select node_id as road_id, lat as lat1, lon as lon1, lead(lat) over w as lat2, lead(lon) over w as lon2 from rds window w as (partition by node_id // 10 order by node_id)) where abs(lat1-lat2) < 0.02 and abs(lon1-lon2) < 0.02),
+    a as (select p.seq, l.road_id, p.lat, p.lon, lat1, lon1, lat2-lat1 as dy, lon2-lon1 as dx, greatest(0.0, least(1.0, coalesce(((p.lat-lat1)*(lat2-lat1)+(p.lon-lon1)*(lon2-lon1))/nullif((lat2-lat1)*(lat2-lat1)+(lon2-lon1)*(lon2-lon1),0),0.0))) as f
+      from pts p join ln l on p.lat between least(lat1,lat2)-0.003 and greatest(lat1,lat2)+0.003 and p.lon between least(lon1,lon2)-0.003 and greatest(lon1,lon2)+0.003),
+    b as (select seq, road_id, sqrt(pow(lat-(lat1+f*dy),2)+pow(lon-(lon1+f*dx),2))*111300 as d from a)
+    select seq, road_id, round(d,3) as distance from (select *, row_number() over (partition by seq order by d, road_id) as n from b where d <= 300) where n = 1""", "pts", "rds")
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of two classifiers: rules without and with spatial features."""
+    p = fixtures.predictions(spark, sf_dir)
+    plain = p.withColumn("pred_label", F.when(F.col("pred_label") == "Subway", "Car & taxi").otherwise(F.col("pred_label")))
+    return learning.report(plain).withColumn("experiment", F.lit("exp1")).union(learning.report(p).withColumn("experiment", F.lit("exp2")))
+
+
+def _report_sql(guess: str) -> str:
+    """Per-label rows of a report over pred with another guess."""
+    return f"""(select label, coalesce(hits/nullif(cast(support as double),0),0.0) as recall, coalesce(2.0*hits/nullif(guesses+support,0),0.0) as f1 from (
+      select l.label, (select count(*) from pred where true_label = l.label) as support, (select count(*) from pred where {guess} = l.label) as guesses, (select count(*) from pred where true_label = l.label and {guess} = l.label) as hits
+      from (select true_label as label from pred union select {guess} from pred) l))"""
+
+
+_PLAIN = "case when pred_label = 'Subway' then 'Car & taxi' else pred_label end"
+_TREND = " union all ".join(f"select '{e}' as experiment, (select avg(cast(true_label = {g} as int)) from pred) as accuracy, (select avg(f1) from {_report_sql(g)} z) as macro_f1" for e, g in (("exp1", _PLAIN), ("exp2", "pred_label")))
+add("dsh6_experiment_trend", lambda s, d: rounded(dashboards.experiment_trend(reports(s, d))), f"select experiment, round(accuracy,4) as accuracy, round(macro_f1,4) as macro_f1 from ({_TREND})", "pred")
+add("dsh8_gain_shares", lambda s, d: rounded(dashboards.gain_shares(dashboards.experiment_trend(reports(s, d)))),
+    f"select 'exp2' as experiment, round(b-a,4) as gain, case when b > a then 1.0::double end as share from (select max(case when experiment = 'exp1' then macro_f1 end) as a, max(case when experiment = 'exp2' then macro_f1 end) as b from ({_TREND}))", "pred")
+add("dsh9_top_three", lambda s, d: dashboards.top_errors(fixtures.predictions(s, d), 3), "select true_label, count(*) as n_errors from pred where true_label <> pred_label group by 1 order by 2 desc, 1 limit 3", "pred")
+add("dsh10_recall_series", lambda s, d: rounded(dashboards.recall_series(reports(s, d))),
+    " union all ".join(f"select '{e}' as experiment, label, round(recall,4) as recall from {_report_sql(g)} z where label in ('Bike','Bus')" for e, g in (("exp1", _PLAIN), ("exp2", "pred_label"))), "pred")
+add("dsh32_total", lambda s, d: dashboards.distribution(fixtures.predictions(s, d), "pred_label").agg(F.sum("n").alias("total")), "select count(*) as total from pred", "pred")
+add("ml5_scaled_copies", lambda s, d: learning.augment(fixtures.segment_points(s, d), "scale", KEYS).select("segment_id", "seq", "speed", "acceleration"))
+add("ml5_flipped_copies", lambda s, d: learning.augment(fixtures.segment_points(s, d).select("segment_id", "seq", "step"), "flip", KEYS), "select segment_id, seq, max(step) over (partition by segment_id) + min(step) over (partition by segment_id) - step as step from seg", "seg")
+add("ml6_oversample", lambda s, d: learning.oversample(fixtures.predictions(s, d), "segment_id", "pred_label", 0.5).groupBy("pred_label").agg(F.count(F.lit(1)).alias("copies")),
+    "select pred_label, cast(floor(top*0.5) as bigint)-n as copies from (select pred_label, count(*) as n, max(count(*)) over () as top from pred group by 1) where floor(top*0.5) > n", "pred")
+
+
+def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows of a forest trained on the statistics of the training segments."""
+    rows = learning.split(fixtures.segment_stats(spark, sf_dir).where(F.col("label").isin(*schemas.MODES)), "segment_id")
+    model = learning.train_classifier(rows.where("split = 'train'"), depth=5, trees=10)
+    return model.transform(rows.where("split = 'test'")).select("segment_id", F.col("label").alias("true_label"), "pred_label")
+
+
+add("ml12_ml14_trained", trained)
