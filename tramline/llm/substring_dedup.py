@@ -40,26 +40,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of other characters than space, tab, newline, vertical tab, form feed and carriage return."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
-class Words:
-    """Words as 64-bit hashes."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def words_of(text: bytes | None) -> list[bytes]:
+    """Runs of other characters than space, tab, newline, vertical tab, form feed and carriage return, in UTF-8."""
+    return (text or b"").split()
 
 
 class Runs:
@@ -74,12 +57,32 @@ class Runs:
             size = max(2 * n, 1 << 15)
             Runs.powers = np.cumprod(np.array([1] + [_BASE] * (size - 1), np.uint64), dtype=np.uint64)
             Runs.inverse = np.cumprod(np.array([1] + [_UNBASE] * (size - 1), np.uint64), dtype=np.uint64)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(ids) * Runs.powers[: n - 1], dtype=np.uint64)))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * Runs.powers[: n - 1], dtype=np.uint64)))
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * Runs.inverse[start])
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
+def hashes_of(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, all at once."""
+    raw = np.frombuffer(text or b"", np.uint8)
+    edge = np.diff(np.concatenate(([0], (~_SPACE[raw]).view(np.int8), [0])))
+    return Runs(_BYTE[raw]).hashes(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+
+
+def _sliding(x: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
+    """np.minimum or np.maximum of each ``size`` neighbours, by doubling."""
+    width = 1
+    while 2 * width <= size:
+        x, width = best(x[: len(x) - width], x[width:]), 2 * width
+    rest = size - width
+    return best(x[: len(x) - rest], x[rest:]) if rest else x
+
+
 def anchors_of(ids: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions, hashes and context hashes of the anchors of all windows."""
     n = len(ids)
@@ -88,8 +91,11 @@ def anchors_of(ids: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, n
     runs = Runs(ids)
     at = np.arange(n - anchor + 1)
     grams = runs.hashes(at, at + anchor)
-    sliding = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1)
-    pos = np.unique(sliding.argmin(axis=1) + np.arange(len(sliding)))
+    size = window - anchor + 1
+    least = _sliding(grams, size, np.minimum)
+    # A run is an anchor if it is the least of a window that it lies in; equal least ones all are.
+    pad = np.zeros(size - 1, np.uint64)
+    pos = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), size, np.maximum) == grams)
     start, end = np.maximum(pos - (window - anchor), 0), np.minimum(pos + window, n)
     shape = (pos - start).astype(np.uint64) * np.uint64(1 << 20) + (end - start).astype(np.uint64)
     return pos, grams[pos], _mixed(_mixed(runs.hashes(start, end) + shape) ^ grams[pos])
@@ -161,13 +167,13 @@ class SuffixAutomaton:
         return out
 
 
-def _find_anchors(window: int, anchor: int):
+def _find_anchors(window: int, anchor: int, no_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [anchors_of(words.ids(words_of(t.as_py())), window, anchor) for t in part.column(2)]
+                known = zip(part.column(0).to_numpy(), part.column(2))
+                found = [anchors_of(hashes_of(t.as_py() if i != no_id else None), window, anchor) for i, t in known]
                 size = [len(f[0]) for f in found]
                 pos, h, c = (np.concatenate([f[k] for f in found]) for k in range(3))
                 yield pa.RecordBatch.from_arrays([
@@ -181,12 +187,11 @@ def _contexts(window: int, anchor: int):
     """Rows (_id, _text, wanted array of (h, c, pos, n_shards)) to the words of each wanted context, once for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part, out = batch.slice(lo, 64), []
                 for doc, text, wanted in zip(*(x.to_pylist() for x in part.columns)):
-                    ids = words.ids(words_of(text))
+                    ids = hashes_of(text)
                     for w in wanted:
                         context = ids[max(w["pos"] - (window - anchor), 0) : w["pos"] + window].tobytes()
                         own = (w["c"] >> 7) % w["n_shards"]
@@ -220,29 +225,34 @@ def _stream(window: int):
 
 
 def _remove(window: int, keep_text: bool):
+    """Rows (_id, _text, spans): spans are first and last start of covered windows, packed in a long."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out = []
-                for doc, text, spans in zip(*(x.to_pylist() for x in batch.slice(lo, 256).columns)):
-                    words = words_of(text)
-                    kept, gone = words, 0
-                    if spans:
-                        # A window that would reach over the end of the text is none.
-                        change = np.zeros(len(words) + 1, np.int64)
-                        for s in spans:
-                            end = min(s["hi"], len(words) - window)
-                            if s["lo"] <= end:
-                                change[s["lo"]] += 1
-                                change[end + window] -= 1
-                        covered = np.cumsum(change[:-1]) > 0
-                        gone = int(covered.sum())
-                        kept = [w for w, x in zip(words, covered.tolist()) if not x]
-                    joined = b" ".join(kept)
-                    out.append((doc, len(words), gone, hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if keep_text else None))
-                columns = list(zip(*out)) if out else [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            spans = batch.column(2)
+            flat, ends = spans.values.to_numpy(zero_copy_only=False), spans.offsets.to_numpy()
+            sizes, gone, digests, texts = [], [], [], []
+            for k, text in enumerate(batch.column(1)):
+                words = words_of(text.as_py())
+                own = flat[ends[k] : ends[k + 1]] if ends[k] < ends[k + 1] else ()
+                kept = words
+                if len(own):
+                    # A window that would reach over the end of the text is none.
+                    first, last = own >> 32, np.minimum(own & 0xFFFFFFFF, len(words) - window)
+                    change = np.zeros(len(words) + 1, np.int64)
+                    some = first <= last
+                    np.add.at(change, first[some], 1)
+                    np.add.at(change, last[some] + window, -1)
+                    left = np.flatnonzero(np.cumsum(change[:-1]) == 0)
+                    kept = [words[i] for i in left.tolist()]
+                joined = b" ".join(kept)
+                sizes.append(len(words))
+                gone.append(len(words) - len(kept))
+                digests.append(hashlib.sha256(joined).hexdigest())
+                texts.append(joined.decode("utf-8", "surrogatepass") if keep_text else None)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
+                ["_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -254,19 +264,24 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words that a window of ``window`` consecutive words covers go if the same window occurs
     in a document of a smaller id; windows are those of the input. Kept words are joined by
     single spaces. Null texts have no words. Rows of one id never count as earlier than
-    each other; a row with a null id stays whole and is no reference. Other columns are
+    each other; a row with a null id stays whole and is no reference (and -2**63 is no id). Other columns are
     ignored. Words, runs and contexts are compared by 64-bit hashes.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1 << 31)).cast("int").alias("_t"), F.col(text_col).cast("string").alias("_text"))
-    anchors = rows.where("_id is not null and _text is not null").mapInArrow(_find_anchors(window, anchor), "_id long, _t int, pos int, h long, c long")
+    # No column is nullable, so that both joins below read one and the same exchange of the texts.
+    no_id = -(1 << 63)
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("_id"), F.coalesce(F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1 << 31)).cast("int"), F.lit(0)).alias("_t"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"))
+    anchors = rows.mapInArrow(_find_anchors(window, anchor, no_id), "_id long, _t int, pos int, h long, c long")
     repeated = anchors.select("h", "_id").groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h", "lo")
     found = cut(lookup(anchors, repeated, "h", "_id"))
     shapes = found.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).select("h", (F.col("c0") != F.col("c1")).alias("several"))
     found = cut(lookup(found, shapes, "h", "_id").where("several or _id > lo"))
 
     left = window - anchor
-    begin = F.greatest(F.col("pos") - left, F.lit(0))
-    whole = found.where("not several").select("_id", "_t", F.array(F.struct(begin.alias("lo"), F.col("pos").alias("hi"))).alias("spans"))
+    begin = F.greatest(F.col("pos") - left, F.lit(0)).cast("long")
+    span = lambda lo, hi: F.shiftleft(lo.cast("long"), 32) + hi.cast("long")
+    whole = found.where("not several").select("_id", "_t", span(begin, F.col("pos")).alias("span"))
 
     several = found.where("several")
     contexts = several.groupBy("h", "c").agg(F.min(F.struct("_id", "_t", "pos")).alias("first"))
@@ -279,8 +294,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = parts.repartition("h", "shard").sortWithinPartitions("h", "shard").mapInArrow(_stream(window), "c long, least array<long>")
     least = least.groupBy("c", "least").agg(F.lit(1).alias("_one")).select("c", "least")
     starts = F.filter(F.transform("least", lambda x, k: F.when(x < F.col("_id"), begin + k)), lambda x: x.isNotNull())
-    partly = lookup(several, least, "c", "_id").select("_id", "_t", F.transform(starts, lambda x: F.struct(x.alias("lo"), x.alias("hi"))).alias("spans")).where("size(spans) > 0")
+    ends = (F.array_min("s"), F.array_max("s"))
+    # Mostly the covered windows follow each other and are one span.
+    packed = F.when(ends[1] - ends[0] + 1 == F.size("s"), F.array(span(*ends))).otherwise(F.transform("s", lambda x: span(x, x)))
+    partly = lookup(several, least, "c", "_id").select("_id", "_t", starts.alias("s")).where("size(s) > 0").select("_id", "_t", F.explode(packed).alias("span"))
 
-    spans = whole.union(partly).groupBy("_id", "_t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = whole.union(partly).groupBy("_id", "_t").agg(F.collect_list("span").alias("spans"))
     return rows.join(spans, ["_id", "_t"], "left").select("_id", "_text", "spans").mapInArrow(
-        _remove(window, keep_text), "_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("_id", id_col)
+        _remove(window, keep_text), "_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").select(
+        F.nullif("_id", F.lit(no_id)).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")
