@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.common import cut
+
 #: Labelled rows that the model is fitted on, at most: those with the least hashes of their id.
 MAX_TRAINING_ROWS = 6000
 #: Features that fewer labelled texts have, or fewer than this share of them, are left out,
@@ -141,21 +143,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             packed = [_hashes(t.as_py()).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["_id", "_grade", "_hashes"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = texts.mapInArrow(hashed, f"_id {kind}, _grade int, _hashes binary").toPandas().sort_values("_id", kind="stable")
-    found = found.drop_duplicates("_id")
-    if found.empty:
+    # One row for each labelled id; the few texts are kept, so that the passes below don't scan the documents again.
+    texts = cut(texts.groupBy("_id", "_grade").agg(F.min("_text").alias("_text")))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(text.as_py()).view(np.int64))], ["hash"])
+
+    n_texts = texts.count()
+    if not n_texts:
         return OrdinalModel({}, (0.0,), 0.0)
-    rows = [np.frombuffer(x, np.uint64) for x in found["_hashes"]]
-    grades = found["_grade"].to_numpy(np.int64).clip(0)
-    names, counts = np.unique(np.concatenate(rows), return_counts=True)
-    names = names[(counts >= max(min_texts, MIN_SHARE * len(rows))) & (counts <= max(MAX_SHARE * len(rows), min_texts))]
-    numbered = []
-    for r in rows:
-        at = np.searchsorted(names, r).clip(0, max(len(names) - 1, 0))
-        numbered.append(at[names[at] == r] if len(names) else at[:0])
+    low, high = max(min_texts, MIN_SHARE * n_texts), max(MAX_SHARE * n_texts, min_texts)
+    spread = texts.select("_text").mapInArrow(hashed, "hash long").groupBy("hash").count().where(F.col("count").between(low, high))
+    # Only what enough texts have leaves the executors: at most texts * words / least count.
+    names = np.sort(np.array([r["hash"] for r in spread.select("hash").toLocalIterator()], np.int64).view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            packed = []
+            for text in batch.column(2):
+                own = _hashes(text.as_py())
+                at = np.searchsorted(known, own).clip(0, max(len(known) - 1, 0))
+                packed.append((at[known[at] == own] if len(known) else at[:0]).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["_id", "_grade", "numbers"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = sorted(map(tuple, texts.select("_id", "_grade", "_text").mapInArrow(numbers, f"_id {kind}, _grade int, numbers binary").collect()))
+    numbered = [np.frombuffer(x, np.int32) for _, _, x in found]
+    grades = np.array([g for _, g, _ in found], np.int64).clip(0)
     weights, cuts = fit_ordinal(numbered, grades, len(names), max(2, int(grades.max()) + 1))
-    cut = best_cut(np.array([weights[r].sum() for r in numbered]), grades > 0)
+    cutoff = best_cut(np.array([weights[r].sum() for r in numbered]), grades > 0)
     kept = {int(h): float(w) for h, w in zip(names, weights) if w}
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +183,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         seen = set()
         for batch in batches:
-            for text in batch.column(2):
+            for text in batch.column(0):
                 seen |= {f for f in features(text.as_py()) if xxhash.xxh3_64_intdigest(f) in kept}
         yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["feature"])
 
     import xxhash
 
-    spellings = [r["feature"] for r in texts.mapInArrow(spelled, "feature string").distinct().collect()] if kept else []
-    return OrdinalModel({f: kept[xxhash.xxh3_64_intdigest(f)] for f in sorted(spellings)}, tuple(float(c) for c in cuts), cut)
+    spellings = [r["feature"] for r in texts.select("_text").mapInArrow(spelled, "feature string").distinct().collect()] if kept else []
+    return OrdinalModel({f: kept[xxhash.xxh3_64_intdigest(f)] for f in sorted(spellings)}, tuple(float(c) for c in cuts), cutoff)
 
 
 def probabilities(model: OrdinalModel, text: Column) -> Column:
