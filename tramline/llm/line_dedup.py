@@ -34,8 +34,11 @@ def _repeated(suffixes: DataFrame, size: int) -> DataFrame:
     return lookup(suffixes, stats, "name", "pos").select("_id", "_h", "pos", "name", (F.col("first") != here).alias("later"), F.lit(size).alias("size"))
 
 
-def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[DataFrame]:
-    """For 1, 2, 4, ... lines: suffixes (_id, _h, pos, name, later, size) that share that many lines with another one."""
+def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", up_to: int | None = None) -> list[DataFrame]:
+    """For 1, 2, 4, ... lines: suffixes (_id, _h, pos, name, later, size) that share that many lines with another one.
+
+    Ends where none does, or after ``up_to`` lines.
+    """
     lines = (
         docs.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("pos", "line"))
@@ -44,6 +47,8 @@ def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     level, size, levels = cut(_repeated(lines, 1)), 1, []
     while not level.isEmpty():
         levels.append(level)
+        if up_to and size >= up_to:
+            break
         names = level.select("_id", "_h", "pos", "name")
         on = names.select("_id", "_h", (F.col("pos") - size).alias("pos"), F.col("name").alias("on"))
         size *= 2
@@ -51,13 +56,14 @@ def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return levels
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, measure_runs: bool = True) -> DataFrame:
     """Input columns and n_lines, n_removed, longest_run; the text keeps what no later copy covers.
 
     A run of at least min_lines lines is deleted where the same lines occur earlier, in a
     document of a lower id or further up in the same one; a copy may overlap what it
     copies. longest_run is the largest power of two of lines that the document starts
-    somewhere and that occur earlier. Lines are what lies between newlines, compared
+    somewhere and that occur earlier; without measure_runs the doubling ends at min_lines,
+    which is all that the deletion needs, and longest_run is min_lines at most. Lines are what lies between newlines, compared
     byte for byte, empty ones too. A text of which all lines go is empty. A null text
     stays null and counts as one empty line. Rows of one id with one text are one document
     and get the same result; with several texts they come in the order of a text hash. Rows
@@ -66,7 +72,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("n_lines", "n_removed", "longest_run")
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
-    levels = suffix_levels(docs, id_col, text_col)
+    levels = suffix_levels(docs, id_col, text_col, None if measure_runs else min_lines)
     rows = docs.withColumn("_h", F.xxhash64(F.col(text_col).cast("string")))
     kind = docs.schema[id_col].dataType.simpleString()
     later = docs.sparkSession.createDataFrame([], f"_id {kind}, _h long, pos int, size int")
