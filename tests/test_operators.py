@@ -263,3 +263,24 @@ def test_streamed_kinematics_equal_batch(spark, tmp_path):
     want = [tuple(r) for r in kinematics.kinematics(all_points).select(*columns).orderBy("track_id", "seq").collect()]
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert [x for g in got for x in g[2:]] == pytest.approx([x for w in want for x in w[2:]], rel=1e-9, abs=1e-6)
+
+
+def test_repairs_of_many_segments_over_many_batches(spark):
+    draw = np.random.default_rng(12)
+    rows, want = [], {}
+    for k in range(60):
+        n = int(draw.integers(1, 40))
+        v, marks = draw.normal(5, 2, n), draw.random(n) < 0.3
+        rows += [(f"s{k:02d}", "Walk", i, float(v[i]), float(v[i]), float(90 + 10 * v[i]), bool(marks[i])) for i in range(n)]
+        want[f"s{k:02d}"] = (cleaning.repair_column(v, marks), cleaning.settle_bearing(90 + 10 * v, 120))
+    frame = spark.createDataFrame(rows, "segment_id string, label string, step int, speed double, acceleration double, bearing_change double, is_outlier boolean").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        repaired = cleaning.repair(frame, ["segment_id"]).orderBy("segment_id", "step").collect()
+        settled = cleaning.smooth_bearing(frame, ["segment_id"], 150.0).orderBy("segment_id", "step").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for name, (speed, change) in want.items():
+        assert [r.speed for r in repaired if r.segment_id == name] == pytest.approx(speed)
+        assert [r.bearing_change for r in settled if r.segment_id == name] == pytest.approx(change)

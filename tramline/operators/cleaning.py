@@ -6,6 +6,8 @@ were repaired before, in order; they run in NumPy for each segment.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,17 +63,42 @@ def settle_bearing(change: np.ndarray, limit: float) -> np.ndarray:
     return out
 
 
+def _each_segment(points: DataFrame, keys: list[str], order: str, change: Callable[[pd.DataFrame, list[slice]], pd.DataFrame]) -> DataFrame:
+    """Applies ``change`` to rows and the slices of their segments, many segments at a time.
+
+    Rows are dealt and sorted by segment, so that a batch holds whole segments but for the
+    last one, which waits for the next batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+            if len(starts) > 1:
+                whole = pdf.iloc[: starts[-1]].reset_index(drop=True)
+                yield change(whole, [slice(a, b) for a, b in zip(starts, starts[1:])])
+            rest = pdf.iloc[starts[-1] :].reset_index(drop=True) if len(starts) else None
+        if rest is not None:
+            yield change(rest, [slice(0, len(rest))])
+
+    return points.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, points.schema)
+
+
 def repair(flagged: DataFrame, keys: list[str], order: str = "step") -> DataFrame:
-    """Repairs speed, acceleration and bearing_change of flagged points, a segment at a time."""
+    """Repairs speed, acceleration and bearing_change of flagged points, segment by segment."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+    def change(pdf: pd.DataFrame, segments: list[slice]) -> pd.DataFrame:
         marks = pdf["is_outlier"].to_numpy(bool)
         for c in ("speed", "acceleration", "bearing_change"):
-            pdf[c] = repair_column(pdf[c].to_numpy(), marks)
+            values = pdf[c].to_numpy(float).copy()
+            for s in segments:
+                if marks[s].any():
+                    values[s] = repair_column(values[s], marks[s])
+            pdf[c] = values
         return pdf
 
-    return flagged.groupBy(*keys).applyInPandas(run, flagged.schema)
+    return _each_segment(flagged, keys, order, change)
 
 
 def smooth(points: DataFrame, keys: list[str], window: int | None, order: str = "step", columns: tuple[str, ...] = ("speed", "acceleration")) -> DataFrame:
@@ -101,13 +128,14 @@ def smooth(points: DataFrame, keys: list[str], window: int | None, order: str =
 def smooth_bearing(points: DataFrame, keys: list[str], limit: float, order: str = "step") -> DataFrame:
     """Settles bearing changes over the limit, 0.8 times the limit for walking and cycling."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        slow = pdf["label"].iloc[0] in ("Walk", "Bike")
-        pdf["bearing_change"] = settle_bearing(pdf["bearing_change"].to_numpy(), limit * 0.8 if slow else limit)
+    def change(pdf: pd.DataFrame, segments: list[slice]) -> pd.DataFrame:
+        values, slow = pdf["bearing_change"].to_numpy(float).copy(), pdf["label"].isin(["Walk", "Bike"]).to_numpy()
+        for s in segments:
+            values[s] = settle_bearing(values[s], limit * 0.8 if slow[s][0] else limit)
+        pdf["bearing_change"] = values
         return pdf
 
-    return points.groupBy(*keys).applyInPandas(run, points.schema)
+    return _each_segment(points, keys, order, change)
 
 
 def verdicts(points: DataFrame, keys: list[str], mode: str = "balanced") -> DataFrame:
