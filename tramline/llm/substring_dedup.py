@@ -6,9 +6,10 @@ occurrences of one anchor that at least two documents share is a reference shard
 contexts of an anchor are one (of the least document); each shard of distinct contexts
 becomes a suffix automaton whose states know the least document they occur in, and all
 contexts of that anchor are streamed through it: where a match is at least a window long,
-the state tells whether an earlier document has that window. Shards of more than SHARD
-contexts are split, and the contexts go through each part. An anchor with just one context
-needs no automaton: all its occurrences are copies of the first, as a whole.
+the state tells whether an earlier document has that window. An anchor with more than SHARD
+contexts is dealt on, window by window, by the hash of the window, so that its shards grow
+in number and not in size. An anchor with just one context needs no automaton: all its
+occurrences are copies of the first, as a whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tramline.llm.common import cut, lookup
 from tramline.llm.streams import groups_of
 
 WINDOW, ANCHOR = 50, 25
-#: Contexts (of up to 2 * WINDOW - ANCHOR words) that one automaton holds.
+#: Contexts (of up to 2 * WINDOW - ANCHOR words), or about so many windows, that one automaton holds.
 SHARD = 2000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -184,7 +185,7 @@ def _find_anchors(window: int, anchor: int, no_id: int):
 
 
 def _contexts(window: int, anchor: int):
-    """Rows (_id, _text, wanted array of (h, c, pos, n_shards)) to the words of each wanted context, once for each shard."""
+    """Rows (_id, _text, wanted array of (h, c, pos, n_shards)) to the words of each wanted context, or of its windows where there are several shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,33 +194,40 @@ def _contexts(window: int, anchor: int):
                 for doc, text, wanted in zip(*(x.to_pylist() for x in part.columns)):
                     ids = hashes_of(text)
                     for w in wanted:
-                        context = ids[max(w["pos"] - (window - anchor), 0) : w["pos"] + window].tobytes()
-                        own = (w["c"] >> 7) % w["n_shards"]
-                        out += [(w["h"], k, doc, w["c"], k == own, context) for k in range(w["n_shards"])]
+                        context = ids[max(w["pos"] - (window - anchor), 0) : w["pos"] + window]
+                        if w["n_shards"] == 1:
+                            out.append((w["h"], 0, doc, w["c"], 0, context.tobytes()))
+                            continue
+                        at = np.arange(len(context) - window + 1)
+                        shards = Runs(context).hashes(at, at + window) % np.uint64(w["n_shards"])
+                        out += [(w["h"], k, doc, w["c"], i, context[i : i + window].tobytes()) for i, k in enumerate(shards.tolist())]
                 columns = list(zip(*out)) if out else [()] * 6
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["h", "shard", "_id", "c", "reference", "words"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["h", "shard", "_id", "c", "at", "words"])
 
     return run
 
 
 def _stream(window: int):
-    """Rows (h, shard, _id, c, reference, words) sorted by h and shard to (c, least document of each window)."""
+    """Rows (h, shard, _id, c, at, words) sorted by h and shard to (c, at, least document of each window)."""
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["c", "at", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for _, rows in groups_of(batches, 2):
-            group = [(doc, c, reference, np.frombuffer(words, np.uint64).tolist()) for _, _, doc, c, reference, words in rows]
+            group = [(doc, c, at, np.frombuffer(words, np.uint64).tolist()) for _, _, doc, c, at, words in rows]
             automaton = SuffixAutomaton()
-            for doc, _, reference, words in group:
-                if reference:
-                    automaton.add(words, doc)
+            for doc, _, _, words in group:
+                automaton.add(words, doc)
             automaton.close()
-            out += [(c, automaton.least_documents(words, window)) for _, c, _, words in group]
+            out += [(c, at, automaton.least_documents(words, window)) for _, c, at, words in group]
             if len(out) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["c", "least"])
+                yield batch_of(out)
                 out = []
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["c", "least"])
+        yield batch_of(out)
 
     return run
 
@@ -285,15 +293,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     several = found.where("several")
     contexts = several.groupBy("h", "c").agg(F.min(F.struct("_id", "_t", "pos")).alias("first"))
-    counts = contexts.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(shard))).cast("int").alias("n_shards"))
+    counts = contexts.groupBy("h").agg(
+        F.when(F.count(F.lit(1)) <= shard, F.lit(1).cast("long")).otherwise(F.ceil(F.count(F.lit(1)) * F.lit((window - anchor + 1) / shard))).alias("n_shards"))
     wanted = lookup(contexts, counts, "h", "c").groupBy(F.col("first._id").alias("_id"), F.col("first._t").alias("_t")).agg(
         F.collect_list(F.struct("h", "c", F.col("first.pos").alias("pos"), "n_shards")).alias("wanted"))
     # Only the first of rows with the same id and text gives its words.
     parts = rows.join(wanted, ["_id", "_t"]).select("_id", "_text", "wanted").mapInArrow(
-        _contexts(window, anchor), "h long, shard int, _id long, c long, reference boolean, words binary")
-    least = parts.repartition("h", "shard").sortWithinPartitions("h", "shard").mapInArrow(_stream(window), "c long, least array<long>")
-    least = least.groupBy("c", "least").agg(F.lit(1).alias("_one")).select("c", "least")
-    starts = F.filter(F.transform("least", lambda x, k: F.when(x < F.col("_id"), begin + k)), lambda x: x.isNotNull())
+        _contexts(window, anchor), "h long, shard long, _id long, c long, at int, words binary")
+    least = parts.repartition("h", "shard").sortWithinPartitions("h", "shard").mapInArrow(_stream(window), "c long, at int, least array<long>")
+    least = least.groupBy("c", "at", "least").agg(F.lit(1).alias("_one")).select("c", "at", "least")
+    starts = F.filter(F.transform("least", lambda x, k: F.when(x < F.col("_id"), begin + F.col("at") + k)), lambda x: x.isNotNull())
     ends = (F.array_min("s"), F.array_max("s"))
     # Mostly the covered windows follow each other and are one span.
     packed = F.when(ends[1] - ends[0] + 1 == F.size("s"), F.array(span(*ends))).otherwise(F.transform("s", lambda x: span(x, x)))
