@@ -38,9 +38,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    hit = cut(found.where("n_hit > 0").select("doc_id").distinct())
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    # By id and text, so that rows without an id or with a repeated one are judged by their own text.
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = decontaminate.scan(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
+    hit = cut(found.where("n_hit > 0").select("_key").distinct())
+    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,3 +108,11 @@ def test_empty_documents(spark, made, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_contaminated_rows_without_an_id_or_with_a_repeated_one(spark, made):
+    folder, _, _, items = made
+    rows = [(None, "so " + items[0][1], "en", "s", 1), (None, "clean text", "en", "s", 1), (5, items[0][1], "en", "s", 1), (5, "clean as well", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, folder)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["clean as well", "clean text"]
