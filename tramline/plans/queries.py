@@ -212,7 +212,7 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOC = "(select s.segment_id, s.seq, s.ts, s.lat, s.lon, p.true_label, p.pred_label, p.confidence from seg s join pred p on s.segment_id = p.segment_id)"
 add("geo20_green_grid", lambda s, d: rounded(spatial.grid_green(located(s, d), scalar.green(F.col("pred_label")))),
-    f"""select cell_y, cell_x, n, n_green, round(n_green/cast(n as double),4) as green_ratio, round(39.7+(cell_y+0.5)*0.005,4) as lat, round(116.1+(cell_x+0.5)*0.005,4) as lon from (
+    f"""select cell_y, cell_x, n, n_green, round(n_green/cast(n as double),4) as green_ratio, round(cast(39.7+(cell_y+0.5)*0.005 as double),4) as lat, round(cast(116.1+(cell_x+0.5)*0.005 as double),4) as lon from (
       select cast(floor((lat-39.7)/0.005) as bigint) as cell_y, cast(floor((lon-116.1)/0.005) as bigint) as cell_x, count(*) as n, cast(sum(cast({GREEN} as int)) as bigint) as n_green from {LOC} group by 1, 2)""", "seg", "pred")
 add("geo21_intensity", lambda s, d: rounded(spatial.grid_intensity(fixtures.points(s, d), 39.6, 116.2, 0.01, 60, 40)),
     """select cell_y, cell_x, n, round((n-lo)/(hi-lo+1e-6),4) as value from (select *, max(n) over () as hi, case when count(*) over () = 2400 then min(n) over () else 0 end as lo from (
