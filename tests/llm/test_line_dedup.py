@@ -36,3 +36,38 @@ def test_longest_run_other_columns_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert ld.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_lone(docs, words, size=2):
+    """The brute force above, and later copies of single lines that hold so many words with a letter or digit."""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        lines, gone = (text or "").split("\n"), set()
+        for n in (1, size):
+            for k in range(len(lines) - n + 1):
+                run = tuple(lines[k : k + n])
+                if run in seen and (n == size or sum(any(c.isalnum() for c in w) for w in lines[k].split()) >= words):
+                    gone |= set(range(k, k + n))
+                seen.add(run)
+        gone = gone if text is not None else set()
+        out[i] = (len(lines), len(gone), text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_lone_lines_against_brute_force(spark):
+    docs = DOCS + [(20, "one\nAll rights reserved.\ntwo"), (21, "three\nAll rights reserved.\nfour"), (22, "five\n}\n\n- - -\nsix"), (23, "seven\n}\neight\n\nnine\n- - -\nten"), (24, "All rights reserved."), (25, "Les."), (26, "Les.")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for words in (1, 2, 3):
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in ld.deduplicate(frame, lone_words=words).collect()}
+        assert got == brute_lone(docs, words), words
+    assert got[11] == (1, 1, "") and got[21][2] == "three\nfour" and got[23][1] == 0 and got[26][1] == 0
+
+
+def test_query_deletes_lone_lines(spark, sf_dir):
+    import hashlib
+
+    from tramline.llm import queries
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = {i: (n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, (n, gone, t) in brute_lone(docs, 2).items()}
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in queries.op7_line_dedup(spark, sf_dir).collect()} == want

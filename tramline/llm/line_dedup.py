@@ -21,6 +21,8 @@ from tramline.llm.common import cut, lookup
 
 #: Lines of the shortest run that counts as repeated; a power of two.
 MIN_LINES = 2
+#: Words with a letter or digit that a single line needs to be deleted alone, where op7 asks for it.
+LONE_WORDS = 2
 
 
 def _name(*parts: Column) -> Column:
@@ -56,15 +58,27 @@ def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return levels
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, measure_runs: bool = True) -> DataFrame:
+def _carries(line: str, words: int) -> bool:
+    """Whether that many of the line's words (between white space) hold a letter or a digit."""
+    for word in line.split():
+        if words <= 0:
+            break
+        words -= any(map(str.isalnum, word))
+    return words <= 0
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, measure_runs: bool = True,
+                lone_words: int | None = None) -> DataFrame:
     """Input columns and n_lines, n_removed, longest_run; the text keeps what no later copy covers.
 
     A run of at least min_lines lines is deleted where the same lines occur earlier, in a
     document of a lower id or further up in the same one; a copy may overlap what it
     copies. longest_run is the largest power of two of lines that the document starts
     somewhere and that occur earlier; without measure_runs the doubling ends at min_lines,
-    which is all that the deletion needs, and longest_run is min_lines at most. Lines are what lies between newlines, compared
-    byte for byte, empty ones too. A text of which all lines go is empty. A null text
+    which is all that the deletion needs, and longest_run is min_lines at most. With lone_words
+    a single line that occurs earlier goes too, if at least that many of its words hold a
+    letter or a digit, so that blank lines and brackets stay; longest_run is then 1 at least.
+    Lines are what lies between newlines, compared byte for byte, empty ones too. A text of which all lines go is empty. A null text
     stays null and counts as one empty line. Rows of one id with one text are one document
     and get the same result; with several texts they come in the order of a text hash. Rows
     with a null id are kept as they are. Other columns pass through; those named like a result are replaced.
@@ -77,32 +91,37 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     later = docs.sparkSession.createDataFrame([], f"_id {kind}, _h long, pos int, size int")
     for level in levels:
-        later = later.union(level.where("later").where(F.col("size") >= min_lines).select("_id", "_h", "pos", "size"))
+        later = later.union(level.where("later").where((F.col("size") >= min_lines) | ((F.col("size") == 1) & F.lit(lone_words is not None))).select("_id", "_h", "pos", "size"))
     # All runs of more lines are covered by those of min_lines.
     found = later.groupBy("_id", "_h").agg(
-        F.collect_set(F.when(F.col("size") == min_lines, F.col("pos"))).alias("_starts"), F.max("size").alias("_run"))
+        F.collect_set(F.when(F.col("size") == min_lines, F.col("pos"))).alias("_starts"), F.collect_set(F.when(F.col("size") == 1, F.col("pos"))).alias("_lone"),
+        F.max(F.when(F.col("size") >= min_lines, F.col("size"))).alias("_run"))
     joined = rows.join(found.withColumnRenamed("_id", id_col), [id_col, "_h"], "left")
     out = joined.select(
-        *docs.columns, "_starts", F.coalesce("_run", F.lit(0)).cast("int").alias("longest_run"),
+        *docs.columns, "_starts", "_lone", F.coalesce("_run", F.lit(0)).cast("int").alias("longest_run"),
         F.size(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("n_lines"),
     )
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            texts, removed = [], []
-            for text, starts in zip(batch.column(names.index(text_col)), batch.column(names.index("_starts"))):
-                text, starts = text.as_py(), starts.as_py()
-                if not starts or text is None:
+            texts, removed, runs = [], [], []
+            for text, starts, lone, run in zip(*(batch.column(names.index(c)) for c in (text_col, "_starts", "_lone", "longest_run"))):
+                text, gone = text.as_py(), {p + k for p in starts.as_py() or () for k in range(min_lines)}
+                lines = (text or "").split("\n")
+                if lone_words is not None:
+                    gone |= {p for p in lone.as_py() or () if p not in gone and _carries(lines[p], lone_words)}
+                runs.append(max(run.as_py(), 1 if gone and text is not None else 0))
+                if not gone or text is None:
                     texts.append(text)
                     removed.append(0)
                     continue
-                gone = {p + k for p in starts for k in range(min_lines)}
-                kept = [line for k, line in enumerate(text.split("\n")) if k not in gone]
+                kept = [line for k, line in enumerate(lines) if k not in gone]
                 texts.append("\n".join(kept))
                 removed.append(len(gone))
-            columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(k) for k, n in enumerate(names) if n != "_starts"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], [*(n for n in names if n != "_starts"), "n_removed"])
+            new = {text_col: pa.array(texts, pa.string()), "longest_run": pa.array(runs, pa.int32())}
+            columns = [new.get(n, batch.column(k)) for k, n in enumerate(names) if n not in ("_starts", "_lone")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], [*(n for n in names if n not in ("_starts", "_lone")), "n_removed"])
 
     fields = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema)
     return out.mapInArrow(edit, f"{fields}, longest_run int, n_lines int, n_removed int")

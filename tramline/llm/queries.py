@@ -71,7 +71,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    found = line_dedup.deduplicate(table(spark, sf_dir, "documents"), lone_words=line_dedup.LONE_WORDS)
     return found.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
 
 
