@@ -71,3 +71,37 @@ def test_query_deletes_lone_lines(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = {i: (n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, (n, gone, t) in brute_lone(docs, 2).items()}
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in queries.op7_line_dedup(spark, sf_dir).collect()} == want
+
+
+def brute_longest(docs, size=2):
+    """Most lines in a row of each document that occur at an earlier position."""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        lines, most = (text or "").split("\n"), 0
+        for k in range(len(lines)):
+            n = 1
+            while k + n <= len(lines):
+                run = tuple(lines[k : k + n])
+                if run in seen and n >= size:
+                    most = max(most, n)
+                seen.add(run)
+                n += 1
+        out[i] = most
+    return out
+
+
+def test_longest_run_is_exact(spark):
+    import random
+
+    draw = random.Random(4)
+    docs = [(i, t) for i, t in DOCS if i < 12] + [(12, "\n".join(f"line {k}" for k in range(60))), (13, "\n".join(f"line {k}" for k in range(15, 80)))]
+    docs += [(20, "p\nq\nr\ns"), (21, "0\np\nq\nr\n1"), (22, "\n".join("tuvwxyz")), (23, "\n".join("2tuvwxyz3")), (24, "\n".join("4tuvw5"))]
+    docs += [(100 + i, "\n".join(draw.choice("ABC") for _ in range(draw.randint(1, 40)))) for i in range(60)]
+    passages = [[f"{p}-{k}" for k in range(30)] for p in range(4)]
+    for i in range(60):
+        p, a = draw.choice(passages), draw.randrange(25)
+        docs.append((300 + i, "\n".join([f"own {i}", *p[a : a + draw.randint(1, 20)], f"end {i}"])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.longest_run for r in ld.deduplicate(frame).collect()}
+    assert got == brute_longest(docs)
+    assert got[21] == 3 and got[23] == 7

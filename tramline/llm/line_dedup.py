@@ -5,7 +5,9 @@ first line, then by their first 2, 4, 8, ... lines: the name of 2h lines is made
 names of h lines at a position and h lines on. Names order the suffixes as ranks do, and
 suffixes of one name are one interval of the suffix array whose common prefix is at least
 that long. A suffix whose name is unique is done, so only repeated runs go on from round to
-round, until none is left. Every step is a join or an aggregation over all suffixes; no
+round, until none is left. The exact longest run of a document comes from the same names:
+beyond its largest repeated size 2^k it is tried whether 2^(k-1), ..., 2, 1 lines more still
+repeat. Every step is a join or an aggregation over all suffixes; no
 suffix array is held in one place.
 """
 
@@ -58,6 +60,42 @@ def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return levels
 
 
+def _asked(suffixes: DataFrame) -> DataFrame:
+    """Suffixes whose name one of them asks for."""
+    return lookup(suffixes, suffixes.where("asks").select("name").distinct(), "name", "pos")
+
+
+def longest_runs(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
+    """(_id, _h, _longest): the exact longest common prefix of a document's suffixes with earlier ones.
+
+    levels are those of suffix_levels, tops (_id, _h, _top) the largest size of a later suffix;
+    documents with a top of 1 are left out, it is exact. By descent: suffixes of the top size
+    ask whether 2^k lines more, for falling k, still occur earlier. All suffixes of a name
+    that is asked for stay beside, since the earlier copy may reach farther than the one that
+    asks; of a document only the farthest suffixes go on asking.
+    """
+    wide = levels[1]
+    for level in levels[2:]:
+        wide = wide.union(level)
+    asks = F.col("later") & (F.coalesce(F.col("_top"), F.lit(0)) == F.col("size"))
+    state = cut(_asked(wide.join(tops, ["_id", "_h"], "left").select("_id", "_h", "pos", "name", F.col("size").alias("run"), asks.alias("asks"))))
+    columns, here = state.columns, F.struct("_id", "_h", "pos")
+    for k in range(len(levels) - 2, -1, -1):
+        size = 1 << k
+        active = state.where(F.col("run") > size)
+        on = levels[k].select("_id", "_h", F.col("pos").alias("_at"), F.col("name").alias("on"))
+        longer = active.withColumn("_at", (F.col("pos") + F.col("run")).cast("int")).join(on, ["_id", "_h", "_at"]).select(
+            "_id", "_h", "pos", _name("name", "on").alias("name"), (F.col("run") + size).alias("run"), "asks")
+        stats = longer.groupBy("name").agg(F.min(here).alias("first"), F.max("asks").alias("_any")).where("_any").select("name", "first")
+        up = cut(lookup(longer, stats, "name", "pos").withColumn("asks", F.col("asks") & (F.col("first") != here)).select(*columns))
+        gone = up.where("asks").select("_id", "_h").distinct().withColumn("_up", F.lit(True))
+        if gone.isEmpty():
+            continue
+        stay = active.join(gone, ["_id", "_h"], "left").withColumn("asks", F.col("asks") & F.col("_up").isNull()).select(*columns)
+        state = cut(_asked(up.union(stay).union(state.where(F.col("run") <= size).select(*columns))).select(*columns))
+    return state.where("asks").groupBy("_id", "_h").agg(F.max("run").alias("_longest"))
+
+
 def _carries(line: str, words: int) -> bool:
     """Whether that many of the line's words (between white space) hold a letter or a digit."""
     for word in line.split():
@@ -73,8 +111,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A run of at least min_lines lines is deleted where the same lines occur earlier, in a
     document of a lower id or further up in the same one; a copy may overlap what it
-    copies. longest_run is the largest power of two of lines that the document starts
-    somewhere and that occur earlier; without measure_runs the doubling ends at min_lines,
+    copies. longest_run is the largest number of lines, of min_lines on, that the document
+    holds in a row and that occur earlier; without measure_runs the doubling ends at min_lines,
     which is all that the deletion needs, and longest_run is min_lines at most. With lone_words
     a single line that occurs earlier goes too, if at least that many of its words hold a
     letter or a digit, so that blank lines and brackets stay; longest_run is then 1 at least.
@@ -96,6 +134,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = later.groupBy("_id", "_h").agg(
         F.collect_set(F.when(F.col("size") == min_lines, F.col("pos"))).alias("_starts"), F.collect_set(F.when(F.col("size") == 1, F.col("pos"))).alias("_lone"),
         F.max(F.when(F.col("size") >= min_lines, F.col("size"))).alias("_run"))
+    if measure_runs and len(levels) > 1:
+        tops = found.where("_run is not null").select("_id", "_h", F.col("_run").alias("_top"))
+        found = found.join(longest_runs(levels, tops), ["_id", "_h"], "left").withColumn("_run", F.coalesce("_longest", "_run")).drop("_longest")
     joined = rows.join(found.withColumnRenamed("_id", id_col), [id_col, "_h"], "left")
     out = joined.select(
         *docs.columns, "_starts", "_lone", F.coalesce("_run", F.lit(0)).cast("int").alias("longest_run"),
