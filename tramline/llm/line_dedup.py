@@ -31,6 +31,16 @@ def _name(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """cut() without the estimated size, which a checkpoint keeps.
+
+    Each join multiplies the estimates of its sides, so over the rounds of a loop they grow
+    to numbers of so many digits that they fill the driver's memory.
+    """
+    session, done = df.sparkSession, cut(df)._jdf
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), session)
+
+
 def _repeated(suffixes: DataFrame, size: int) -> DataFrame:
     """Suffixes (_id, _h, pos, name) whose name another one has, and whether an earlier one has it."""
     here = F.struct("_id", "_h", "pos")
@@ -48,7 +58,7 @@ def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_h"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("pos", "line"))
         .select("_id", "_h", "pos", _name(F.col("line").cast("binary")).alias("name"))
     )
-    level, size, levels = cut(_repeated(lines, 1)), 1, []
+    level, size, levels = _settled(_repeated(lines, 1)), 1, []
     while not level.isEmpty():
         levels.append(level)
         if up_to and size >= up_to:
@@ -56,7 +66,7 @@ def suffix_levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         names = level.select("_id", "_h", "pos", "name")
         on = names.select("_id", "_h", (F.col("pos") - size).alias("pos"), F.col("name").alias("on"))
         size *= 2
-        level = cut(_repeated(names.join(on, ["_id", "_h", "pos"]).select("_id", "_h", "pos", _name("name", "on").alias("name")).distinct(), size))
+        level = _settled(_repeated(names.join(on, ["_id", "_h", "pos"]).select("_id", "_h", "pos", _name("name", "on").alias("name")).distinct(), size))
     return levels
 
 
@@ -78,7 +88,7 @@ def longest_runs(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
     for level in levels[2:]:
         wide = wide.union(level)
     asks = F.col("later") & (F.coalesce(F.col("_top"), F.lit(0)) == F.col("size"))
-    state = cut(_asked(wide.join(tops, ["_id", "_h"], "left").select("_id", "_h", "pos", "name", F.col("size").alias("run"), asks.alias("asks"))))
+    state = _settled(_asked(wide.join(tops, ["_id", "_h"], "left").select("_id", "_h", "pos", "name", F.col("size").alias("run"), asks.alias("asks"))))
     columns, here = state.columns, F.struct("_id", "_h", "pos")
     for k in range(len(levels) - 2, -1, -1):
         size = 1 << k
@@ -87,12 +97,12 @@ def longest_runs(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
         longer = active.withColumn("_at", (F.col("pos") + F.col("run")).cast("int")).join(on, ["_id", "_h", "_at"]).select(
             "_id", "_h", "pos", _name("name", "on").alias("name"), (F.col("run") + size).alias("run"), "asks")
         stats = longer.groupBy("name").agg(F.min(here).alias("first"), F.max("asks").alias("_any")).where("_any").select("name", "first")
-        up = cut(lookup(longer, stats, "name", "pos").withColumn("asks", F.col("asks") & (F.col("first") != here)).select(*columns))
+        up = _settled(lookup(longer, stats, "name", "pos").withColumn("asks", F.col("asks") & (F.col("first") != here)).select(*columns))
         gone = up.where("asks").select("_id", "_h").distinct().withColumn("_up", F.lit(True))
         if gone.isEmpty():
             continue
         stay = active.join(gone, ["_id", "_h"], "left").withColumn("asks", F.col("asks") & F.col("_up").isNull()).select(*columns)
-        state = cut(_asked(up.union(stay).union(state.where(F.col("run") <= size).select(*columns))).select(*columns))
+        state = _settled(_asked(up.union(stay).union(state.where(F.col("run") <= size).select(*columns))).select(*columns))
     return state.where("asks").groupBy("_id", "_h").agg(F.max("run").alias("_longest"))
 
 
