@@ -55,3 +55,38 @@ def test_repeated_ids_null_ids_empty_table(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in sd.deduplicate(frame).collect()), key=repr)
     assert got == sorted([(1, 60, 0), (1, 60, 0), (1, 61, 0), (None, 60, 0), (2, 60, 60)], key=repr)
     assert sd.deduplicate(frame.limit(0)).count() == 0
+
+
+def test_contexts_of_one_group_are_streamed_not_held():
+    import numpy as np
+    import pyarrow as pa
+
+    read, n = [], 40
+    words = np.arange(6, dtype=np.uint64).tobytes()
+
+    def batches():
+        for b in range(n):
+            read.append(b)
+            kinds = [1 if b == 0 else 2] * 500
+            rows = [[7] * 500, [0] * 500, range(b * 500, b * 500 + 500), range(b * 500, b * 500 + 500), kinds, [words] * 500]
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, types)], ["h", "shard", "_id", "c", "kind", "words"])
+
+    out = sd._stream(6)(batches())
+    got = next(out)
+    assert got.num_rows == 2000 and len(read) < 8
+    assert got.num_rows + sum(b.num_rows for b in out) == n * 500
+
+
+def test_streamed_contexts_of_a_split_anchor_are_dealt_over_parts():
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(8)
+    wanted = [[{"h": 5, "c": draw.getrandbits(62), "pos": 0, "n_shards": 32}] for _ in range(640)]
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("pos", pa.int32()), ("n_shards", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(640), pa.int64()), pa.array([b"a b c d e f"] * 640, pa.binary()), pa.array(wanted, kind)], ["_id", "_text", "wanted"])
+    rows = [r for b in sd._contexts(6, 3)([batch]) for r in zip(*(b.column(k).to_pylist() for k in (1, 3, 4)))]
+    assert len(rows) == 640 * (32 + 3)  # each other shard once, its own four parts
+    assert sorted(c for _, c, k in rows if k == 1) == sorted(w[0]["c"] for w in wanted)
+    assert np.bincount([s for s, _, _ in rows]).max() < 640 / 2

@@ -7,7 +7,8 @@ contexts of an anchor are one (of the least document); each shard of distinct co
 becomes a suffix automaton whose states know the least document they occur in, and all
 contexts of that anchor are streamed through it: where a match is at least a window long,
 the state tells whether an earlier document has that window. Shards of more than SHARD
-contexts are split, and the contexts go through each part. An anchor with just one context
+contexts are split, and the contexts go through each part, dealt over several tasks
+that each build the part's automaton; contexts that are no references are never held. An anchor with just one context
 needs no automaton: all its occurrences are copies of the first, as a whole.
 """
 
@@ -27,6 +28,8 @@ from tramline.llm.streams import groups_of
 WINDOW, ANCHOR = 50, 25
 #: Contexts (of up to 2 * WINDOW - ANCHOR words) that one automaton holds.
 SHARD = 2000
+#: A split anchor's contexts are streamed through each shard in one part for every SPREAD shards.
+SPREAD = 8
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -184,7 +187,11 @@ def _find_anchors(window: int, anchor: int, no_id: int):
 
 
 def _contexts(window: int, anchor: int):
-    """Rows (_id, _text, wanted array of (h, c, pos, n_shards)) to the words of each wanted context, once for each shard."""
+    """Rows (_id, _text, wanted array of (h, c, pos, n_shards)) to the words of each wanted context.
+
+    One row for each other shard than its own, in the context's part of it, of kind 2; in
+    all parts of its own shard it is a reference: of kind 1 in its own part, of kind 0 in the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,31 +202,51 @@ def _contexts(window: int, anchor: int):
                     for w in wanted:
                         context = ids[max(w["pos"] - (window - anchor), 0) : w["pos"] + window].tobytes()
                         own = (w["c"] >> 7) % w["n_shards"]
-                        out += [(w["h"], k, doc, w["c"], k == own, context) for k in range(w["n_shards"])]
+                        parts = -(-w["n_shards"] // SPREAD)
+                        at = (w["c"] >> 27) % parts
+                        out += [(w["h"], k * parts + at, doc, w["c"], 1 if k == own else 2, context) for k in range(w["n_shards"])]
+                        out += [(w["h"], own * parts + k, doc, w["c"], 0, context) for k in range(parts) if k != at]
                 columns = list(zip(*out)) if out else [()] * 6
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["h", "shard", "_id", "c", "reference", "words"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["h", "shard", "_id", "c", "kind", "words"])
 
     return run
 
 
 def _stream(window: int):
-    """Rows (h, shard, _id, c, reference, words) sorted by h and shard to (c, least document of each window)."""
+    """Rows (h, shard, _id, c, kind, words) sorted by h, shard and kind to (c, least document of each window).
+
+    References come first. Only they (about SHARD at most), their automaton and 2000 results
+    are held, however many contexts a group has.
+    """
+
+    def batch_of(out: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["c", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for _, rows in groups_of(batches, 2):
-            group = [(doc, c, reference, np.frombuffer(words, np.uint64).tolist()) for _, _, doc, c, reference, words in rows]
-            automaton = SuffixAutomaton()
-            for doc, _, reference, words in group:
-                if reference:
-                    automaton.add(words, doc)
-            automaton.close()
-            out += [(c, automaton.least_documents(words, window)) for _, c, _, words in group]
-            if len(out) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["c", "least"])
+            automaton, own, closed = SuffixAutomaton(), [], False
+            for _, _, doc, c, kind, words in rows:
+                ids = np.frombuffer(words, np.uint64).tolist()
+                if kind < 2:
+                    automaton.add(ids, doc)
+                    own += [(c, words)] if kind == 1 else []
+                    continue
+                if not closed:
+                    automaton.close()
+                    closed = True
+                out.append((c, automaton.least_documents(ids, window)))
+                if len(out) >= 2000:
+                    yield batch_of(out)
+                    out = []
+            if not closed:
+                automaton.close()
+            out += [(c, automaton.least_documents(np.frombuffer(words, np.uint64).tolist(), window)) for c, words in own]
+            if len(out) >= 2000:
+                yield batch_of(out)
                 out = []
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["c", "least"])
+        yield batch_of(out)
 
     return run
 
@@ -290,8 +317,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.collect_list(F.struct("h", "c", F.col("first.pos").alias("pos"), "n_shards")).alias("wanted"))
     # Only the first of rows with the same id and text gives its words.
     parts = rows.join(wanted, ["_id", "_t"]).select("_id", "_text", "wanted").mapInArrow(
-        _contexts(window, anchor), "h long, shard int, _id long, c long, reference boolean, words binary")
-    least = parts.repartition("h", "shard").sortWithinPartitions("h", "shard").mapInArrow(_stream(window), "c long, least array<long>")
+        _contexts(window, anchor), "h long, shard int, _id long, c long, kind int, words binary")
+    least = parts.repartition("h", "shard").sortWithinPartitions("h", "shard", "kind").mapInArrow(_stream(window), "c long, least array<long>")
     least = least.groupBy("c", "least").agg(F.lit(1).alias("_one")).select("c", "least")
     starts = F.filter(F.transform("least", lambda x, k: F.when(x < F.col("_id"), begin + k)), lambda x: x.isNotNull())
     ends = (F.array_min("s"), F.array_max("s"))
