@@ -284,3 +284,18 @@ def test_repairs_of_many_segments_over_many_batches(spark):
     for name, (speed, change) in want.items():
         assert [r.speed for r in repaired if r.segment_id == name] == pytest.approx(speed)
         assert [r.bearing_change for r in settled if r.segment_id == name] == pytest.approx(change)
+
+
+def test_nearest_any_line_has_all_pieces_and_no_threshold(spark, sf_dir):
+    from tramline.plans import fixtures, queries
+
+    pts = fixtures.points(spark, sf_dir).select("seq", "lat", "lon").toPandas()
+    lines = queries.all_road_lines(spark, sf_dir).select("lat1", "lon1", "lat2", "lon2").toPandas().to_numpy()
+    a, d = lines[:, :2], lines[:, 2:] - lines[:, :2]
+    want = {}
+    for seq, x in zip(pts.seq, pts[["lat", "lon"]].to_numpy()):
+        at = np.clip(((x - a) * d).sum(1) / (d * d).sum(1), 0, 1)
+        want[seq] = np.hypot(*(x - a - at[:, None] * d).T).min() * 111300
+    got = {r.seq: r.distance for r in queries.QUERIES["geo19_nearest_any_line"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and max(want.values()) > 300
+    assert all(abs(got[k] - want[k]) < 0.01 for k in want)

@@ -340,15 +340,21 @@ add("geo23_green_colour", lambda s, d: spatial.grid_green(located(s, d), scalar.
 add("geo25_map_scale", lambda s, d: rounded(dashboards.map_scale(regions(s, d))), f"select round(ratio,4) as scale from (select ratio, row_number() over (order by ratio) as n, count(*) over () as c from {REGION} where ratio > 0) where n = floor(c*0.8)+1", "seg", "pred")
 
 
-def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Straight pieces between road nodes of one group of ten."""
     nodes = fixtures.roads(spark, sf_dir)
     w = Window.partitionBy(F.floor(F.col("node_id") / 10)).orderBy("node_id")
     ahead = nodes.select(F.col("node_id").alias("road_id"), "road_type", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"))
-    # Pieces of at most 2 km, as roads have them.
-    return ahead.where("lat2 is not null").where((F.abs(F.col("lat1") - F.col("lat2")) < 0.02) & (F.abs(F.col("lon1") - F.col("lon2")) < 0.02))
+    return ahead.where("lat2 is not null")
+
+
+def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2 km, as the SQL of geo19_nearest_line has them."""
+    return all_road_lines(spark, sf_dir).where((F.abs(F.col("lat1") - F.col("lat2")) < 0.02) & (F.abs(F.col("lon1") - F.col("lon2")) < 0.02))
 
 
+# All pieces and no threshold; no SQL, since that would compare all pairs.
+add("geo19_nearest_any_line", lambda s, d: spatial.nearest_segment(fixtures.points(s, d), all_road_lines(s, d), "seq", 300.0, None).select("seq", "road_id", r("distance", 3).alias("distance")))
 add("geo19_nearest_line", lambda s, d: spatial.nearest_segment(fixtures.points(s, d), road_lines(s, d), "seq", 300.0, 1).select("seq", "road_id", r("distance", 3).alias("distance")),
     """, ln as (select * from (select node_id as road_id, lat as lat1, lon as lon1, lead(lat) over w as lat2, lead(lon) over w as lon2 from rds window w as (partition by node_id // 10 order by node_id)) where abs(lat1-lat2) < 0.02 and abs(lon1-lon2) < 0.02),
     a as (select p.seq, l.road_id, p.lat, p.lon, lat1, lon1, lat2-lat1 as dy, lon2-lon1 as dx, greatest(0.0, least(1.0, coalesce(((p.lat-lat1)*(lat2-lat1)+(p.lon-lon1)*(lon2-lon1))/nullif((lat2-lat1)*(lat2-lat1)+(lon2-lon1)*(lon2-lon1),0),0.0))) as f
