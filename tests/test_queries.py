@@ -65,3 +65,12 @@ def test_registry():
 def test_two_stage_gives_fifty_point_statistics(spark, sf_dir):
     rows = plans.QUERIES["res6_two_stage"](spark, sf_dir).collect()
     assert rows and all(r.n_points == 50 for r in rows)
+
+
+def test_trained_forest_has_the_operators_defaults(spark, sf_dir, monkeypatch):
+    from tramline.operators import learning
+
+    made, train = [], learning.train_classifier
+    monkeypatch.setattr(learning, "train_classifier", lambda *a, **k: made.append((k, train(*a, **k))) or made[-1][1])
+    assert plans.QUERIES["ml12_ml14_trained"](spark, sf_dir).count() > 0
+    assert made[0][0] == {}

@@ -395,7 +395,7 @@ add("ml6_oversample", lambda s, d: learning.oversample(fixtures.predictions(s, d
 def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows of a forest trained on the statistics of the training segments."""
     rows = learning.split(fixtures.segment_stats(spark, sf_dir).where(F.col("label").isin(*schemas.MODES)), "segment_id")
-    model = learning.train_classifier(rows.where("split = 'train'"), depth=5, trees=10)
+    model = learning.train_classifier(rows.where("split = 'train'"))
     return model.transform(rows.where("split = 'test'")).select("segment_id", F.col("label").alias("true_label"), "pred_label")
 
 
