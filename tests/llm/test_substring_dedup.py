@@ -90,3 +90,41 @@ def test_streamed_contexts_of_a_split_anchor_are_dealt_over_parts():
     assert len(rows) == 640 * (32 + 3)  # each other shard once, its own four parts
     assert sorted(c for _, c, k in rows if k == 1) == sorted(w[0]["c"] for w in wanted)
     assert np.bincount([s for s, _, _ in rows]).max() < 640 / 2
+
+
+def thue_morse(n, a, b):
+    text = a
+    other = b
+    while len(text) < n:
+        text, other = text + other, other + text
+    return text[:n]
+
+
+def test_structured_words_and_runs_do_not_collide(spark):
+    words = [f"v{k}" for k in range(59)]
+    a, b = (thue_morse(1024, *x) for x in ("ab", "ba"))
+    c, d = (" ".join(thue_morse(2048, *x)) for x in ("xy", "yx"))
+    docs = [(1, " ".join([*words[:30], a, *words[30:]])), (2, " ".join([*words[:30], b, *words[30:]])), (3, c), (4, d), (5, "é" * 400 + " " + " ".join(words)), (6, "ç" * 400 + " " + " ".join(words))]
+    assert rows(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs, 50)
+
+
+def test_run_hashes_tell_orders_apart():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    ids = draw.integers(0, 1 << 64, 40, dtype=np.uint64)
+    for size in (1, 2, 3, 5, 25, 40):
+        found = sd.run_hashes(ids, size)
+        assert len(found) == 41 - size
+        for k in range(len(found)):
+            assert sd.run_hashes(ids[k : k + size], size)[0] == found[k]
+    assert sd.run_hashes(ids[::-1], 40)[0] != sd.run_hashes(ids, 40)[0]
+
+
+def test_very_long_text_and_many_contexts_of_one_passage(spark):
+    draw = random.Random(12)
+    passage = [f"p{k}" for k in range(60)]
+    docs = [(i, " ".join([f"a{draw.randrange(10**6)}", *passage, f"b{draw.randrange(10**6)}"])) for i in range(3000)]
+    long = [f"w{draw.randrange(50)}" for _ in range(200_000)]
+    docs += [(5000, " ".join(long)), (5001, " ".join(long[70_000:90_000])), (5002, "x" * 200_000 + " " + " ".join(passage))]
+    assert rows(spark.createDataFrame(docs, "doc_id long, text string"), shard=500) == brute(docs, 50)

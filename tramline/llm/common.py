@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,20 +17,46 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def _shared_folder(session: SparkSession) -> str:
+    """The checkpoint folder of the session: its ``spark.checkpoint.dir``, a folder of this machine only on a local master."""
+    context = session.sparkContext
+    if context.getCheckpointDir() is None:
+        set_to = session.conf.get("spark.checkpoint.dir", None)
+        if set_to is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="tramline-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (local tests) is one made. Call it after a shuffle: Spark computes the last
-    stage twice, what lies before the shuffle once.
+    Call it after a shuffle: Spark computes the last stage twice, what lies before the
+    shuffle once. Spark removes checkpoints that nothing refers to where the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
-    context = session_of(df).sparkContext
-    if context.getCheckpointDir() is None:
-        set_to = session_of(df).conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="tramline-checkpoint-"))
+    _shared_folder(session_of(df))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder; every stage is computed once.
+
+    For stages that end no shuffle. The tables stay until the folder is emptied.
+    """
+    path = f"{_shared_folder(session_of(df))}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session_of(df).read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the table is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lookup(rows: DataFrame, unique: DataFrame, key: str, salt: str, how: str = "inner", salts: int = 8) -> DataFrame:
     """Join rows with a table that has one row per key, where a key may hold a third of the rows.
 

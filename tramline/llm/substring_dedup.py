@@ -8,8 +8,7 @@ becomes a suffix automaton whose states know the least document they occur in, a
 contexts of that anchor are streamed through it: where a match is at least a window long,
 the state tells whether an earlier document has that window. Shards of more than SHARD
 contexts are split, and the contexts go through each part, dealt over several tasks
-that each build the part's automaton; contexts that are no references are never held. An anchor with just one context
-needs no automaton: all its occurrences are copies of the first, as a whole.
+that each build the part's automaton; contexts that are no references are never held.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import cut, lookup
+from tramline.llm.common import cut, lookup, written
 from tramline.llm.streams import groups_of
 
 WINDOW, ANCHOR = 50, 25
@@ -32,9 +31,10 @@ SHARD = 2000
 SPREAD = 8
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = (1 << 63) - 1
+#: Words whose hashes a Python worker remembers; longer ones than LONG_WORD bytes are not.
+MAX_WORDS, LONG_WORD = 500_000, 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -48,33 +48,39 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
-class Runs:
-    """Hashes of runs of any length: differences of one running polynomial."""
+class WordHashes:
+    """64-bit hashes of words, each word hashed once as a whole."""
 
-    powers = np.zeros(0, np.uint64)
-    inverse = np.zeros(0, np.uint64)
-
-    def __init__(self, ids: np.ndarray):
-        n = len(ids) + 1
-        if len(Runs.powers) < n:
-            size = max(2 * n, 1 << 15)
-            Runs.powers = np.cumprod(np.array([1] + [_BASE] * (size - 1), np.uint64), dtype=np.uint64)
-            Runs.inverse = np.cumprod(np.array([1] + [_UNBASE] * (size - 1), np.uint64), dtype=np.uint64)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * Runs.powers[: n - 1], dtype=np.uint64)))
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * Runs.inverse[start])
+    def of(self, text: bytes | None) -> np.ndarray:
+        import xxhash
 
+        words, known, long = words_of(text), self.known, {}
+        if len(known) > MAX_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            (known if len(w) <= LONG_WORD else long)[w] = xxhash.xxh3_64_intdigest(w, 8)
+        if long:
+            return np.fromiter((long[w] if w in long else known[w] for w in words), np.uint64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
 
+def run_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words: those of 1, 2, 4, ... words, put together by the bits of the size.
 
-def hashes_of(text: bytes | None) -> np.ndarray:
-    """64-bit hashes of the words of a UTF-8 text, all at once."""
-    raw = np.frombuffer(text or b"", np.uint8)
-    edge = np.diff(np.concatenate(([0], (~_SPACE[raw]).view(np.int8), [0])))
-    return Runs(_BYTE[raw]).hashes(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+    Each joint is mixed, so no sums of words cancel out as they may in a polynomial modulo 2**64.
+    """
+    total, width, power, at = None, 0, ids, 1
+    while True:
+        if size & at:
+            n = len(ids) - width - at + 1
+            total = power[:n] if total is None else _mixed(total[:n] * _BASE + power[width : width + n])
+            width += at
+        if width == size:
+            return total
+        power, at = _mixed(power[: len(power) - at] * _BASE + power[at:]), 2 * at
 
 
 def _sliding(x: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
@@ -91,9 +97,7 @@ def anchors_of(ids: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, n
     n = len(ids)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    runs = Runs(ids)
-    at = np.arange(n - anchor + 1)
-    grams = runs.hashes(at, at + anchor)
+    grams = run_hashes(ids, anchor)
     size = window - anchor + 1
     least = _sliding(grams, size, np.minimum)
     # A run is an anchor if it is the least of a window that it lies in; equal least ones all are.
@@ -101,7 +105,9 @@ def anchors_of(ids: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, n
     pos = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), size, np.maximum) == grams)
     start, end = np.maximum(pos - (window - anchor), 0), np.minimum(pos + window, n)
     shape = (pos - start).astype(np.uint64) * np.uint64(1 << 20) + (end - start).astype(np.uint64)
-    return pos, grams[pos], _mixed(_mixed(runs.hashes(start, end) + shape) ^ grams[pos])
+    # The runs at the start, at the anchor and at the end leave no word of the context out.
+    around = _mixed(_mixed(grams[start] + shape) * _BASE + grams[end - anchor])
+    return pos, grams[pos], _mixed(around ^ grams[pos])
 
 
 class SuffixAutomaton:
@@ -172,11 +178,12 @@ class SuffixAutomaton:
 
 def _find_anchors(window: int, anchor: int, no_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 known = zip(part.column(0).to_numpy(), part.column(2))
-                found = [anchors_of(hashes_of(t.as_py() if i != no_id else None), window, anchor) for i, t in known]
+                found = [anchors_of(hashes.of(t.as_py() if i != no_id else None), window, anchor) for i, t in known]
                 size = [len(f[0]) for f in found]
                 pos, h, c = (np.concatenate([f[k] for f in found]) for k in range(3))
                 yield pa.RecordBatch.from_arrays([
@@ -187,25 +194,28 @@ def _find_anchors(window: int, anchor: int, no_id: int):
 
 
 def _contexts(window: int, anchor: int):
-    """Rows (_id, _text, wanted array of (h, c, pos, n_shards)) to the words of each wanted context.
+    """Rows (_id, _text, wanted array of (h, c, pos, n_shards)) to the words of each wanted context, without those of the anchor.
 
-    One row for each other shard than its own, in the context's part of it, of kind 2; in
+    Before the words stands how many of them lie left of the anchor, which is the same in all contexts of h. One row for each other shard than its own, in the context's part of it, of kind 2; in
     all parts of its own shard it is a reference: of kind 1 in its own part, of kind 0 in the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part, out = batch.slice(lo, 64), []
                 for doc, text, wanted in zip(*(x.to_pylist() for x in part.columns)):
-                    ids = hashes_of(text)
+                    ids = hashes.of(text)
                     for w in wanted:
-                        context = ids[max(w["pos"] - (window - anchor), 0) : w["pos"] + window].tobytes()
+                        pos = w["pos"]
+                        left = ids[max(pos - (window - anchor), 0) : pos]
+                        context = np.uint64(len(left)).tobytes() + left.tobytes() + ids[pos + anchor : pos + window].tobytes()
                         own = (w["c"] >> 7) % w["n_shards"]
                         parts = -(-w["n_shards"] // SPREAD)
-                        at = (w["c"] >> 27) % parts
-                        out += [(w["h"], k * parts + at, doc, w["c"], 1 if k == own else 2, context) for k in range(w["n_shards"])]
-                        out += [(w["h"], own * parts + k, doc, w["c"], 0, context) for k in range(parts) if k != at]
+                        part_of = (w["c"] >> 27) % parts
+                        out += [(w["h"], k * parts + part_of, doc, w["c"], 1 if k == own else 2, context) for k in range(w["n_shards"])]
+                        out += [(w["h"], own * parts + k, doc, w["c"], 0, context) for k in range(parts) if k != part_of]
                 columns = list(zip(*out)) if out else [()] * 6
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["h", "shard", "_id", "c", "kind", "words"])
@@ -213,12 +223,19 @@ def _contexts(window: int, anchor: int):
     return run
 
 
-def _stream(window: int):
+def _stream(window: int, anchor: int = ANCHOR):
     """Rows (h, shard, _id, c, kind, words) sorted by h, shard and kind to (c, least document of each window).
 
     References come first. Only they (about SHARD at most), their automaton and 2000 results
-    are held, however many contexts a group has.
+    are held, however many contexts a group has. The words of the anchor are numbers from
+    2**64 on: all contexts of a group have the same ones. Windows that are equal with the
+    anchor at another place hold it twice, and are found by the context of the other place.
     """
+    middle = [(1 << 64) + k for k in range(anchor)]
+
+    def ids_of(words: bytes) -> list[int]:
+        at, *ids = np.frombuffer(words, np.uint64).tolist()
+        return [*ids[:at], *middle, *ids[at:]]
 
     def batch_of(out: list[tuple[int, list[int]]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["c", "least"])
@@ -228,7 +245,7 @@ def _stream(window: int):
         for _, rows in groups_of(batches, 2):
             automaton, own, closed = SuffixAutomaton(), [], False
             for _, _, doc, c, kind, words in rows:
-                ids = np.frombuffer(words, np.uint64).tolist()
+                ids = ids_of(words)
                 if kind < 2:
                     automaton.add(ids, doc)
                     own += [(c, words)] if kind == 1 else []
@@ -242,7 +259,7 @@ def _stream(window: int):
                     out = []
             if not closed:
                 automaton.close()
-            out += [(c, automaton.least_documents(np.frombuffer(words, np.uint64).tolist(), window)) for c, words in own]
+            out += [(c, automaton.least_documents(ids_of(words), window)) for c, words in own]
             if len(out) >= 2000:
                 yield batch_of(out)
                 out = []
@@ -292,41 +309,40 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in a document of a smaller id; windows are those of the input. Kept words are joined by
     single spaces. Null texts have no words. Rows of one id never count as earlier than
     each other; a row with a null id stays whole and is no reference (and -2**63 is no id). Other columns are
-    ignored. Words, runs and contexts are compared by 64-bit hashes.
+    ignored. Words, runs and contexts are compared by 64-bit hashes; a word is hashed by xxh3 as
+    a whole, runs by mixing at each joint.
     """
+    if window > 2 * anchor or anchor > window:
+        raise ValueError("an anchor has at least half of the words of a window, and at most all of them")
     # No column is nullable, so that both joins below read one and the same exchange of the texts.
     no_id = -(1 << 63)
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("_id"), F.coalesce(F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1 << 31)).cast("int"), F.lit(0)).alias("_t"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"))
-    anchors = rows.mapInArrow(_find_anchors(window, anchor, no_id), "_id long, _t int, pos int, h long, c long")
-    repeated = anchors.select("h", "_id").groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h", "lo")
+    # Written, because the texts would be hashed again for each of the two ways on.
+    anchors = written(rows.mapInArrow(_find_anchors(window, anchor, no_id), "_id long, _t int, pos int, h long, c long"))
+    repeated = anchors.select("h", "_id").groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h")
     found = cut(lookup(anchors, repeated, "h", "_id"))
-    shapes = found.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).select("h", (F.col("c0") != F.col("c1")).alias("several"))
-    found = cut(lookup(found, shapes, "h", "_id").where("several or _id > lo"))
 
     left = window - anchor
     begin = F.greatest(F.col("pos") - left, F.lit(0)).cast("long")
     span = lambda lo, hi: F.shiftleft(lo.cast("long"), 32) + hi.cast("long")
-    whole = found.where("not several").select("_id", "_t", span(begin, F.col("pos")).alias("span"))
-
-    several = found.where("several")
-    contexts = several.groupBy("h", "c").agg(F.min(F.struct("_id", "_t", "pos")).alias("first"))
+    contexts = found.groupBy("h", "c").agg(F.min(F.struct("_id", "_t", "pos")).alias("first"))
     counts = contexts.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(shard))).cast("int").alias("n_shards"))
     wanted = lookup(contexts, counts, "h", "c").groupBy(F.col("first._id").alias("_id"), F.col("first._t").alias("_t")).agg(
         F.collect_list(F.struct("h", "c", F.col("first.pos").alias("pos"), "n_shards")).alias("wanted"))
     # Only the first of rows with the same id and text gives its words.
     parts = rows.join(wanted, ["_id", "_t"]).select("_id", "_text", "wanted").mapInArrow(
         _contexts(window, anchor), "h long, shard int, _id long, c long, kind int, words binary")
-    least = parts.repartition("h", "shard").sortWithinPartitions("h", "shard", "kind").mapInArrow(_stream(window), "c long, least array<long>")
+    least = parts.repartition("h", "shard").sortWithinPartitions("h", "shard", "kind").mapInArrow(_stream(window, anchor), "c long, least array<long>")
     least = least.groupBy("c", "least").agg(F.lit(1).alias("_one")).select("c", "least")
     starts = F.filter(F.transform("least", lambda x, k: F.when(x < F.col("_id"), begin + k)), lambda x: x.isNotNull())
     ends = (F.array_min("s"), F.array_max("s"))
     # Mostly the covered windows follow each other and are one span.
     packed = F.when(ends[1] - ends[0] + 1 == F.size("s"), F.array(span(*ends))).otherwise(F.transform("s", lambda x: span(x, x)))
-    partly = lookup(several, least, "c", "_id").select("_id", "_t", starts.alias("s")).where("size(s) > 0").select("_id", "_t", F.explode(packed).alias("span"))
+    covered = lookup(found, least, "c", "_id").select("_id", "_t", starts.alias("s")).where("size(s) > 0").select("_id", "_t", F.explode(packed).alias("span"))
 
-    spans = whole.union(partly).groupBy("_id", "_t").agg(F.collect_list("span").alias("spans"))
+    spans = covered.groupBy("_id", "_t").agg(F.collect_list("span").alias("spans"))
     return rows.join(spans, ["_id", "_t"], "left").select("_id", "_text", "spans").mapInArrow(
         _remove(window, keep_text), "_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").select(
         F.nullif("_id", F.lit(no_id)).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text")
