@@ -1,3 +1,8 @@
+import random
+from collections import Counter
+
+import pytest
+
 from tramline.llm import line_dedup as ld
 
 
@@ -105,3 +110,121 @@ def test_longest_run_is_exact(spark):
     got = {r.doc_id: r.longest_run for r in ld.deduplicate(frame).collect()}
     assert got == brute_longest(docs)
     assert got[21] == 3 and got[23] == 7
+
+
+@pytest.fixture(params=[True, False])
+def dealt(request, spark):
+    """Once with partitions put together, once with many of a few rows, so that groups and runs cross their borders."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    if request.param:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def brute_runs(docs):
+    """For each line the most lines from it on that also start at an earlier place."""
+    rows = [(i, (t or "").split("\n")) for i, t in sorted(docs)]
+    places = {}
+    for i, lines in rows:
+        for k, line in enumerate(lines):
+            places.setdefault(line, []).append((i, k))
+    texts, out = dict(rows), {}
+    for i, lines in rows:
+        for k, line in enumerate(lines):
+            best = 0
+            for j, m in places[line]:
+                if (j, m) < (i, k):
+                    n = 0
+                    while k + n < len(lines) and m + n < len(texts[j]) and lines[k + n] == texts[j][m + n]:
+                        n += 1
+                    best = max(best, n)
+            if best:
+                out[i, k] = best
+    return out
+
+
+def random_docs(seed):
+    draw = random.Random(seed)
+    docs = [(i, "\n".join(draw.choice("ABC") for _ in range(draw.randint(1, 30)))) for i in range(50)]
+    passages = [[f"{p}-{k}" for k in range(40)] for p in range(3)]
+    for i in range(40):
+        p, a = draw.choice(passages), draw.randrange(30)
+        docs.append((300 + i, "\n".join([f"own {i}", *p[a : a + draw.randint(1, 30)], f"end {i}", *draw.choice(passages)[:3]])))
+    return docs + [(600 + i, "same\n\nsame\nlines") for i in range(25)] + [(700, "\n".join(["again"] * 90)), (701, None), (702, "")]
+
+
+def test_maximal_runs_against_brute_force(spark, dealt):
+    for seed in (1, 2):
+        docs = random_docs(seed)
+        frame = spark.createDataFrame([(i, 7, t) for i, t in docs], "_id long, _h long, _text string")
+        got = {(r._id, r.pos): r.run for r in ld.repeated_runs(frame).collect()}
+        assert got == brute_runs(docs)
+
+
+def test_suffix_array_is_sorted_and_complete(spark, dealt):
+    docs = [(i, t or "") for i, t in random_docs(3)]
+    array, _ = ld.suffix_array(spark.createDataFrame([(i, 7, t) for i, t in docs], "_id long, _h long, _text string"))
+    rows = sorted(array.collect(), key=lambda r: (r.part, r.id, r.off, r._id, r._h, r.pos))
+    texts, counts = {i: t.split("\n") for i, t in docs}, Counter(line for _, t in docs for line in t.split("\n"))
+    suffixes = [texts[r._id][r.pos :] for r in rows]
+    assert sorted((r._id, r.pos) for r in rows) == sorted((i, k) for i, lines in texts.items() for k, line in enumerate(lines) if counts[line] > 1)
+    ids, ranks = {}, {}
+    for r, s in zip(rows, suffixes):
+        assert ids.setdefault(s[0], r.id) == r.id and ranks.setdefault(tuple(s), (r.id, r.off)) == (r.id, r.off)
+    assert len(set(ranks.values())) == len(ranks)
+    for r, a, b in zip(rows[1:], suffixes, suffixes[1:]):
+        common = 0
+        while common < min(len(a), len(b)) and a[common] == b[common]:
+            common += 1
+        assert r.lcp == common
+
+
+def test_sweep_in_pieces_equals_the_whole():
+    draw = random.Random(6)
+    for _ in range(200):
+        n = draw.randint(1, 40)
+        prefixes, places = [0] + [draw.choice((0, 1, 1, 2, 3, 5)) for _ in range(n - 1)], [(p,) for p in draw.sample(range(100), n)]
+        want = []
+        for k in range(n):
+            best = 0
+            for side in (range(k - 1, -1, -1), range(k + 1, n)):
+                least = 1 << 40
+                for j in side:
+                    least = min(least, prefixes[j + 1] if j < k else prefixes[j])
+                    if places[j] < places[k]:
+                        best = max(best, least)
+            want.append(best)
+        cuts = [0, *sorted(draw.sample(range(1, n), min(n - 1, draw.randint(0, 5)))), n]
+        told = {}
+        for q, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            left, right = [], []
+            ld.sweep(prefixes[a:b], places[a:b], left)
+            ld.sweep([*prefixes[a + 1 : b], 0][::-1], places[a:b][::-1], right)
+            told[q] = (prefixes[a], min(prefixes[a + 1 : b], default=1 << 40), left, right)
+        got = []
+        for q, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            left, right, following = ld._stack_carries(told)[q]
+            one = ld.sweep(prefixes[a:b], places[a:b], list(left))
+            other = ld.sweep([*prefixes[a + 1 : b], following][::-1], places[a:b][::-1], list(right))[::-1]
+            got += map(max, one, other)
+        assert got == want
+
+
+def test_columns_of_any_name_and_very_long_texts(spark, dealt):
+    rows = [(2, "a\nb\nc", 1, "s", "x", "y", 9, 8), (1, "a\nb\nd", 2, "t", "x", "y", 9, 8), (1, "a\nb\nd", 3, "t", "x", "y", 9, 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _h int, _starts string, _id string, c0 string, pos int, n_lines int")
+    got = sorted((r.doc_id, r.text, r._h, r._starts, r._id, r.c0, r.pos, r.n_lines, r.n_removed) for r in ld.deduplicate(frame).collect())
+    assert got == [(1, "a\nb\nd", 2, "t", "x", "y", 9, 3, 0), (1, "a\nb\nd", 3, "t", "x", "y", 9, 3, 0), (2, "c", 1, "s", "x", "y", 9, 3, 2)]
+    long = [f"line {k}" for k in range(20_000)]
+    docs = [(1, "\n".join(long)), (2, "\n".join(["x", *long[5000:17_000], "y"])), (3, "z" * 300_000 + "\nline 3"), (4, "z" * 300_000 + "\nline 3")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.longest_run) for r in ld.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (20_000, 0, 0), 2: (12_002, 12_000, 12_000), 3: (2, 0, 0), 4: (2, 2, 2)}
+
+
+def test_string_ids_and_any_least_run(spark):
+    docs = [("b", "p\nq\nr\ns"), ("a", "p\nq\nr\nt"), ("c", "q\nr\ns\nv")]
+    frame = spark.createDataFrame(docs, "doc_id string, text string")
+    assert {r.doc_id: r.text for r in ld.deduplicate(frame, min_lines=3).collect()} == {"a": "p\nq\nr\nt", "b": "s", "c": "v"}
