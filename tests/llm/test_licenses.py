@@ -40,3 +40,85 @@ def test_rows(spark):
 
 def test_empty_table(spark):
     assert lc.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def words_edited(draw, text, changed, added):
+    """The text with so many words replaced and so many put in."""
+    words = text.split()
+    for k in draw.sample(range(len(words)), changed):
+        words[k] = f"zz{draw.randrange(999)}"
+    for _ in range(added):
+        words.insert(draw.randrange(len(words)), f"yy{draw.randrange(999)}")
+    return " ".join(words)
+
+
+def test_every_copy_is_found():
+    import random
+
+    draw = random.Random(8)
+    scanner = lc.Scanner(lc.TEMPLATES)
+    for name in ("MIT-header", "MIT-full", "GPL-3.0-header", "Apache-2.0-header", "BSD-3-Clause-full", "BSD-3-Clause", "ISC-full", "Zlib", "Unlicense", "MPL-2.0-header", "all-rights-reserved", "Apache-2.0"):
+        text = lc.TEMPLATES[name]
+        for n in (1, 2, 3, 7):
+            for between in ("\n", "\n// file\n", "\n" + "other words stand here " * 30):
+                found = scanner.scan("start " + between.join([text] * n) + " end")
+                assert [h["license"] for h in found] == [name] * n, (name, n, between)
+                assert all(h["coverage"] == 1 for h in found)
+
+
+def test_edited_copies_against_a_full_alignment():
+    """Copies of which at least the least share of words is left, among prose; their places are known."""
+    import random
+
+    draw = random.Random(9)
+    scanner = lc.Scanner(lc.TEMPLATES)
+    prose = [f"w{k}" for k in range(300)] + "the of this software and to in code notice copyright free license".split()
+    for name in ("MIT-full", "GPL-3.0-header", "Apache-2.0-header", "ISC-full", "Zlib", "BSL-1.0"):
+        size = len(lc.words_of(lc.TEMPLATES[name])[0])
+        for _ in range(20):
+            parts, places, at = [], [], 0
+            for _ in range(draw.randint(1, 4)):
+                gap = " ".join(draw.choice(prose) for _ in range(draw.randint(0, 60))) + " "
+                copy = words_edited(draw, lc.TEMPLATES[name], draw.randint(0, size // 12), draw.randint(0, 6))
+                parts += [gap, copy, " "]
+                places.append((at + len(gap), at + len(gap) + len(copy)))
+                at += len(gap) + len(copy) + 1
+            found = [h for h in scanner.scan("".join(parts)) if h["end"] - h["start"] > 200 or size < 40]
+            assert len(found) == len(places), (name, found, places)
+            for h, (a, b) in zip(found, places):
+                assert min(h["end"], b) - max(h["start"], a) > 0.8 * (b - a) and h["license"].split("-")[0] == name.split("-")[0]
+
+
+def test_no_hit_below_the_least_coverage_and_very_long_texts():
+    import random
+
+    draw = random.Random(10)
+    scanner = lc.Scanner(lc.TEMPLATES)
+    words = lc.TEMPLATES["GPL-3.0-header"].split()
+    shuffled = list(words)
+    draw.shuffle(shuffled)
+    assert scanner.scan(" ".join(words[: len(words) // 2])) == [] and scanner.scan(" ".join(shuffled)) == []
+    long = " license software conditions" * 100_000 + " " + lc.TEMPLATES["MIT-full"] + " all rights" * 50_000
+    assert [h["license"] for h in scanner.scan(long)] == ["MIT-full"]
+    assert len(scanner.scan("All rights reserved. " * 5000)) == 5000
+
+
+def test_ties_go_to_the_name(spark):
+    same = {"b": "alpha beta gamma delta", "a": "alpha beta gamma delta"}
+    frame = spark.createDataFrame([(1, "so alpha beta gamma delta then"), (1, "so alpha beta gamma delta then")], "doc_id long, text string")
+    assert [(r.license, r.n_hits) for r in lc.scan(frame, same).collect()] == [("a", 1)] * 2
+    assert [r.n_hits for r in lc.scan(frame, {}).collect()] == [0, 0]
+
+
+def test_query_against_plain_scan(spark, sf_dir):
+    from tramline.llm import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = {}
+    for d in docs:
+        text = (d.text or "").lower()
+        # One of the short notices, word for word.
+        want[d.doc_id] = any(" ".join(lc.words_of(t)[0]) in " ".join(lc.words_of(text)[0]) for t in lc.TEMPLATES.values())
+    got = {r.doc_id: r.n_hits > 0 for r in queries.op4_license_scan(spark, sf_dir).collect()}
+    assert set(got) == set(want) and any(got.values())
+    assert all(got[i] for i, hit in want.items() if hit)

@@ -1,6 +1,9 @@
 """License scans (operator 4): patience alignment of texts with license templates.
 
-Around the telling words of a template a window of the text is cut out. Words that are
+A template is looked for around its telling words. Each occurrence of a word that the
+template has once is tried as a fixed point; the text before it, back to the same word
+before, and the text behind it, up to the same word behind, are aligned with the
+template's two halves, so copies that follow each other are told apart. Words that are
 unique both there and in the template are anchors; the longest chain of them that ascends
 in both is kept, and the gaps between are aligned in the same way, with equal words at
 their ends first. What share of the template's words is aligned is its coverage.
@@ -36,15 +39,92 @@ TEMPLATES = {
         "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
         "of the Software."
     ),
+    "MIT-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+        "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        'of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS "
+        "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "BSD-2-Clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
+    "BSD-3-Clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "ISC-full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be "
+        "misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+        "product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare '
+        "derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0": "Licensed under CC BY 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
@@ -103,52 +183,92 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _near(pairs: list[tuple[int, int]], fixed: int, reach: int) -> list[tuple[int, int]]:
+    """The pairs around that of index ``fixed`` whose text positions are at most ``reach`` apart; others are chance."""
+    lo = hi = fixed
+    while lo and pairs[lo][0] - pairs[lo - 1][0] <= reach:
+        lo -= 1
+    while hi + 1 < len(pairs) and pairs[hi + 1][0] - pairs[hi][0] <= reach:
+        hi += 1
+    return pairs[lo : hi + 1]
+
+
+class Template:
+    """Words of a template, its telling words, and how many of these a text of the least coverage has."""
+
+    def __init__(self, text: str, least: float):
+        self.words = words_of(text)[0]
+        counts = Counter(self.words)
+        # The longest words, a third of them at least: more than a text of the least coverage may lack.
+        lacking = int((1 - least) * len(self.words) + 1e-9)
+        ordered = sorted(counts, key=lambda w: (-len(w), w))
+        self.telling = set(ordered[: max(2, -(-len(ordered) // 3), lacking + 1)])
+        self.needed = max(1, len(self.telling) - lacking)
+        self.fixed = {w: k for k, w in enumerate(self.words) if counts[w] == 1 and (w in self.telling or len(self.telling) > len(ordered) / 2)}
+
+
 class Scanner:
-    """Windows of a text around the words that tell a template, and their alignment."""
-
-    def __init__(self, templates: dict[str, str]):
-        self.templates = {name: words_of(text)[0] for name, text in sorted(templates.items())}
-        self.telling: dict[str, list[str]] = {}
-        #: Each template is told by its longest words, a third of them at least, so that any text of the least coverage has one.
-        for name, words in self.templates.items():
-            unique = sorted(set(words), key=lambda w: (-len(w), w))
-            for w in unique[: max(2, -(-len(unique) // 3))]:
-                self.telling.setdefault(w, []).append(name)
-
-    def scan(self, text: str | None, least: float) -> list[dict]:
+    """Finds each copy of each template in a text."""
+
+    def __init__(self, templates: dict[str, str], least: float = COVERAGE):
+        import ahocorasick
+
+        self.least = least
+        self.templates = {name: Template(text, least) for name, text in sorted(templates.items())}
+        self.owners: dict[str, list[str]] = {}
+        self.any_word = ahocorasick.Automaton()
+        for name, t in self.templates.items():
+            for w in t.telling | set(t.fixed):
+                self.owners.setdefault(w, []).append(name)
+                self.any_word.add_word(w, w)
+        if self.owners:
+            self.any_word.make_automaton()
+
+    def _copies(self, name: str, words: list[str], places: dict[str, list[int]]) -> Iterator[tuple[float, int, int]]:
+        """(coverage, first word, last word) of the copies of a template, from left to right, none of which overlap."""
+        template = self.templates[name]
+        size, telling = len(template.words), template.telling
+        told = sorted((k, w) for w in telling for k in places.get(w, ()))
+        at = [k for k, _ in told]
+        done = 0
+        for k, w in sorted((k, w) for w in template.fixed for k in places.get(w, ())):
+            if k < done:
+                continue
+            own, o = places[w], template.fixed[w]
+            x = bisect_left(own, k)
+            left = max(done, own[x - 1] + 1 if x else 0, k - o - size)
+            right = min(own[x + 1] if x + 1 < len(own) else len(words), k + 2 * size - o)
+            if len({w for _, w in told[bisect_left(at, left) : bisect_left(at, right)]}) < template.needed:
+                continue
+            before = [(i + left, j) for i, j in align(words[left:k], template.words[:o])]
+            behind = [(i + k + 1, j + o + 1) for i, j in align(words[k + 1 : right], template.words[o + 1 :])]
+            pairs = _near([*before, (k, o), *behind], len(before), max(10, size // 2))
+            if len(pairs) >= self.least * size - 1e-9:
+                done = pairs[-1][0] + 1
+                yield len(pairs) / size, pairs[0][0], pairs[-1][0]
+
+    def scan(self, text: str | None) -> list[dict]:
         """Hits (license, coverage, start, end), best first for each place; overlapping lesser ones are left out."""
-        lowered = (text or "").lower()
-        if not any(w in lowered for w in self.telling):
+        if not text or not self.owners or next(self.any_word.iter(text.lower()), None) is None:
             return []
         words, spans = words_of(text)
-        seeds: dict[str, list[int]] = {}
+        places: dict[str, list[int]] = {}
         for k, w in enumerate(words):
-            for name in self.telling.get(w, ()):
-                seeds.setdefault(name, []).append(k)
+            if w in self.owners:
+                places.setdefault(w, []).append(k)
+        found = Counter(name for w in places for name in self.owners[w] if w in self.templates[name].telling)
         hits = []
-        for name, at in seeds.items():
-            template = self.templates[name]
-            reach = len(template)
-            lo = 0
-            while lo < len(at):
-                hi = lo
-                # Seeds of one copy lie within the length of the template.
-                while hi + 1 < len(at) and at[hi + 1] - at[lo] < reach:
-                    hi += 1
-                start, end = max(0, at[lo] - reach), min(len(words), at[hi] + reach)
-                pairs = align(words[start:end], template)
-                coverage = len(pairs) / reach
-                if coverage >= least:
-                    # Aligned words far off the rest are chance; the hit spans the window's copy.
-                    first, last = start + pairs[0][0], start + pairs[-1][0]
-                    hits.append((coverage, reach, name, spans[first][0], spans[last][1]))
-                lo = hi + 1
+        for name, n in found.items():
+            if n >= self.templates[name].needed:
+                size = len(self.templates[name].words)
+                hits += [(c, size, name, spans[a][0], spans[b][1]) for c, a, b in self._copies(name, words, places)]
         hits.sort(key=lambda h: (-h[0] * h[1], -h[0], h[2], h[3]))
-        kept: list[tuple] = []
-        for h in hits:
-            if all(h[4] <= k[3] or h[3] >= k[4] for k in kept):
-                kept.append(h)
-        return [{"license": h[2], "coverage": h[0], "start": h[3], "end": h[4]} for h in sorted(kept, key=lambda h: h[3])]
+        kept: list[tuple[int, int, str, float]] = []
+        for c, _, name, start, end in hits:
+            x = bisect_left(kept, (start,))
+            if (x == 0 or kept[x - 1][1] <= start) and (x == len(kept) or kept[x][0] >= end):
+                kept.insert(x, (start, end, name, c))
+        return [{"license": name, "coverage": c, "start": start, "end": end} for start, end, name, c in kept]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -156,17 +276,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
 
     hits lists (license, coverage, start, end) in the order of the text; license and
     coverage are those of the best one (most words aligned, then the name), null without a
-    hit. Null and empty texts have none; rows with the same id stay rows of their own; null
+    hit. Each copy in a text is a hit of its own, copies one after the other too. Null and empty texts have none; rows with the same id stay rows of their own; null
     ids stay null; other columns are ignored. Templates are constants of the code, or given.
     """
     templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates)
-        sizes = {name: len(words) for name, words in scanner.templates.items()}
+        scanner = Scanner(templates, coverage)
+        sizes = {name: len(t.words) for name, t in scanner.templates.items()}
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            found = [scanner.scan(t.as_py(), coverage) for t in batch.column(1)]
+            found = [scanner.scan(t.as_py()) for t in batch.column(1)]
             best = [max(h, key=lambda x: (x["coverage"] * sizes[x["license"]], x["coverage"]), default={}) for h in found]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([b.get("license") for b in best], pa.string()), pa.array([b.get("coverage") for b in best], pa.float64()),
