@@ -36,3 +36,10 @@ def test_repeated_rows_empty_tables(spark):
     assert sorted(((r.page_id, r.verdict) for r in uf.judge(twice, rules).collect()), key=repr) == [(1, "block"), (1, "block"), (None, "block")]
     assert uf.judge(twice.limit(0), rules).count() == 0
     assert {r.verdict for r in uf.judge(twice, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_very_long_hosts_and_paths(spark):
+    urls = ["http://" + "a." * 500_000 + "example.com/en/x", "http://example.com/" + "x" * 1_000_000, "http://" + "b" * 1_000_000 + ".net/es/" + "y/" * 300_000, "http://" + "." * 300_000]
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got == {k: brute(u, queries.URL_RULES) for k, u in enumerate(urls)}

@@ -3,7 +3,8 @@
 A rule (host, path) fits its host and all subdomains where the URL's path starts with the
 rule's. In keys of reversed host labels and path, a rule is a prefix, so it is the interval
 of the keys that it begins; intervals of prefixes nest or are disjoint. A URL has one key
-for each of its host suffixes. Keys and rules are sorted together, the last rule before a
+for each of its host suffixes of as many labels as rules have; longer ones, and more of the
+path than the longest rule has, can't tell rules apart. Keys and rules are sorted together, the last rule before a
 key carries the stack of the rules that it lies in, and the innermost of that stack which
 still holds the key fits it. DataFrame functions only.
 """
@@ -58,18 +59,24 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
     The longest fitting rule (host and path together, then the longer host) judges; where
     none fits, rule is null and the verdict the default. A null URL or one without :// has
-    an empty host and path. Repeated rows and null ids stay rows of their own; other
+    an empty host and path. Hosts and URLs may be very long: keys are only as deep and as
+    long as the rules. Repeated rows and null ids stay rows of their own; other
     columns are ignored. Rows are dealt by a hash of their number, so a host with very many
     URLs is spread; the rules, and only they, are repeated for each of the ``salts`` sweeps
     (as many as shuffle partitions, if not given).
     """
+    # One row about the rules: how many labels and how much of a path a key needs.
+    shape = rules.agg(
+        F.coalesce(F.max(F.size(F.split(F.coalesce("host", F.lit("")), r"\."))), F.lit(1)).alias("labels"),
+        F.coalesce(F.max(F.char_length(F.coalesce("path", F.lit("")))), F.lit(0)).alias("path")).first()
     salts = salts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pages = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url")).withColumn("_row", F.monotonically_increasing_id())
     # The row number only groups what was one row; it is taken once, before the only shuffle.
     urls = pages.select("_id", "_row", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path")).withColumn("labels", F.split("host", r"\."))
     keys = urls.select(
         F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int").alias("sweep"), "_id", "_row", "host", "path",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda n: _key(F.slice("labels", -n, n), F.col("path")))).alias("key"),
+        F.explode(F.transform(
+            F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(shape["labels"]))), lambda n: _key(F.slice("labels", -n, n), F.left("path", F.lit(shape["path"]))))).alias("key"),
         F.lit(1).alias("kind"),
     )
     nested = nested_rules(rules)
