@@ -69,3 +69,46 @@ def test_empty_table_and_string_ids(spark):
 def test_bands_meet_the_recall():
     bands = nj.bands_for(0.8, 0.995, 8)
     assert 1 - (1 - 0.8**8) ** bands >= 0.995
+
+
+def test_a_chain_is_dealt_by_bands(spark):
+    draw = random.Random(7)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(2500)]
+    docs = [(i, " ".join(words[12 * i : 12 * i + 130])) for i in range(190)] + documents()
+    frame = spark.createDataFrame([(i + 10_000 * (k >= 190), t) for k, (i, t) in enumerate(docs)], "doc_id long, text string")
+    want = brute([(r.doc_id, r.text) for r in frame.collect()])
+    assert max(Counter(c for c, _ in want.values()).values()) > 150
+    for block in (4, 64):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in nj.similarity_join(frame, block=block, recall=0.9999).collect()}
+        assert got == want
+
+
+def test_recall_of_the_shipped_settings(spark):
+    """Pairs that are just as similar as they have to be."""
+    draw = random.Random(11)
+    docs = []
+    for k in range(900):
+        text = [f"w{draw.randrange(10**7)}" for _ in range(104)]
+        copy = list(text)
+        for at in draw.sample((10, 30, 50, 70, 90), 2):
+            copy[at] = "changed"
+        docs += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+    want = brute(docs)
+    linked = {i for i, (_, n) in want.items() if n}
+    assert len(linked) == 1800  # each pair has 90 of 110 n-grams in common
+    got = {r.doc_id for r in nj.similarity_join(spark.createDataFrame(docs, "doc_id long, text string")).where("n_links > 0").collect()}
+    assert got <= linked and len(got) >= 0.99 * len(linked)
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    from tramline.llm import queries
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r.doc_id: (r.class_id, r.n_links) for r in queries.op2_ngram_jaccard(spark, sf_dir).collect()} == brute(docs)
+
+
+def test_very_long_text(spark):
+    draw = random.Random(2)
+    long = " ".join(f"w{draw.randrange(5000)}" for _ in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x" * 1_000_000)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in nj.similarity_join(docs).collect()} == {1: 1, 2: 1, 3: 3}

@@ -2,9 +2,11 @@
 
 Texts with the same set of n-grams form one copy class, of which only the least id goes
 on. Its signature is cut into bands; classes that share a band are candidates. Candidates
-are verified on their full n-gram sets, inside connected components of candidates: a
-component of up to BLOCK classes is one group of rows, a larger one is dealt into pairs of
-blocks, so no task holds more than two blocks and no row is written for a pair.
+are verified on their full n-gram sets. A connected component of up to BLOCK classes is one
+group of rows. A larger one is dealt into pairs of blocks, or, where that sends less, by
+bands: each of its band buckets into pairs of blocks, where a pair counts in the first band
+that it shares. So chains of texts that share no band don't meet, no task holds more than
+two blocks, and no row is written for a pair.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ THRESHOLD = 0.8
 #: Least probability that a pair of just THRESHOLD shares a band.
 RECALL = 0.995
 ROWS = 8
-BLOCK = 256
+BLOCK = 512
 
 _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,20 +113,23 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, te
 
 
 def _verify(words: int, threshold: float, kind: str):
-    """Links inside each (component, block, block): rows sorted by these three."""
+    """Links inside each (component, band key or 0, block, block): rows sorted by these four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for (comp, a, b), rows in groups_of(batches, 3):
-            unique = {r[3]: r for r in rows}
+        for (_, band, a, b), rows in groups_of(batches, 4):
+            unique = {r[4]: r for r in rows}
             ids = sorted(unique)
-            copies = np.array([unique[i][4] for i in ids], np.int64)
-            block = np.array([unique[i][5] for i in ids])
-            keys = np.array([unique[i][6] for i in ids], np.int64).reshape(len(ids), -1)
-            sets = [np.frombuffer(unique[i][7], np.uint64) for i in ids]
+            copies = np.array([unique[i][5] for i in ids], np.int64)
+            block = np.array([unique[i][6] for i in ids])
+            keys = np.array([unique[i][7] for i in ids], np.int64).reshape(len(ids), -1)
+            sets = [np.frombuffer(unique[i][8], np.uint64) for i in ids]
             size = np.array([len(s) for s in sets])
             near = np.zeros((len(ids), len(ids)), bool)
             for column in keys.T:
+                if band and column[0] == band:
+                    near = ~near
+                    break
                 near |= column[:, None] == column[None, :]
             near &= np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
             near &= (block[:, None] != block[None, :]) | (a == b)
@@ -202,9 +207,22 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head != tail").select("key", "head")
     edges = lookup(keyed, shared, "key", "rep").where("rep != head").select(F.col("head").alias("src"), F.col("rep").alias("dst"))
     comps = components(edges)
-    sizes = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("n_blocks"))
-    placed = lookup(comps, sizes, "comp", "node").select(
-        F.col("node").alias("rep"), "comp", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("blk"))
+    blocks = lambda n: F.ceil(n / F.lit(float(block))).cast("int")
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).withColumn("n_blocks", blocks(F.col("n")))
+    placed = lookup(comps, sizes, "comp", "node").select(F.col("node").alias("rep"), "comp", "n", "n_blocks")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("band"), "n_blocks"))
+    if sizes.where("n_blocks > 1").isEmpty():
+        placed = placed.select("rep", "comp", whole.alias("deals"))
+    else:
+        # Which of the two ways sends fewer sets: all pairs of blocks, or those of each band bucket.
+        banded = keyed.join(placed.where("n_blocks > 1").select("rep", "comp"), "rep")
+        buckets = cut(banded.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("in_band")).where("in_band > 1").withColumn("n_blocks", blocks(F.col("in_band"))))
+        costs = buckets.groupBy("comp").agg(F.sum(F.col("in_band") * F.col("n_blocks")).alias("cost"))
+        cheaper = cut(costs.join(sizes, "comp").where(F.col("cost") < F.col("n") * F.col("n_blocks")).select("comp", F.lit(True).alias("by_band")))
+        parts = lookup(banded, buckets.join(cheaper, "comp").select("key", "n_blocks"), "key", "rep")
+        deals = parts.groupBy("rep").agg(F.collect_list(F.struct(F.col("key").alias("band"), "n_blocks")).alias("band_deals"))
+        placed = lookup(placed, cheaper, "comp", "rep", "left").join(deals, "rep", "left").select(
+            "rep", "comp", F.when(F.col("by_band"), F.coalesce("band_deals", F.array())).otherwise(whole).alias("deals"))
     placed = placed.join(reps.select("rep", "copies", "keys", "digest"), "rep")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +232,18 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text, digest in zip(batch.column(0), batch.column(1)):
                 raw = make.of(text.as_py()).tobytes()
                 packed.append(raw if hashlib.blake2b(raw, digest_size=16).digest() == digest.as_py() else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(packed, pa.binary())], ["comp", "n_blocks", "blk", "rep", "copies", "keys", "grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(packed, pa.binary())], ["comp", "deals", "rep", "copies", "keys", "grams"])
 
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("_text"))
     full_sets = (
-        texts.join(placed, "rep").select("_text", "digest", "comp", "n_blocks", "blk", "rep", "copies", "keys")
-        .mapInArrow(grams, f"comp {kind}, n_blocks int, blk int, rep {kind}, copies long, keys array<long>, grams binary").where("grams is not null")
+        texts.join(placed, "rep").select("_text", "digest", "comp", "deals", "rep", "copies", "keys")
+        .mapInArrow(grams, f"comp {kind}, deals array<struct<band: long, n_blocks: int>>, rep {kind}, copies long, keys array<long>, grams binary").where("grams is not null")
     )
+    dealt = full_sets.withColumn("deal", F.explode("deals")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("deal.n_blocks")).cast("int"))
     dealt = (
-        full_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("comp", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "rep", "copies", "blk", "keys", "grams")
-        .repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b")
+        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deal.n_blocks") - 1)))
+        .select("comp", "deal.band", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "rep", "copies", "blk", "keys", "grams")
+        .repartition("comp", "band", "a", "b").sortWithinPartitions("comp", "band", "a", "b")
     )
     verified = cut(
         dealt.mapInArrow(_verify(words, threshold, kind), f"rep {kind}, links long, root {kind}")
