@@ -59,3 +59,26 @@ def test_rows_and_round_trip(spark, reference):
 
 def test_empty_table(spark):
     assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH, vocabularies.PATTERN).count() == 0
+
+
+def test_a_vocabulary_above_the_cap_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_VOCABULARY_BYTES", 1000)
+    docs = spark.createDataFrame([(1, "a", [1])], "doc_id long, text string, token_ids array<int>")
+    for call in (bpe.encode_documents, bpe.decode_documents):
+        with pytest.raises(ValueError):
+            call(docs, PATH, vocabularies.PATTERN)
+
+
+def test_long_pieces_are_not_remembered(codec, reference):
+    text = "start " + "x" * 5000 + " " + "y" * 4000 + " end"
+    assert codec.encode(text) == reference.encode_ordinary(text)
+    assert max(map(len, [*codec.pieces, *codec.chunks])) <= bpe.LONG_PIECE
+
+
+def test_query_against_the_reference(spark, sf_dir, reference):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = {}
+    for d in docs:
+        ids = reference.encode_ordinary(d.text or "")
+        want[d.doc_id] = (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((d.text or "").encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op10_byte_bpe(spark, sf_dir).collect()} == want

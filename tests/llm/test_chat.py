@@ -55,3 +55,28 @@ def test_branches_of_trees(spark):
 def test_empty_table(spark):
     nodes = chat.reply_chains(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert chat.digests(chat.format_branches(nodes, chat.branches(nodes))).count() == 0
+
+
+def test_ties_repeated_rows_and_null_roles(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "c"), (1, 1, "assistant", "d"), (1, 1, "assistant", "d"), (2, None, None, "x"), (2, 0, "assistant", None)]
+    nodes = chat.reply_chains(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    formatted = {r.tree: [t[:2] for t in chat.read_back(r.formatted)] for r in chat.format_branches(nodes, chat.branches(nodes)).collect()}
+    assert formatted == {1: [("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "d"), ("assistant", "d")], 2: [("", "x"), ("assistant", "")]}
+
+
+def test_query_against_a_plain_version(spark, sf_dir):
+    from tramline.llm import queries
+
+    said = "\\### Assistant: </turn> ok"
+    told = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    turns = {}
+    for conv, _, role, text in sorted([*told, (-7, 0, "user", said), (-7, 1, "assistant", said)], key=lambda x: (x[0], x[1])):
+        turns.setdefault(conv, []).append((role, text or ""))
+    want = {}
+    for conv, own in turns.items():
+        loss = "".join(t for r, t in own if r == "assistant")
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want[conv] = (len(own), digest("".join(f"{r}\n{t}\n" for r, t in own)), len(loss), digest(loss))
+    got = {r.conv_id: r for r in queries.op5_chat_format(spark, sf_dir).collect()}
+    assert {c: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for c, r in got.items()} == want
+    assert got[-7].formatted_chars > 2 * len(said)

@@ -61,3 +61,25 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert dc.scan(none, items).count() == 0
     assert [tuple(r)[:3] for r in dc.scan(docs, items).collect()] == [(1, 2, 0)]
+
+
+def test_long_items_in_pieces_and_very_long_texts(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(dc, "PIECE_WORDS", 7)
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(draw.choice(words) for _ in range(draw.randint(1, 60)))) for k in range(20)]
+    docs = [(k, " ".join(draw.choice(words) for _ in range(draw.randint(0, 30))) + " " + " ".join(items[k % 20][1].split()[3:21])) for k in range(40)] + [(99, "x " * 300_000 + items[0][1])]
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in dc.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()), key=repr)
+    assert got == brute(docs, items)
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    import hashlib
+
+    from tramline.llm import queries
+
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(*c).collect()] for t, c in (("documents", ("doc_id", "text")), ("benchmark", ("item_id", "text"))))
+    want = {i: (n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0) for i, n, hit, names in brute(docs, items)}
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in queries.op9_decontamination(spark, sf_dir).collect()} == want

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: A vocabulary file above this size is refused: it is sent to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Encoded pieces that a Python worker remembers.
-MAX_PIECES = 400_000
+#: Encoded pieces that a Python worker remembers; those of more characters than LONG_PIECE are encoded anew.
+MAX_PIECES, LONG_PIECE = 400_000, 128
 
 
 class ByteBpe:
@@ -116,13 +116,21 @@ class ByteBpe:
                 at -= len(entry[rank])
         return tuple(out)
 
-    def _pieces(self, text: str) -> Iterator[int]:
-        known, found = self.pieces, self.split(text)
+    def _remembered(self, known: dict[str, tuple[int, ...]], texts: list[str], encode: Callable[[str], tuple[int, ...]]) -> list[int]:
+        """Ids of the texts one after the other; short ones are encoded once and remembered."""
         if len(known) > MAX_PIECES:
             known.clear()
-        for p in set(found).difference(known):
-            known[p] = self.piece(p)
-        return chain.from_iterable(map(known.__getitem__, found))
+        new = set(texts).difference(known)
+        for t in new:
+            known[t] = encode(t)
+        out = list(chain.from_iterable(map(known.__getitem__, texts)))
+        for t in new:
+            if len(t) > LONG_PIECE:
+                del known[t]
+        return out
+
+    def _pieces(self, text: str) -> list[int]:
+        return self._remembered(self.pieces, self.split(text), self.piece)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text.
@@ -133,17 +141,11 @@ class ByteBpe:
         """
         first, *rest = text.split(" ")
         if not rest:
-            return list(self._pieces(text))
+            return self._pieces(text)
         *rest, last = rest
-        known = self.chunks
-        if len(known) > MAX_PIECES:
-            known.clear()
-        new = set(rest).difference(known)
-        if first[-1:].isspace() or last[:1].isspace() or not last or any(not c or c[0].isspace() or c[-1].isspace() for c in new):
-            return list(self._pieces(text))
-        for c in new:
-            known[c] = tuple(self._pieces(" " + c))
-        return [*self._pieces(first), *chain.from_iterable(map(known.__getitem__, rest)), *self._pieces(" " + last)]
+        if first[-1:].isspace() or last[:1].isspace() or not last or any(not c or c[0].isspace() or c[-1].isspace() for c in set(rest).difference(self.chunks)):
+            return self._pieces(text)
+        return [*self._pieces(first), *self._remembered(self.chunks, rest, lambda c: tuple(self._pieces(" " + c))), *self._pieces(" " + last)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.entry.__getitem__, ids))
@@ -161,6 +163,15 @@ def codec(vocabulary: bytes, pattern: str) -> ByteBpe:
     return _CODECS[key]
 
 
+def _vocabulary(path: str) -> bytes:
+    """The vocabulary file, whole, or an error if it is too large to send."""
+    with open(path, "rb") as f:
+        raw = f.read(MAX_VOCABULARY_BYTES + 1)
+    if len(raw) > MAX_VOCABULARY_BYTES:
+        raise ValueError(f"vocabulary of more than {MAX_VOCABULARY_BYTES} bytes")
+    return raw
+
+
 def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                      keep_ids: bool = True) -> DataFrame:
     """(id, n_tokens, token_ids, ids_sha256, decoded_sha256), one row for each input row.
@@ -170,11 +181,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
     in the map stage of the scan; nothing is shuffled. The vocabulary is read on the
     driver, is refused above MAX_VOCABULARY_BYTES, and is broadcast.
     """
-    with open(vocabulary_path, "rb") as f:
-        raw = f.read(MAX_VOCABULARY_BYTES + 1)
-    if len(raw) > MAX_VOCABULARY_BYTES:
-        raise ValueError(f"vocabulary of more than {MAX_VOCABULARY_BYTES} bytes")
-    shared = docs.sparkSession.sparkContext.broadcast(raw)
+    shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -208,9 +215,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
 
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """(id, decoded binary) of token ids; a null list decodes to no bytes. An unknown id raises."""
-    with open(vocabulary_path, "rb") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read(MAX_VOCABULARY_BYTES))
+    """(id, decoded binary) of token ids; a null list decodes to no bytes. An unknown id and a vocabulary above MAX_VOCABULARY_BYTES raise."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(shared.value, pattern)

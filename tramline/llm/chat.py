@@ -91,7 +91,8 @@ def reply_chains(conversations: DataFrame) -> DataFrame:
     """Nodes (tree_id, node_id, parent_id, role, text, score) of rows (conv_id, turn, role, text): each turn answers the one before.
 
     Turns are ordered by number, null first, then users before assistants, then by text;
-    rows of a null conversation are left out. The score of a turn is 1.
+    equal and repeated rows stay turns of their own. Rows of a null conversation are left
+    out; a null role is an empty one. The score of a turn is 1.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", F.desc("role"), "text")
     numbered = conversations.where("conv_id is not null").select("conv_id", "role", "text", F.row_number().over(order).alias("node_id"))

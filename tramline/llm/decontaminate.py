@@ -14,11 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.common import written
+
 #: Words of one window.
 WINDOW = 10
-#: Bytes of benchmark text that one automaton may hold. A larger benchmark is dealt to
-#: several automata; the documents are then scanned once for each.
-MAX_AUTOMATON_BYTES = 32 << 20
+#: Bytes of the windows (about ten times the text) that one automaton may hold. A larger
+#: benchmark is dealt to several automata; the documents are then scanned once for each,
+#: one after the other.
+MAX_AUTOMATON_BYTES = 8 << 20
+#: An item is dealt in pieces of so many words, which share all but one words of a window.
+PIECE_WORDS = 2000
 
 #: Bytes that are no part of a word become spaces, A-Z become a-z, all bytes of non-ASCII characters stay.
 _NORMAL = bytes(
@@ -36,13 +41,30 @@ def windows(words: list[bytes], size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def _automaton(items: list[tuple[object, str | None]], size: int):
-    """Automaton with (index of the pattern, its words), and for each pattern its items."""
+def _pieces(size: int):
+    """Rows (item, text) to its pieces of normal words in UTF-8, with the bytes of their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = normal_words(text)
+                for lo in range(0, max(1, len(words) - size + 1), PIECE_WORDS):
+                    piece = words[lo : lo + PIECE_WORDS + size - 1]
+                    out.append((item, b" ".join(piece), sum(map(len, windows(piece, size)))))
+            items, pieces, sizes = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(pieces, pa.binary()), pa.array(sizes, pa.int64())], ["item", "words", "n_bytes"])
+
+    return run
+
+
+def _automaton(items: list[tuple[str, bytes]], size: int):
+    """Automaton with (index of the pattern, its words), and for each pattern its items, of (item, words)."""
     import ahocorasick
 
     owners: dict[bytes, list[int]] = {}
-    for k, (_, text) in enumerate(items):
-        for w in windows(normal_words(text), size):
+    for k, (_, words) in enumerate(items):
+        for w in windows(words.split(), size):
             owners.setdefault(w, []).append(k)
     found = ahocorasick.Automaton()
     for i, w in enumerate(owners):
@@ -64,20 +86,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     with the same id stay rows of their own; repeated items count once for each item id;
     items without words or with a null id are left out; an empty benchmark hits nothing.
     Other columns are ignored. Documents are scanned in the map stage of the read and are
-    never shuffled. The benchmark is dealt into parts of at most MAX_AUTOMATON_BYTES,
-    measured before anything is sent; each part costs one scan.
+    never shuffled. The benchmark is dealt into parts of about MAX_AUTOMATON_BYTES,
+    measured before anything is sent; each part costs one scan, and a written table of what
+    was found so far, so that only one automaton is in memory at a time.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null").distinct()
-    n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    pieces = items.mapInArrow(_pieces(window), "item string, words binary, n_bytes long")
+    n_bytes = pieces.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-n_bytes // MAX_AUTOMATON_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     out = out.withColumn("_hit", F.lit(None).cast("binary")).withColumn("_items", F.array().cast("array<string>"))
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        rows = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == part).select("item", "words").collect()
+        shared = docs.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["words"])) for r in rows])
         if part < parts - 1:
-            out = out.mapInArrow(_scanner(shared, window), f"_id {kind}, _text string, _hit binary, _items array<string>")
+            out = written(out.mapInArrow(_scanner(shared, window), f"_id {kind}, _text string, _hit binary, _items array<string>"))
+            shared.unpersist()
     fields = f"_id {kind}, n_words long, n_hit long, item_ids array<string>" + ", spans array<struct<start: int, end: int>>" * spans
     last, finish = _scanner(shared, window), _finisher(spans)
     return out.mapInArrow(lambda batches: finish(last(batches)), fields).withColumnRenamed("_id", id_col)

@@ -2,8 +2,8 @@
 
 P(grade <= k) = sigmoid(threshold_k - score), where the score is a sum of weights of the
 features that a text has; the weights are shared by all thresholds. The features are the
-lower-cased letter runs of a text and their first four and five letters, each present or
-absent. Weights are not negative, so words of a clean text cannot hide toxic ones, and a
+lower-cased letter runs of a text and their first four and five letters, and in scripts
+without spaces their pairs of letters, each present or absent. Weights are not negative, so words of a clean text cannot hide toxic ones, and a
 lasso penalty leaves few of them, so long clean texts gather no score.
 """
 
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm.common import cut
@@ -31,12 +31,22 @@ PENALTY = 0.0001
 STEPS = 300
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
+#: Letters of scripts that write words without spaces between them.
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7ff\uf900-\ufaff]").search
+
+
+def _pairs(text: str, words: set[str]) -> set[str]:
+    """Pairs of neighbouring letters, and single ones, of words in such scripts."""
+    if not _WIDE(text):
+        return set()
+    return {f"{w[k : k + 2]}~2" for w in words if _WIDE(w) for k in range(len(w))}
 
 
 def features(text: str | None) -> set[str]:
     """Feature names; a word and its prefixes never share a name."""
-    words = set(_LETTERS((text or "").lower()))
-    return words | {f"{w[:4]}~4" for w in words if len(w) > 4} | {f"{w[:5]}~5" for w in words if len(w) > 5}
+    text = (text or "").lower()
+    words = set(_LETTERS(text))
+    return words | {f"{w[:4]}~4" for w in words if len(w) > 4} | {f"{w[:5]}~5" for w in words if len(w) > 5} | _pairs(text, words)
 
 
 @dataclass(frozen=True)
@@ -49,10 +59,12 @@ class OrdinalModel:
 
     def score(self, text: str | None) -> float:
         get = self.weights.get
-        words = set(_LETTERS((text or "").lower()))
+        text = (text or "").lower()
+        words = set(_LETTERS(text))
         found = {w for w in words if w in self.weights}
         found |= {p for w in words if len(w) > 4 and (p := f"{w[:4]}~4") in self.weights}
         found |= {p for w in words if len(w) > 5 and (p := f"{w[:5]}~5") in self.weights}
+        found |= {p for p in _pairs(text, words) if p in self.weights}
         return float(sum(sorted(get(x) for x in found)))
 
     def above(self, score: np.ndarray) -> np.ndarray:
@@ -138,11 +150,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # The sample is bounded by max_rows, so it goes to the scan of the documents.
     texts = texts.join(F.broadcast(sample), "_id").select("_id", "_grade", "_text")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [_hashes(t.as_py()).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["_id", "_grade", "_hashes"])
-
     # One row for each labelled id; the few texts are kept, so that the passes below don't scan the documents again.
     texts = cut(texts.groupBy("_id", "_grade").agg(F.min("_text").alias("_text")))
 
@@ -195,12 +202,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def probabilities(model: OrdinalModel, text: Column) -> Column:
     """Array of P(grade > k), k = 0, 1, ..., of a text column; null counts as empty."""
-    shared = model
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
     def above(texts: pd.Series) -> pd.Series:
-        score = np.fromiter((shared.score(t) for t in texts), float, len(texts))
-        return pd.Series(list(shared.above(score)))
+        score = np.fromiter(map(shared.value.score, texts), float, len(texts))
+        return pd.Series(list(shared.value.above(score)))
 
     return above(text.cast("string"))
 
