@@ -42,13 +42,21 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; every stage is computed once.
 
-    For stages that end no shuffle. The tables stay until the folder is emptied.
+    For stages that end no shuffle. The tables stay until the folder is emptied, or ``emptied``
+    is called.
     """
     path = f"{_shared_folder(session_of(df))}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return session_of(df).read.schema(df.schema).parquet(path)
 
 
+def emptied(table: DataFrame) -> None:
+    """Overwrite a table of ``written`` with no rows, once all that was made from it is written itself."""
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for folder in folders:
+        session_of(table).createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(folder)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores before it until no column of the table is called so."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.common import lookup, written
+from tramline.llm.common import emptied, lookup, written
 from tramline.llm.streams import groups_of
 
 WINDOW, ANCHOR = 50, 25
@@ -323,6 +323,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     anchors = written(rows.mapInArrow(_find_anchors(window, anchor, no_id), "_id long, _t int, pos int, h long, c long"))
     repeated = anchors.select("h", "_id").groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h")
     found = written(lookup(anchors, repeated, "h", "_id"))
+    emptied(anchors)
 
     left = window - anchor
     begin = F.greatest(F.col("pos") - left, F.lit(0)).cast("long")
