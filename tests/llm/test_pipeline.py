@@ -58,14 +58,14 @@ def made(spark, tmp_path_factory):
 
 def brute(texts, labels, items):
     from test_decontaminate import brute as leaks
-    from test_line_dedup import brute as dedup
+    from test_line_dedup import brute_lone
     from test_ngram_join import brute as near
 
     toxic = {i for i, _, t in labels if t}
     stages = []
     docs = {i: t for i, t, *_ in texts if i not in toxic}
     stages.append(dict(docs))
-    edited = dedup(docs.items())
+    edited = brute_lone(docs.items(), 2)
     docs = {i: t for i, (n, gone, t) in edited.items() if gone < n}
     stages.append(dict(docs))
     classes = near(docs.items())
@@ -116,3 +116,31 @@ def test_contaminated_rows_without_an_id_or_with_a_repeated_one(spark, made):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_contaminated(spark, docs, folder)
     assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["clean as well", "clean text"]
+
+
+def small(spark, rows, extra=""):
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long{extra}")
+
+
+LONG = "one two three four five six seven eight nine ten eleven twelve"
+OTHER = "some other words that nobody else has written down so far today"
+
+
+def test_near_copies_by_id_and_text(spark, made):
+    rows = [(3, LONG, "en", "s", 1), (5, LONG, "en", "s", 1), (5, OTHER, "en", "s", 1), (7, OTHER + " at all", "en", "s", 1), (7, OTHER + " at all", "en", "s", 1), (None, LONG, "en", "s", 1), (None, "x y", "en", "s", 1), (None, "x y", "en", "s", 1),
+            (8, None, "en", "s", 1), (9, None, None, None, None), (9, None, None, None, None), (10, "", "en", "s", 0), (11, "", "en", "s", 0)]
+    kept = corpus_pipeline.drop_near_copies(spark, small(spark, rows), made[0])
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(3, LONG), (5, OTHER), (None, "x y"), (8, None), (9, None), (10, ""), (11, "")], key=repr)
+
+
+def test_columns_of_any_name_pass_every_stage(spark, made):
+    rows = [(1, LONG + "\n" + OTHER, "en", "s", 1, "k", "a", 3, "st", 7), (2, "a b c d e\n" + LONG + "\nf g", "en", "s", 1, "k", "b", 4, "st", 8)]
+    docs = small(spark, rows, ", key string, _above string, _h int, _starts string, n_lines int")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, made[0])
+        assert out.columns == docs.columns
+        kept = {r.doc_id: tuple(r)[5:] for r in out.collect()}
+        assert kept == {r[0]: r[5:] for r in rows}
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, made[0]).collect()}
+    assert got == {1: (rows[0][1], 1), 2: ("a b c d e\nf g", 13)}
