@@ -11,38 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from tramline.llm.common import cut, table
+from tramline.llm.common import cut, table, unused
 from tramline.llm.queries import VOCABULARY
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go; it is fitted on the labelled ones."""
     model = toxicity.fit(docs, toxicity.grades_of(table(spark, sf_dir, "labels")))
-    above = docs.withColumn("_above", toxicity.probabilities(model, F.col("text")))
-    return above.where(~toxicity.rejects(model, F.col("_above"))).select(*docs.columns)
+    return docs.where(~toxicity.rejects(model, toxicity.probabilities(model, F.col("text"))))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines go, and documents of which nothing is left with them."""
-    found = line_dedup.deduplicate(docs, measure_runs=False)
+    """Later copies of runs of lines and of single lines with text go, and documents of which nothing is left with them."""
+    # By number, so that no column is called like a result of the operator.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = {n: names[docs.columns.index(n)] for n in ("doc_id", "text", "n_chars")}
+    found = line_dedup.deduplicate(docs.toDF(*names), own["doc_id"], own["text"], lone_words=line_dedup.LONE_WORDS)
     kept = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", changed).select(*docs.columns)
+    changed = F.when(F.col("n_removed") > 0, F.char_length(own["text"]).cast("long")).otherwise(F.col(own["n_chars"]))
+    return kept.withColumn(own["n_chars"], changed).select(*names).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links connect, the one of the least id stays."""
-    joined = ngram_join.similarity_join(docs)
-    return docs.join(joined.where("doc_id != class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of the documents that links connect, the one of the least id stays; null ids come last.
+
+    Documents are judged by id and text, so each text of an id that several have is judged by
+    itself, and so is one without an id. Rows of one id and text are one document, of which
+    one row stays.
+    """
+    key = unused(docs, "key")
+    single = docs.withColumn(key, F.xxhash64("doc_id", "text")).dropDuplicates([key])
+    joined = ngram_join.similarity_join(single, id_col=key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(key).alias("kept")))
+    stays = single.select(key, "doc_id").join(joined.select(key, "class_id"), key).groupBy("class_id").agg(first.alias("first")).select(F.col("first.kept").alias(key))
+    return single.join(stays, key, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     # By id and text, so that rows without an id or with a repeated one are judged by their own text.
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = decontaminate.scan(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
-    hit = cut(found.where("n_hit > 0").select("_key").distinct())
-    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
+    key = unused(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = decontaminate.scan(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    hit = cut(found.where("n_hit > 0").select(key).distinct())
+    return keyed.join(hit, key, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
