@@ -1,6 +1,7 @@
 """Operators against hand-made values and plain NumPy."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -299,3 +300,78 @@ def test_nearest_any_line_has_all_pieces_and_no_threshold(spark, sf_dir):
     got = {r.seq: r.distance for r in queries.QUERIES["geo19_nearest_any_line"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and max(want.values()) > 300
     assert all(abs(got[k] - want[k]) < 0.01 for k in want)
+
+
+def segments_of(spark, draw, n=12):
+    """Random segments of 5 to 40 points, with jumps and bends that cleaning has to mend."""
+    rows = []
+    for g in range(n):
+        label = draw.choice(["Walk", "Bike", "Bus", "Airplane"])
+        for k in range(draw.randint(5, 40)):
+            speed = draw.choice((1.0, 1.5, 2.0, 40.0 if draw.random() < 0.1 else 0.5))
+            rows.append((f"s{g}", k, label, speed, draw.uniform(-1, 1) * (9 if draw.random() < 0.05 else 1), draw.uniform(0, 179)))
+    return spark.createDataFrame(rows, "segment_id string, step int, label string, speed double, acceleration double, bearing_change double")
+
+
+def test_clean_equals_its_steps(spark):
+
+    frame = segments_of(spark, random.Random(2))
+    for mode in ("strict", "balanced", "gentle"):
+        p = schemas.preset(mode)
+        kept = frame.join(cleaning.verdicts(frame, ["segment_id"], mode).where("discard_reason is null"), "segment_id", "left_semi")
+        want = cleaning.smooth(cleaning.repair(cleaning.flag_outliers(kept), ["segment_id"]), ["segment_id"], p.window)
+        want = cleaning.smooth_bearing(want, ["segment_id"], p.max_bearing_change) if p.window else want
+        told = lambda df: sorted((r.segment_id, r.step, round(r.speed, 9), round(r.acceleration, 9), round(r.bearing_change, 9)) for r in df.collect())
+        assert told(cleaning.clean(frame, ["segment_id"], mode)) == told(want)
+
+
+def test_segments_over_many_batches():
+    import pandas as pd
+
+
+    rows = pd.DataFrame({"k": list("aabbbbbbbccdeeee"), "v": range(16)})
+    for size in (1, 2, 3, 5, 16):
+        seen = []
+
+        def change(pdf, slices):
+            seen.extend((pdf["k"][s].tolist(), pdf["v"][s].tolist()) for s in slices)
+            return pdf
+
+        out = pd.concat(list(cleaning._whole_segments(["k"], change)(rows.iloc[k : k + size] for k in range(0, 16, size))))
+        assert out["v"].tolist() == list(range(16))
+        assert [(set(k), v) for k, v in seen] == [({k}, g["v"].tolist()) for k, g in rows.groupby("k")]
+
+
+def test_spatial_vector_equals_its_parts(spark):
+
+    draw = random.Random(5)
+    at = lambda: (39.9 + draw.uniform(-0.004, 0.004), 116.4 + draw.uniform(-0.004, 0.004))
+    points = spark.createDataFrame([(k, *at()) for k in range(60)], "seq long, lat double, lon double")
+    roads = spark.createDataFrame([(k, *at(), draw.choice(["primary", "footway", "rail"])) for k in range(25)], "node_id long, lat double, lon double, road_type string")
+    pois = spark.createDataFrame([(k, *at(), draw.choice(["bus_stop", "station", "parking", "taxi"])) for k in range(12)], "poi_id long, lat double, lon double, poi_type string")
+    classes = {r.seq: r.road_class for r in spatial.road_features(points, roads, pois, "seq").collect()}
+    near = {r.seq: r for r in spatial.poi_features(points, pois, "seq").collect()}
+    dense = {r.seq: r.road_density for r in spatial.road_density(points, roads, "seq").collect()}
+    for salts in (1, 3):
+        for r in spatial.spatial_vector(points, roads, pois, "seq", salts).collect():
+            assert [c for c in schemas.ROAD_CLASS_ORDER if r[f"road_{c}"] == 1] == [classes[r.seq]]
+            assert (r.has_bus_stop, r.has_station, r.has_parking, r.poi_distance) == (near[r.seq].has_bus_stop, near[r.seq].has_station, near[r.seq].has_parking, near[r.seq].poi_distance)
+            assert r.road_density == dense[r.seq]
+
+
+def test_time_warp_against_numpy(spark):
+    import hashlib
+
+
+
+    frame = segments_of(spark, random.Random(3), 6)
+    rows = sorted(map(tuple, frame.select("segment_id", "step", "speed").collect()))
+    got = {(r.segment_id, r.step): r.speed for r in learning.augment(frame, "time_warp", ["segment_id"]).collect()}
+    for g in {r[0] for r in rows}:
+        values = np.array([v for s, _, v in rows if s == g])
+        n = len(values)
+        factor = 0.8 + 0.4 * (int(hashlib.md5(f"{g}|warp|42".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        m = max(int(n * factor), 10)
+        drawn = np.interp(np.linspace(0, n - 1, m), np.arange(n), values)
+        want = np.interp(np.linspace(0, m - 1, n), np.arange(m), drawn)
+        assert np.allclose([got[g, k] for k in range(n)], want)

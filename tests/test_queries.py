@@ -17,6 +17,8 @@ CHOSEN = [
     "entry_user_modes", "prj2_label", "prj5_segment_id", "flt2_long_tracks", "flt5_finite_segments", "win4_speed", "win7_bearing_change", "win10_trip_summary", "seg1_label_join", "seg3_length_summary",
     "agg12_linearity", "agg16_speed_entropy", "agg18_max_sustained_speed", "cln1_outliers", "cln6_smooth_5", "cln8_verdicts", "res1_res2_resample", "res4_times", "geo8_nearest_road", "geo13_spatial_vector",
     "geo20_green_grid", "geo21_intensity", "wx3_nearest_day", "wx7_interpolate", "dsh1_mode_by_bucket", "dsh3_car_share_by_hour", "dsh25_five_numbers", "ml2_split", "ml4_weights_inverse", "ml15_report",
+    "cln2_repair", "cln7_bearing", "res5_fit_length", "res6_two_stage", "res7_model_input", "res8_reconcile", "geo19_nearest_line", "geo19_line_within_300m", "ml5_scaled_copies", "ml5_noisy_copies", "ml5_warped_copies",
+    "dsh27_four_models", "dsh28_completed", "dsh28_not_trained", "ml14_normalised",
 ]
 
 

@@ -100,3 +100,36 @@ def test_sinks(spark, tmp_path):
     sinks.append_history(trips, f"{tmp_path}/h")
     sinks.append_history(trips, f"{tmp_path}/h")
     assert [r.points[0].lat for r in reports.read_history(spark, f"{tmp_path}/h").collect()] == [39.0, 39.0]
+
+
+def test_typed_csv(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("a,b,c,d\n1,x,2.5,true\n\n2,,3,false\n")
+    rows = reports.read_typed_csv(spark, str(tmp_path / "p.csv"))
+    assert rows.dtypes == [("a", "int"), ("b", "string"), ("c", "double"), ("d", "boolean")]
+    assert [tuple(r) for r in rows.orderBy("a").collect()] == [(1, "x", 2.5, True), (2, None, 3.0, False)]
+    assert reports.read_typed_csv(spark, str(tmp_path / "p.csv"), "a long, b string, c string, d string").dtypes[2] == ("c", "string")
+
+
+def test_feature_collections_in_parts_and_as_lines(spark, tmp_path):
+    features = [
+        {"type": "Feature", "id": f"way/{k}", "properties": {"highway": "primary", "name": f'a "Feature" \\ {k}], {{'}, "geometry": {"type": "LineString", "coordinates": [[116.3 + k, 39.9], [116.4, 39.8]]}}
+        for k in range(200)]
+    features.append({"type": "Feature", "properties": {"@id": "node/1", "amenity": "parking"}, "geometry": {"type": "Point", "coordinates": [1, 2]}})
+    shapes = [{"type": "FeatureCollection", "features": features}, {"type": "FeatureCollection", "name": "x", "features": features, "crs": {"type": "name", "properties": {"name": "y"}}}]
+    for k, (shape, indent) in enumerate([(shapes[0], None), (shapes[1], None), (shapes[0], 2), (shapes[1], 1)]):
+        path = str(tmp_path / f"c{k}.json")
+        with open(path, "w") as f:
+            json.dump(shape, f, indent=indent)
+        tuples = lambda df: sorted((r.id, sorted(r.properties.items()), r.geometry_type, json.loads(r.coordinates)) for r in df.collect())
+        whole = tuples(geodata.read_geojson(spark, path))
+        assert len(whole) == 201 and tuples(geodata.read_geojson_parts(spark, path)) == whole
+        geodata.write_geojson_lines(geodata.read_geojson(spark, path), str(tmp_path / f"lines{k}"))
+        assert tuples(geodata.read_geojson_lines(spark, str(tmp_path / f"lines{k}"))) == whole
+
+
+def test_tables_of_a_database(spark):
+    url = "jdbc:derby:memory:trips;create=true"
+    rows = spark.createDataFrame([(k, f"user{k}") for k in range(20)], "id int, name string")
+    rows.write.format("jdbc").options(url=url, dbtable="users", driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
+    back = reports.read_jdbc(spark, url, "users", "ID", (0, 20), 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect())) == [(k, f"user{k}") for k in range(20)]

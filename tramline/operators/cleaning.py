@@ -63,42 +63,70 @@ def settle_bearing(change: np.ndarray, limit: float) -> np.ndarray:
     return out
 
 
-def _each_segment(points: DataFrame, keys: list[str], order: str, change: Callable[[pd.DataFrame, list[slice]], pd.DataFrame]) -> DataFrame:
-    """Applies ``change`` to rows and the slices of their segments, many segments at a time.
+def smooth_values(values: np.ndarray, window: int) -> np.ndarray:
+    """The quadratic smoothing of ``smooth`` for one segment."""
+    if len(values) < window:
+        return values
+    weights, total = SMOOTHING[window]
+    padded = np.pad(values.astype(float), window // 2, mode="edge")
+    return sum(float(w) * padded[k : k + len(values)] for k, w in enumerate(weights)) / float(total)
+
+
+def _whole_segments(keys: list[str], change: Callable[[pd.DataFrame, list[slice]], pd.DataFrame]):
+    """Applies ``change`` to rows and the slices of their segments, over batches of rows sorted by segment.
 
-    Rows are dealt and sorted by segment, so that a batch holds whole segments but for the
-    last one, which waits for the next batch.
+    A segment that goes on in the next batch waits in pieces, which are put together once.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        waiting: list[pd.DataFrame] = []
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
-            if len(starts) > 1:
-                whole = pdf.iloc[: starts[-1]].reset_index(drop=True)
-                yield change(whole, [slice(a, b) for a, b in zip(starts, starts[1:])])
-            rest = pdf.iloc[starts[-1] :].reset_index(drop=True) if len(starts) else None
-        if rest is not None:
+            if not len(pdf):
+                continue
+            differs = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy().copy()
+            differs[0] = bool(waiting) and bool((pdf[keys].iloc[0] != waiting[-1][keys].iloc[-1]).any())
+            starts = np.flatnonzero(differs)
+            if len(starts):
+                ready = sum(map(len, waiting))
+                whole = pd.concat([*waiting, pdf.iloc[: starts[-1]]], ignore_index=True)
+                bounds = [0, *(ready + starts).tolist()]
+                yield change(whole, [slice(a, b) for a, b in zip(bounds, bounds[1:]) if b > a])
+                waiting = []
+            waiting.append(pdf.iloc[starts[-1] if len(starts) else 0 :])
+        if waiting:
+            rest = pd.concat(waiting, ignore_index=True)
             yield change(rest, [slice(0, len(rest))])
 
-    return points.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, points.schema)
+    return run
 
 
-def repair(flagged: DataFrame, keys: list[str], order: str = "step") -> DataFrame:
-    """Repairs speed, acceleration and bearing_change of flagged points, segment by segment."""
+def _each_segment(points: DataFrame, keys: list[str], order: str, change: Callable[[pd.DataFrame, list[slice]], pd.DataFrame]) -> DataFrame:
+    """Applies ``change`` to rows and the slices of their segments, many segments at a time."""
+    return points.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(_whole_segments(keys, change), points.schema)
+
+
+def _repaired(pdf: pd.DataFrame, segments: list[slice]) -> pd.DataFrame:
+    marks = pdf["is_outlier"].to_numpy(bool)
+    for c in ("speed", "acceleration", "bearing_change"):
+        values = pdf[c].to_numpy(float).copy()
+        for s in segments:
+            if marks[s].any():
+                values[s] = repair_column(values[s], marks[s])
+        pdf[c] = values
+    return pdf
 
-    def change(pdf: pd.DataFrame, segments: list[slice]) -> pd.DataFrame:
-        marks = pdf["is_outlier"].to_numpy(bool)
-        for c in ("speed", "acceleration", "bearing_change"):
-            values = pdf[c].to_numpy(float).copy()
-            for s in segments:
-                if marks[s].any():
-                    values[s] = repair_column(values[s], marks[s])
-            pdf[c] = values
-        return pdf
 
-    return _each_segment(flagged, keys, order, change)
+def _settled(pdf: pd.DataFrame, segments: list[slice], limit: float) -> pd.DataFrame:
+    values, slow = pdf["bearing_change"].to_numpy(float).copy(), pdf["label"].isin(["Walk", "Bike"]).to_numpy()
+    for s in segments:
+        values[s] = settle_bearing(values[s], limit * 0.8 if slow[s][0] else limit)
+    pdf["bearing_change"] = values
+    return pdf
+
+
+def repair(flagged: DataFrame, keys: list[str], order: str = "step") -> DataFrame:
+    """Repairs speed, acceleration and bearing_change of flagged points, segment by segment."""
+    return _each_segment(flagged, keys, order, _repaired)
 
 
 def smooth(points: DataFrame, keys: list[str], window: int | None, order: str = "step", columns: tuple[str, ...] = ("speed", "acceleration")) -> DataFrame:
@@ -127,34 +155,44 @@ def smooth(points: DataFrame, keys: list[str], window: int | None, order: str =
 
 def smooth_bearing(points: DataFrame, keys: list[str], limit: float, order: str = "step") -> DataFrame:
     """Settles bearing changes over the limit, 0.8 times the limit for walking and cycling."""
+    return _each_segment(points, keys, order, lambda pdf, segments: _settled(pdf, segments, limit))
 
-    def change(pdf: pd.DataFrame, segments: list[slice]) -> pd.DataFrame:
-        values, slow = pdf["bearing_change"].to_numpy(float).copy(), pdf["label"].isin(["Walk", "Bike"]).to_numpy()
-        for s in segments:
-            values[s] = settle_bearing(values[s], limit * 0.8 if slow[s][0] else limit)
-        pdf["bearing_change"] = values
-        return pdf
 
-    return _each_segment(points, keys, order, change)
+def _discard_reason(n_points: Column, n_outliers: Column, p: schemas.Preset) -> Column:
+    return F.when(~F.col("label").isin(*schemas.MODES), "other_label").when(n_points < p.min_length, "too_short").when(n_outliers / n_points > p.max_outlier_ratio, "too_many_outliers")
 
 
 def verdicts(points: DataFrame, keys: list[str], mode: str = "balanced") -> DataFrame:
     """keys, label, n_points, n_outliers, discard_reason (null: kept) of each segment."""
     p = schemas.preset(mode)
     sums = flag_outliers(points).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n_points"), F.sum(F.col("is_outlier").cast("long")).alias("n_outliers"))
-    return sums.withColumn(
-        "discard_reason",
-        F.when(~F.col("label").isin(*schemas.MODES), "other_label").when(F.col("n_points") < p.min_length, "too_short")
-        .when(F.col("n_outliers") / F.col("n_points") > p.max_outlier_ratio, "too_many_outliers"))
+    return sums.withColumn("discard_reason", _discard_reason(F.col("n_points"), F.col("n_outliers"), p))
 
 
 def clean(points: DataFrame, keys: list[str], mode: str = "balanced", order: str = "step") -> DataFrame:
-    """Points of the segments that are kept, repaired and smoothed. Distances and totals stay as they were."""
+    """Points of the segments that are kept, repaired and smoothed. Distances and totals stay as they were.
+
+    The same as ``verdicts``, ``repair``, ``smooth`` and ``smooth_bearing`` one after the
+    other, with one exchange of the points by segment.
+    """
     p = schemas.preset(mode)
-    kept = points.join(verdicts(points, keys, mode).where("discard_reason is null").select(*keys), keys, "left_semi")
-    repaired = repair(flag_outliers(kept), keys, order)
-    smoothed = smooth(repaired, keys, p.window, order)
-    return smooth_bearing(smoothed, keys, p.max_bearing_change, order) if p.window else smoothed
+    by = Window.partitionBy(*keys, "label")
+    flagged = flag_outliers(points).repartition(*keys)
+    counted = flagged.withColumns({"_points": F.count(F.lit(1)).over(by), "_outliers": F.sum(F.col("is_outlier").cast("long")).over(by)})
+    kept = counted.where(_discard_reason(F.col("_points"), F.col("_outliers"), p).isNull()).drop("_points", "_outliers")
+
+    def change(pdf: pd.DataFrame, segments: list[slice]) -> pd.DataFrame:
+        pdf = _repaired(pdf, segments)
+        if p.window is None:
+            return pdf
+        for c in ("speed", "acceleration"):
+            values = pdf[c].to_numpy(float).copy()
+            for s in segments:
+                values[s] = smooth_values(values[s], p.window)
+            pdf[c] = values
+        return _settled(pdf, segments, p.max_bearing_change)
+
+    return kept.sortWithinPartitions(*keys, order).mapInPandas(_whole_segments(keys, change), kept.schema)
 
 
 def funnel(points: DataFrame, keys: list[str], mode: str = "balanced") -> DataFrame:

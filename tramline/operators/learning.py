@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.schemas import STATS
+from tramline.schemas import POINT_FEATURES, STATS
 
 
 def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
@@ -15,10 +15,10 @@ def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def split(df: DataFrame, key: str, label: str = "label", seed: int = 42, shares: tuple[float, float] = (0.7, 0.1)) -> DataFrame:
-    """Adds split (train, valid, test) to each row, in the same shares in each label, by a hash of the key.
+    """Adds split (train, valid, test) to each row, by a hash of label and key: in each label the shares hold on average.
 
-    The rank in a label comes from its hash alone: a row belongs to a share if its hash,
-    as a fraction, does. So no label has to be sorted, and a row keeps its place as others come.
+    A row belongs to a share if its hash, as a fraction, does. So no label has to be sorted,
+    and a row keeps its place as others come; a label of a few rows may have none in a share.
     """
     spot = F.conv(F.substring(F.md5(F.concat(F.col(label), F.lit("|"), F.col(key), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     return df.withColumn("split", F.when(spot < shares[0], "train").when(spot < sum(shares), "valid").otherwise("test"))
@@ -91,22 +91,48 @@ def weighted_cross_entropy(probabilities: Column, truth: Column, weights: Column
     return -F.get(weights, truth) * F.log(F.get(probabilities, truth) + 1e-8)
 
 
+def _unit(*parts: Column) -> Column:
+    """A fraction between 0 and 1 from the MD5 digest of the parts, as other engines can compute it too."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def _warped(points: DataFrame, keys: list[str], order: str, factor: Column) -> DataFrame:
+    """Point features drawn on lines to ``factor`` times the rows of the segment (10 at least), and these back to its own rows."""
+    columns = [c for c in POINT_FEATURES if c in points.columns]
+    by = Window.partitionBy(*keys)
+    rows = points.withColumns({"_i": F.row_number().over(by.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(by)})
+    values = rows.select(*keys, F.col("_i").alias("_r"), *columns, *(F.lead(c).over(by.orderBy("_i")).alias(f"_{c}") for c in columns))
+    drawn = rows.withColumn("_m", F.greatest(F.floor(F.col("_n") * factor), F.lit(10)))
+    spot = F.coalesce(F.try_divide(F.col("_i") * (F.col("_m") - 1.0), F.col("_n") - 1.0), F.lit(0.0))
+    drawn = drawn.withColumns({"_low": F.floor(spot), "_part": spot - F.floor(spot)})
+    # A row lies between two drawn ones, and each of these between two rows.
+    sides = F.array(F.struct(F.col("_low").alias("at"), (1 - F.col("_part")).alias("share")), F.struct(F.least(F.col("_low") + 1, F.col("_m") - 1).alias("at"), F.col("_part").alias("share")))
+    place = F.col("_s.at") * (F.col("_n") - 1.0) / (F.col("_m") - 1.0)
+    asked = drawn.select(*keys, "_i", F.explode(sides).alias("_s"), "_n", "_m").select(*keys, "_i", "_s.share", place.alias("_place")).withColumn("_r", F.floor("_place").cast("int"))
+    between = lambda c: F.col(c) + (F.col("_place") - F.col("_r")) * (F.coalesce(f"_{c}", c) - F.col(c))
+    bent = asked.join(values, [*keys, "_r"]).groupBy(*keys, "_i").agg(*(F.sum(F.col("share") * between(c)).alias(c) for c in columns))
+    return rows.drop(*columns, "_n").join(bent, [*keys, "_i"]).select(*points.columns)
+
+
 def augment(points: DataFrame, kind: str, keys: list[str], order: str = "step", seed: int = 42) -> DataFrame:
-    """A changed copy of each segment: scale (speed and acceleration by 0.85 to 1.15), noise (0.05 on motion), flip (backwards).
+    """A changed copy of each segment: scale (speed and acceleration by 0.85 to 1.15), noise (0.05 on motion), flip (backwards),
+    time_warp (point features drawn out or pressed to 0.8 to 1.2 times their number, and back).
 
     What is random comes from a hash of the segment, the row and the seed, so a lost task
     gives the same values again.
     """
-    unit = lambda *salt: (F.pmod(F.xxhash64(*keys, *map(F.lit, salt), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    own = [F.col(k) for k in keys]
     if kind == "scale":
-        factor = 0.85 + 0.3 * unit("scale")
+        factor = 0.85 + 0.3 * _unit(*own, F.lit("scale"), F.lit(seed))
         return points.withColumns({c: F.col(c) * factor for c in ("speed", "acceleration")})
     if kind == "noise":
         def normal(c: str) -> Column:
-            spot = lambda part: (F.pmod(F.xxhash64(*keys, F.col(order), F.lit(c), F.lit(part), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+            spot = lambda part: _unit(*own, F.col(order), F.lit(c), F.lit(part), F.lit(seed))
             return F.sqrt(-2 * F.log(spot(1))) * F.cos(6.283185307179586 * spot(2))
 
         return points.withColumns({c: F.col(c) + 0.05 * normal(c) for c in ("speed", "acceleration", "bearing_change", "distance", "time_diff")})
+    if kind == "time_warp":
+        return _warped(points, keys, order, 0.8 + 0.4 * _unit(*own, F.lit("warp"), F.lit(seed)))
     if kind == "flip":
         last = F.max(order).over(Window.partitionBy(*keys)) + F.min(order).over(Window.partitionBy(*keys))
         return points.withColumn(order, last - F.col(order))

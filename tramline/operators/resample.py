@@ -49,3 +49,29 @@ def pad(points: DataFrame, keys: list[str], columns: list[str], length: int = SE
     slots = _slots(numbered, keys, length)
     wanted = slots.select(*keys, "slot", F.when(F.col("_n") > length, F.floor("_place").cast("int")).otherwise(F.col("slot")).alias("_r"))
     return wanted.join(numbered.select(*keys, "_r", *columns), [*keys, "_r"], "left").select(*keys, "slot", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
+
+
+def fit_length(points: DataFrame, keys: list[str], columns: list[str], length: int = 100, order: str = "step", seed: int = 42) -> DataFrame:
+    """keys, slot, columns: segments of over twice the length by even picks, of over the length a stretch from a place that a hash
+    of the segment draws, shorter ones with zeros at their end."""
+    numbered = _numbered(points, keys, order)
+    slots = _slots(numbered, keys, length)
+    spot = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    start = F.pmod(spot, F.col("_n") - length + 1)
+    row = F.when(F.col("_n") > 2 * length, F.floor("_place")).when(F.col("_n") > length, start + F.col("slot")).otherwise(F.col("slot")).cast("int")
+    wanted = slots.select(*keys, "slot", row.alias("_r"))
+    return wanted.join(numbered.select(*keys, "_r", *columns), [*keys, "_r"], "left").select(*keys, "slot", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
+
+
+def model_input(statistics: DataFrame, keys: list[str], series: DataFrame | None = None) -> DataFrame:
+    """Statistics of each segment alone, or with its resampled rows (keys, slot, columns) as an array in the order of the slots."""
+    if series is None:
+        return statistics
+    columns = [c for c in series.columns if c not in keys]
+    rows = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", *(c for c in columns if c != "slot")))).alias("series"))
+    return statistics.join(rows, keys, "left")
+
+
+def reconcile(slots: DataFrame, other: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Slots with the columns of another series of the same keys and slots; zeros where that ends early or has no such segment, nothing beyond the slots."""
+    return slots.join(other.select(*keys, "slot", *columns), [*keys, "slot"], "left").na.fill(0.0, columns)

@@ -78,11 +78,27 @@ def road_density(points: DataFrame, roads: DataFrame, key: str) -> DataFrame:
     return points.select(key).join(found, key, "left").select(key, F.least(F.coalesce(F.col("_n") / 50.0, F.lit(0.0)), F.lit(1.0)).alias("road_density"))
 
 
-def spatial_vector(points: DataFrame, roads: DataFrame, pois: DataFrame, key: str) -> DataFrame:
-    """The twelve spatial features: class one-hot, three flags, nearest distance, density."""
-    joined = road_features(points, roads, pois, key).join(poi_features(points, pois, key), key).join(road_density(points, roads, key), key)
-    hot = [(F.col("road_class") == c).cast("double").alias(f"road_{c}") for c in schemas.ROAD_CLASS_ORDER]
-    return joined.select(key, *hot, *(F.col(f"has_{t}").cast("double").alias(f"has_{t}") for t in ("bus_stop", "station", "parking")), "poi_distance", "road_density")
+def spatial_vector(points: DataFrame, roads: DataFrame, pois: DataFrame, key: str, salts: int = 1) -> DataFrame:
+    """The twelve spatial features: class one-hot, three flags, nearest distance, density.
+
+    Those of ``road_features``, ``poi_features`` and ``road_density``, from one grid join with
+    roads and POIs together and one aggregation.
+    """
+    node = roads.schema["node_id"].dataType
+    targets = roads.select("lat", "lon", F.lit(None).cast("string").alias("poi_type"), F.lit(True).alias("is_road"), "node_id", "road_type").union(
+        pois.select("lat", "lon", "poi_type", F.lit(False), F.lit(None).cast(node), F.lit(None).cast("string")))
+    road, poi = F.col("is_road"), ~F.col("is_road")
+    found = within(points, targets, key, 300.0, salts=salts).groupBy(key).agg(
+        F.min(F.when(road & (F.col("distance") < 150.0), F.struct("distance", "node_id", "road_type"))).alias("_near"),
+        F.max(poi & (F.col("poi_type") == "bus_stop") & (F.col("distance") <= 50.0)).alias("_stop"),
+        *(F.max((poi & (F.col("poi_type") == t)).cast("double")).alias(f"has_{t}") for t in ("bus_stop", "station", "parking")),
+        (F.min(F.when(poi, F.col("distance"))) / 200.0).alias("poi_distance"), F.count(F.when(road & (F.col("distance") <= 100.0), 1)).alias("_roads"))
+    joined = points.select(key).join(found, key, "left")
+    plain = F.coalesce(F.when(F.col("_near").isNotNull(), road_class(F.col("_near.road_type"))), F.lit("unknown"))
+    kind = F.when((plain == "car") & F.coalesce("_stop", F.lit(False)), "bus").otherwise(plain)
+    hot = [(kind == c).cast("double").alias(f"road_{c}") for c in schemas.ROAD_CLASS_ORDER]
+    flags = [F.coalesce(f"has_{t}", F.lit(0.0)).alias(f"has_{t}") for t in ("bus_stop", "station", "parking")]
+    return joined.select(key, *hot, *flags, F.coalesce("poi_distance", F.lit(0.0)).alias("poi_distance"), F.least(F.coalesce(F.col("_roads") / 50.0, F.lit(0.0)), F.lit(1.0)).alias("road_density"))
 
 
 def cell_shared(vectors: DataFrame, points: DataFrame, key: str, side: float = 0.001) -> DataFrame:

@@ -141,3 +141,8 @@ def map_scale(regions: DataFrame, value: str = "ratio", at: float = 0.8) -> Data
     w = Window.partitionBy(F.lit(0))
     ranked = regions.where(F.col(value) > 0).select(F.row_number().over(w.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"), F.col(value).alias("scale"))
     return ranked.where(F.col("_r") == F.floor(F.col("_n") * at) + 1).select("scale")
+
+
+def with_status(experiments: DataFrame, status: str) -> DataFrame:
+    """Experiments of one status, such as completed or not_trained."""
+    return experiments.where(F.col("status") == status)

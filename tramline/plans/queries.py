@@ -11,7 +11,7 @@ from tramline import schemas
 from tramline.functions import scalar
 from tramline.operators import cleaning, kinematics, learning, resample, segments, spatial, weather
 from tramline.plans import dashboards, fixtures
-from tramline.plans.oracles import MODE_SQL, OUTLIER_SQL, sql
+from tramline.plans.oracles import CTES, MODE_SQL, OUTLIER_SQL, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,13 +118,40 @@ for _n, _c in enumerate(schemas.STATS, 1):
     add(f"agg{_n}_{_c}", lambda s, d, c=_c: fixtures.segment_stats(s, d).select("segment_id", "label", r(c, 3).alias(c)), f"select segment_id, label, round({_c},3) as {_c} from stats", "stats")
 
 # --- cleaning
+_W = "(partition by segment_id order by step)"
+_A = "(partition by segment_id order by step rows between unbounded preceding and unbounded following)"
 add("cln1_outliers", lambda s, d: cleaning.flag_outliers(fixtures.segment_points(s, d)).select("segment_id", "seq", "is_outlier"), f"select segment_id, seq, {OUTLIER_SQL} as is_outlier from seg", "seg")
 add("cln2_repair", lambda s, d: rounded(cleaning.repair(cleaning.flag_outliers(fixtures.segment_points(s, d)), KEYS).select("segment_id", "seq", "speed", "acceleration", "bearing_change"), 3))
+_MOTION = ("speed", "acceleration", "bearing_change")
+
+
+def _repair_sql(source: str, name: str) -> str:
+    """CTEs that walk through all segments of a source at once, row by row; each row knows its two repaired predecessors."""
+    ahead = ", ".join(f"lead({c},{k}) over {_W} as {c}{k}" for c in _MOTION for k in (1, 2))
+    fixed = lambda c, before: f"case when {before}bad then list_aggregate([{{0}}n.{c}1, n.{c}2], 'median') else n.{c} end"
+    first = ", ".join(f"{fixed(c, 'n.').format('')} as {c}, cast(null as double) as {c}_b" for c in _MOTION)
+    then = ", ".join(f"{fixed(c, 'n.').format(f'o.{c}_b, o.{c}, ')}, o.{c}" for c in _MOTION)
+    return f"""{name}_n as materialized (select *, row_number() over {_W} as r, {OUTLIER_SQL} as bad, {ahead} from {source}),
+      {name}_r as (select n.segment_id, n.seq, n.r, {first} from {name}_n n where r = 1
+        union all select n.segment_id, n.seq, n.r, {then} from {name}_r o join {name}_n n on n.segment_id = o.segment_id and n.r = o.r + 1)"""
+
+
+def _settle_sql(source: str, name: str) -> str:
+    """The same for bearing changes over 150, or 120 on foot and by bike."""
+    return f"""{name}_n as materialized (select *, row_number() over {_W} as r, lead(bearing_change) over {_W} as b1, bearing_change > case when label in ('Walk', 'Bike') then 120 else 150 end as over from {source}),
+      {name}_r as (select segment_id, seq, r, bearing_change from {name}_n where r = 1
+        union all select n.segment_id, n.seq, n.r, case when n.over and n.b1 is not null then (o.bearing_change + n.bearing_change + n.b1)/3 else n.bearing_change end from {name}_r o join {name}_n n on n.segment_id = o.segment_id and n.r = o.r + 1)"""
+
+
+def _walk(ctes: str, picks: str, *needs: str) -> str:
+    """SQL with recursive CTEs after those that it needs."""
+    return sql("\x00", *needs).replace("with ", "with recursive ", 1).replace("\n\x00", f",\n{ctes}\n{picks}")
+
+
+ORACLES["cln2_repair"] = _walk(_repair_sql("seg", "fix"), "select segment_id, seq, round(speed,3) as speed, round(acceleration,3) as acceleration, round(bearing_change,3) as bearing_change from fix_r", "seg")
 add("cln3_outlier_share", lambda s, d: rounded(cleaning.outlier_share(cleaning.flag_outliers(fixtures.segment_points(s, d)), KEYS, 0.25)),
     f"select segment_id, round(avg(case when {OUTLIER_SQL} then 1.0 else 0.0 end),4) as outlier_share, count(*) as n_points, avg(case when {OUTLIER_SQL} then 1.0 else 0.0 end) > 0.25 as discarded from seg group by segment_id", "seg")
 add("cln4_too_short", lambda s, d: fixtures.segment_points(s, d).groupBy("segment_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < schemas.preset("strict").min_length), "select segment_id, count(*) as n from seg group by 1 having count(*) < 15", "seg")
-_W = "(partition by segment_id order by step)"
-_A = "(partition by segment_id order by step rows between unbounded preceding and unbounded following)"
 
 
 def _smooth_sql(c: str, weights: tuple[int, ...], total: int) -> str:
@@ -137,6 +164,7 @@ for _k, (_weights, _total) in cleaning.SMOOTHING.items():
     add(f"cln6_smooth_{_k}", lambda s, d, k=_k: rounded(cleaning.smooth(fixtures.segment_points(s, d).select("segment_id", "seq", "step", "speed", "acceleration"), KEYS, k), 3),
         f"select segment_id, seq, step, round({_smooth_sql('speed', _weights, _total)},3) as speed, round({_smooth_sql('acceleration', _weights, _total)},3) as acceleration from seg", "seg")
 add("cln7_bearing", lambda s, d: rounded(cleaning.smooth_bearing(fixtures.segment_points(s, d), KEYS, 150.0).select("segment_id", "seq", "bearing_change"), 3))
+ORACLES["cln7_bearing"] = _walk(_settle_sql("seg", "fix"), "select segment_id, seq, round(bearing_change,3) as bearing_change from fix_r", "seg")
 VERDICT_SQL = f"""(select segment_id, label, count(*) as n_points, sum(case when {OUTLIER_SQL} then 1 else 0 end) as n_outliers,
   case when label not in ('Bike','Bus','Car & taxi','Subway','Train','Walk') then 'other_label' when count(*) < 10 then 'too_short' when avg(case when {OUTLIER_SQL} then 1.0 else 0.0 end) > 0.25 then 'too_many_outliers' end as discard_reason
   from seg group by segment_id, label)"""
@@ -167,6 +195,56 @@ def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("res6_two_stage", two_stage)
 
+
+def _two_stage_sql() -> str:
+    """Kept segments, repaired, smoothed, settled, drawn on 50 slots, and their statistics."""
+    columns = ("lat", "lon", "speed", "acceleration", "bearing_change", "distance", "time_diff", "total_distance", "total_time")
+    weights, total = cleaning.SMOOTHING[5]
+    ctes = [
+        f"kept as materialized (select * from seg where segment_id in (select segment_id from {VERDICT_SQL} where discard_reason is null))",
+        _repair_sql("kept", "fix"),
+        "mended as materialized (select k.* replace (f.speed as speed, f.acceleration as acceleration, f.bearing_change as bearing_change) from kept k join fix_r f on k.segment_id = f.segment_id and k.seq = f.seq)",
+        f"smoothed as materialized (select * replace ({_smooth_sql('speed', weights, total)} as speed, {_smooth_sql('acceleration', weights, total)} as acceleration) from mended)",
+        _settle_sql("smoothed", "flat"),
+        f"cleaned as materialized (select s.* replace (f.bearing_change as bearing_change), row_number() over {_W.replace('segment_id', 's.segment_id')} - 1 as rr, count(*) over (partition by s.segment_id) as n from smoothed s join flat_r f on s.segment_id = f.segment_id and s.seq = f.seq)",
+        "places as (select distinct segment_id, label, n, i as slot, case when i = 49 then n-1.0 else i*((n-1)/49.0::double) end as place from cleaned, range(50) g(i))",
+        "slotted as materialized (select p.segment_id, p.label, p.slot as step, " + ", ".join(f"a.{c} + case when p.n > 50 then 0.0 else place-floor(place) end*(coalesce(b.{c},a.{c})-a.{c}) as {c}" for c in columns)
+        + " from places p join cleaned a on a.segment_id = p.segment_id and a.rr = floor(p.place) left join cleaned b on b.segment_id = p.segment_id and b.rr = floor(p.place)+1)",
+        *(f"{name} as ({CTES[name][1].replace(' from seg', ' from slotted') if name == 'segb1' else CTES[name][1]})" for name in ("segb1", "segb2", "segrun", "segent", "stats"))]
+    picks = ", ".join(f"round({c},3) as {c}" for c in schemas.STATS)
+    return _walk(",\n".join(ctes), f"select segment_id, n_points, {picks} from stats", "seg")
+
+
+ORACLES["res6_two_stage"] = _two_stage_sql()
+_FIT = sql("""select p.segment_id, cast(p.slot as int) as slot, round(coalesce(a.speed,0.0),3) as speed from (
+    select segment_id, i as slot, case when n > 2*20 then cast(floor(case when i = 19 then n-1.0 else i*((n-1)/19.0::double) end) as bigint) when n > 20 then i + cast(('0x' || md5(segment_id || '|42')[1:8]) as bigint) % (n-20+1) else i end as r
+    from (select segment_id, count(*) as n from seg group by 1), range(20) g(i)) p
+  left join (select *, row_number() over (partition by segment_id order by step) - 1 as rr from seg) a on a.segment_id = p.segment_id and a.rr = p.r""", "seg")
+add("res5_fit_length", lambda s, d: rounded(resample.fit_length(fixtures.segment_points(s, d), KEYS, ["speed"], 20), 3))
+ORACLES["res5_fit_length"] = _FIT
+
+
+def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and the series of 50 rows of each segment; its length and its last speed tell the series."""
+    series = resample.resample(fixtures.segment_points(spark, sf_dir), KEYS, ["speed", "acceleration"])
+    both = resample.model_input(fixtures.segment_stats(spark, sf_dir), KEYS, series)
+    return both.select("segment_id", r("speed_mean", 3).alias("speed_mean"), F.size("series").cast("long").alias("n_slots"), r(F.element_at("series", -1)["speed"], 3).alias("last_speed"))
+
+
+add("res7_model_input", model_inputs, "select t.segment_id, round(t.speed_mean,3) as speed_mean, cast(50 as bigint) as n_slots, round(l.speed,3) as last_speed from stats t join (select segment_id, arg_max(speed, step) as speed from seg group by 1) l on t.segment_id = l.segment_id", "stats", "seg")
+
+
+def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 slots of each segment with a series that has but a point for each of its own rows, and none for segments of Walk."""
+    points = fixtures.segment_points(spark, sf_dir)
+    slots = resample.resample(points, KEYS, ["speed"]).select("segment_id", "slot")
+    own = points.where("label != 'Walk'").select("segment_id", (F.row_number().over(Window.partitionBy("segment_id").orderBy("step")) - 1).alias("slot"), F.col("speed").alias("other"))
+    return rounded(resample.reconcile(slots, own, KEYS, ["other"]), 3)
+
+
+add("res8_reconcile", reconciled, """select p.segment_id, cast(p.slot as int) as slot, round(coalesce(a.speed,0.0),3) as other from (select distinct segment_id, i as slot from seg, range(50) g(i)) p
+  left join (select *, row_number() over (partition by segment_id order by step) - 1 as rr from seg where label <> 'Walk') a on a.segment_id = p.segment_id and a.rr = p.slot""", "seg")
+
 # --- spatial
 add("geo7_road_class", lambda s, d: fixtures.roads(s, d).groupBy(spatial.road_class(F.col("road_type")).alias("road_class")).agg(F.count(F.lit(1)).alias("n")),
     "select case road_type when 'footway' then 'walk' when 'cycleway' then 'bike' when 'primary' then 'car' when 'secondary' then 'car' when 'residential' then 'car' when 'rail' then 'train' when 'subway' then 'subway' else 'unknown' end as road_class, count(*) as n from rds group by 1", "rds")
@@ -348,19 +426,26 @@ def all_road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ahead.where("lat2 is not null")
 
 
-def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2 km, as the SQL of geo19_nearest_line has them."""
-    return all_road_lines(spark, sf_dir).where((F.abs(F.col("lat1") - F.col("lat2")) < 0.02) & (F.abs(F.col("lon1") - F.col("lon2")) < 0.02))
+_LINES = "(select node_id as road_id, lat as lat1, lon as lon1, lead(lat) over w as lat2, lead(lon) over w as lon2 from rds window w as (partition by node_id // 10 order by node_id))"
 
 
-# All pieces and no threshold; no SQL, since that would compare all pairs.
-add("geo19_nearest_any_line", lambda s, d: spatial.nearest_segment(fixtures.points(s, d), all_road_lines(s, d), "seq", 300.0, None).select("seq", "road_id", r("distance", 3).alias("distance")))
-add("geo19_nearest_line", lambda s, d: spatial.nearest_segment(fixtures.points(s, d), road_lines(s, d), "seq", 300.0, 1).select("seq", "road_id", r("distance", 3).alias("distance")),
-    """, ln as (select * from (select node_id as road_id, lat as lat1, lon as lon1, lead(lat) over w as lat2, lead(lon) over w as lon2 from rds window w as (partition by node_id // 10 order by node_id)) where abs(lat1-lat2) < 0.02 and abs(lon1-lon2) < 0.02),
+def _line_sql(lines: str, near: str, limit: str) -> str:
+    """The nearest piece of each point: the distance to the foot of the perpendicular, or to the nearer end."""
+    return f""", ln as (select * from {_LINES} where {lines}),
     a as (select p.seq, l.road_id, p.lat, p.lon, lat1, lon1, lat2-lat1 as dy, lon2-lon1 as dx, greatest(0.0, least(1.0, coalesce(((p.lat-lat1)*(lat2-lat1)+(p.lon-lon1)*(lon2-lon1))/nullif((lat2-lat1)*(lat2-lat1)+(lon2-lon1)*(lon2-lon1),0),0.0))) as f
-      from pts p join ln l on p.lat between least(lat1,lat2)-0.003 and greatest(lat1,lat2)+0.003 and p.lon between least(lon1,lon2)-0.003 and greatest(lon1,lon2)+0.003),
-    b as (select seq, road_id, sqrt(pow(lat-(lat1+f*dy),2)+pow(lon-(lon1+f*dx),2))*111300 as d from a)
-    select seq, road_id, round(d,3) as distance from (select *, row_number() over (partition by seq order by d, road_id) as n from b where d <= 300) where n = 1""", "pts", "rds")
+      from pts p join ln l on {near}),
+    b as (select seq, road_id, sqrt(pow(lat-(lat1+f*dy),2)+pow(lon-(lon1+f*dx),2))*111300 as d from a),
+    c as (select seq, min(struct_pack(d := d, road_id := road_id)) as m from b where {limit} group by seq)
+    select seq, m.road_id as road_id, round(m.d,3) as distance from c"""
+
+
+# All pieces and no threshold; the SQL compares all pairs.
+add("geo19_nearest_line", lambda s, d: spatial.nearest_segment(fixtures.points(s, d), all_road_lines(s, d), "seq", 300.0, None).select("seq", "road_id", r("distance", 3).alias("distance")),
+    _line_sql("lat2 is not null", "true", "true"), "pts", "rds")
+QUERIES["geo19_nearest_any_line"], ORACLES["geo19_nearest_any_line"] = QUERIES["geo19_nearest_line"], ORACLES["geo19_nearest_line"]
+# A search within a radius, as maps ask for it: all pieces, points without one within 300 m have no row.
+add("geo19_line_within_300m", lambda s, d: spatial.nearest_segment(fixtures.points(s, d), all_road_lines(s, d), "seq", 300.0, 1).select("seq", "road_id", r("distance", 3).alias("distance")),
+    _line_sql("lat2 is not null", "p.lat between least(lat1,lat2)-0.003 and greatest(lat1,lat2)+0.003 and p.lon between least(lon1,lon2)-0.003 and greatest(lon1,lon2)+0.003", "d <= 300"), "pts", "rds")
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +471,25 @@ add("dsh9_top_three", lambda s, d: dashboards.top_errors(fixtures.predictions(s,
 add("dsh10_recall_series", lambda s, d: rounded(dashboards.recall_series(reports(s, d))),
     " union all ".join(f"select '{e}' as experiment, label, round(recall,4) as recall from {_report_sql(g)} z where label in ('Bike','Bus')" for e, g in (("exp1", _PLAIN), ("exp2", "pred_label"))), "pred")
 add("dsh32_total", lambda s, d: dashboards.distribution(fixtures.predictions(s, d), "pred_label").agg(F.sum("n").alias("total")), "select count(*) as total from pred", "pred")
-add("ml5_scaled_copies", lambda s, d: learning.augment(fixtures.segment_points(s, d), "scale", KEYS).select("segment_id", "seq", "speed", "acceleration"))
+def _unit_sql(*parts: str) -> str:
+    return f"((cast(('0x' || md5({' || chr(124) || '.join(parts)})[1:8]) as bigint) + 0.5::double)/4294967296.0::double)"
+
+
+add("ml5_scaled_copies", lambda s, d: rounded(learning.augment(fixtures.segment_points(s, d), "scale", KEYS).select("segment_id", "seq", "speed", "acceleration"), 3),
+    f"select segment_id, seq, round(speed*f,3) as speed, round(acceleration*f,3) as acceleration from (select *, 0.85::double + 0.3::double*{_unit_sql('segment_id', chr(39) + 'scale' + chr(39), chr(39) + '42' + chr(39))} as f from seg)", "seg")
+_NOISE = ("speed", "acceleration", "bearing_change", "distance", "time_diff")
+_NORMAL = lambda c: (
+    f"sqrt(-2*ln({_unit_sql('segment_id', 'step', repr(c), repr('1'), repr('42'))}))*cos(6.283185307179586::double*{_unit_sql('segment_id', 'step', repr(c), repr('2'), repr('42'))})")
+add("ml5_noisy_copies", lambda s, d: rounded(learning.augment(fixtures.segment_points(s, d), "noise", KEYS).select("segment_id", "seq", *_NOISE), 3),
+    "select segment_id, seq, " + ", ".join(f"round({c} + 0.05::double*{_NORMAL(c)},3) as {c}" for c in _NOISE) + " from seg", "seg")
+add("ml5_warped_copies", lambda s, d: rounded(learning.augment(fixtures.segment_points(s, d), "time_warp", KEYS).select("segment_id", "seq", *_MOTION), 3),
+    f""", num as (select *, row_number() over {_W} - 1 as i, count(*) over (partition by segment_id) as n from seg),
+    m as (select *, greatest(cast(floor(n*(0.8::double + 0.4::double*{_unit_sql('segment_id', repr('warp'), repr('42'))})) as bigint), 10) as m from num),
+    q as (select segment_id, seq, i, n, m, coalesce(i*(m-1.0::double)/nullif(n-1.0::double,0),0.0) as spot from m),
+    p as (select segment_id, seq, floor(spot) as k, 1-(spot-floor(spot)) as share, n, m from q union all select segment_id, seq, least(floor(spot)+1, m-1), spot-floor(spot), n, m from q),
+    o as (select *, k*(n-1.0::double)/(m-1.0::double) as place from p)
+    select o.segment_id, o.seq, {', '.join(f"round(sum(share*(a.{c} + (place-floor(place))*(coalesce(b.{c},a.{c})-a.{c}))),3) as {c}" for c in _MOTION)}
+    from o join num a on a.segment_id = o.segment_id and a.i = floor(place) left join num b on b.segment_id = o.segment_id and b.i = floor(place)+1 group by o.segment_id, o.seq""", "seg")
 add("ml5_flipped_copies", lambda s, d: learning.augment(fixtures.segment_points(s, d).select("segment_id", "seq", "step"), "flip", KEYS), "select segment_id, seq, max(step) over (partition by segment_id) + min(step) over (partition by segment_id) - step as step from seg", "seg")
 add("ml6_oversample", lambda s, d: learning.oversample(fixtures.predictions(s, d), "segment_id", "pred_label", 0.5).groupBy("pred_label").agg(F.count(F.lit(1)).alias("copies")),
     "select pred_label, cast(floor(top*0.5) as bigint)-n as copies from (select pred_label, count(*) as n, max(count(*)) over () as top from pred group by 1) where floor(top*0.5) > n", "pred")
@@ -400,3 +503,53 @@ def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("ml12_ml14_trained", trained)
+
+
+def four_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode and confidence of four rule classifiers for each segment: by speed, with rails, with rain (nobody cycles on a wet day), with both."""
+    sums = fixtures.segment_points(spark, sf_dir).groupBy("segment_id").agg(
+        F.avg("speed").alias("a"), F.max("speed").alias("m"), F.avg((F.col("speed") < 0.5).cast("double")).alias("q"), F.to_date(F.min("ts")).alias("date"))
+    days = weather.nearest_day(sums.select("date").distinct(), weather.with_flags(weather.fill_defaults(fixtures.weather(spark)))).select("date", F.coalesce(F.col("is_rainy") > 0, F.lit(False)).alias("wet"))
+    numbers = [F.col("a"), F.col("m"), F.col("q")]
+
+    def model(name: str, rails: bool, rain: bool) -> Column:
+        mode = learning.rule_mode(*numbers, rails)
+        return F.struct(F.lit(name).alias("model"), (F.when(F.col("wet") & (mode == "bike"), "bus").otherwise(mode) if rain else mode).alias("mode"), learning.rule_confidence(*numbers, rails).alias("confidence"))
+
+    each = F.array(*(model(f"exp{k}", k % 2 == 0, k > 2) for k in range(1, 5)))
+    return sums.join(days, "date").select("segment_id", F.explode(each).alias("x")).select("segment_id", "x.*")
+
+
+def _four_sql() -> str:
+    sides = []
+    for k in range(1, 5):
+        rails, mode = k % 2 == 0, _RULE("subway" if k % 2 == 0 else "car")
+        sure = f"case when max_speed > 45 then 0.92 when avg_speed > 16 then {0.91 if rails else 0.81} when avg_speed > 7 then case when stop_ratio > 0.15 then 0.82 else 0.84 end when avg_speed > 3.5 then 0.86 else 0.94 end"
+        sides.append(f"select segment_id, 'exp{k}' as model, {f'case when wet and {mode} = {chr(39)}bike{chr(39)} then {chr(39)}bus{chr(39)} else {mode} end' if k > 2 else mode} as mode, cast({sure} as double) as confidence from f")
+    return """, f as (select s.*, coalesce(w.is_rainy > 0, false) as wet from (select segment_id, avg(speed) as avg_speed, max(speed) as max_speed, avg(case when speed < 0.5 then 1.0 else 0.0 end) as stop_ratio, cast(min(ts) as date) as date from seg group by 1) s
+      join wxn w on s.date = w.date) """ + " union all ".join(sides)
+
+
+add("dsh27_four_models", four_models, _four_sql(), "seg", "wxn")
+
+
+def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each experiment with its status: one without a report is not trained yet."""
+    planned = spark.createDataFrame([(f"exp{k}",) for k in range(1, 5)], "experiment string")
+    done = reports(spark, sf_dir).select("experiment").distinct().withColumn("status", F.lit("completed"))
+    return planned.join(done, "experiment", "left").na.fill("not_trained", ["status"])
+
+
+add("dsh28_completed", lambda s, d: dashboards.with_status(experiments(s, d), "completed"), "select * from (values ('exp1', 'completed'), ('exp2', 'completed')) e(experiment, status)")
+add("dsh28_not_trained", lambda s, d: dashboards.with_status(experiments(s, d), "not_trained"), "select * from (values ('exp3', 'not_trained'), ('exp4', 'not_trained')) e(experiment, status)")
+
+
+def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all segments by mean and deviation of those that the split trains on."""
+    rows = learning.split(fixtures.segment_stats(spark, sf_dir), "segment_id")
+    return rounded(learning.standardise(rows.select("segment_id", "speed_mean", "accel_mean"), rows.where("split = 'train'"), ["speed_mean", "accel_mean"]), 3)
+
+
+add("ml14_normalised", normalised, """, t as (select *, cast(('0x' || md5(label || '|' || segment_id || '|42')[1:8])::bigint as double)/4294967296.0 < 0.7 as train from stats),
+  n as (select avg(speed_mean) as m1, stddev_pop(speed_mean) as s1, avg(accel_mean) as m2, stddev_pop(accel_mean) as s2 from t where train)
+  select segment_id, round((speed_mean-m1)/case when s1 < 1e-6 then 1.0 else s1 end,3) as speed_mean, round((accel_mean-m2)/case when s2 < 1e-6 then 1.0 else s2 end,3) as accel_mean from t, n""", "stats")

@@ -12,8 +12,8 @@ _FEATURE = "struct<id: string, properties: map<string,string>, geometry: struct<
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """id, properties map, geometry_type, coordinates (JSON text) of each feature.
 
-    A FeatureCollection is one JSON value, so one task parses it; convert huge ones to a
-    feature for each line, which is read in parallel.
+    A FeatureCollection is one JSON value, so one task parses it; read huge ones with
+    ``read_geojson_parts``, or write them once with ``write_geojson_lines``.
     """
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"features array<{_FEATURE}>").alias("c"))
     return _features(text.select(F.explode("c.features").alias("f")))
@@ -23,6 +23,29 @@ def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     return _features(spark.read.text(path).select(F.from_json("value", _FEATURE).alias("f")).where("f is not null"))
 
 
+def read_geojson_parts(spark: SparkSession, path: str) -> DataFrame:
+    """A FeatureCollection of any size, split by Spark at the features' type, so many tasks read it.
+
+    Each feature has to begin with its "type", as common writers put it, and no other value
+    may be the lone word Feature; a feature that is no JSON by itself raises.
+    """
+    # What follows one "Feature" up to the next: the rest of that feature, then the comma and begin of the next, or the end of the file.
+    parts = spark.read.option("lineSep", '"Feature"').text(path).where(~F.col("value").rlike(r'"FeatureCollection"'))
+    ahead = r'\s*,\s*\{\s*"type"\s*:\s*$'
+    rest = F.when(F.col("value").rlike(ahead), F.regexp_replace("value", ahead, "")).otherwise(F.regexp_replace("value", r"(?s)\s*\](?:\s*,(?:(?!\}\s*\]).)*)?\s*\}\s*$", ""))
+    whole = F.concat(F.lit('{"type": "Feature"'), rest)
+    parsed = parts.select(whole.alias("text"), F.from_json(whole, _FEATURE).alias("f"))
+    return _features(parsed.select(F.when(F.col("f.geometry").isNull() & F.col("f.properties").isNull(), F.raise_error(F.concat(F.lit("no feature: "), F.left("text", F.lit(200))))).otherwise(F.col("f")).alias("f")))
+
+
+def write_geojson_lines(features: DataFrame, path: str) -> None:
+    """Features as one JSON line each, as ``read_geojson_lines`` takes them."""
+    geometry = F.concat(F.lit('{"type":'), F.to_json(F.array("geometry_type")).substr(F.lit(2), F.length(F.to_json(F.array("geometry_type"))) - 2), F.lit(',"coordinates":'), F.coalesce("coordinates", F.lit("null")), F.lit("}"))
+    head = F.to_json(F.struct("id", "properties"))
+    line = F.concat(F.lit('{"type":"Feature",'), head.substr(F.lit(2), F.length(head) - 2), F.lit(',"geometry":'), geometry, F.lit("}"))
+    features.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def _features(df: DataFrame) -> DataFrame:
     properties = F.coalesce("f.properties", F.create_map().cast("map<string,string>"))
     return df.select(F.coalesce(F.try_element_at(properties, F.lit("@id")), F.col("f.id")).alias("id"), properties.alias("properties"), F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))

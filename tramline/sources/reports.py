@@ -50,3 +50,22 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def read_stage(spark: SparkSession, path: str, mode: str | None = None) -> DataFrame:
     stage = spark.read.parquet(path)
     return stage if mode is None else stage.where(F.col("cleaning_mode") == mode)
+
+
+def read_typed_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV with a header, blank lines skipped, types from the values; with a schema the file is read once only."""
+    reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def read_table(spark: SparkSession, name: str) -> DataFrame:
+    """A managed table, such as users or their history."""
+    return spark.table(name)
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, bounds: tuple[object, object] | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a database; with a column and its bounds it is read in that many parts at once."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if column is not None and bounds is not None:
+        reader = reader.options(partitionColumn=column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
+    return reader.load()
