@@ -1,6 +1,7 @@
-"""Extension: point features on a stream. The batch definition is operators.kinematics.
+"""Extension: point features on a stream. The batch definition is operators.kinematics, but for bearings, which are left out.
 
-State is the last point of each track and its running sums, one row, so it doesn't grow
+A point that comes after a later one of its track, in another batch, has a negative step of
+time, as the order of arrival is kept. State is the last point of each track and its running sums, one row, so it doesn't grow
 with the length of a track; tracks without points for an hour of event time are dropped.
 """
 
