@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, chat, decontaminate, fingerprint, licenses, line_dedup, ngram_join, substring_dedup, toxicity, url_filter
+from tramline.llm import bpe, chat, decontaminate, fingerprint, licenses, line_dedup, ngram_join, pii, substring_dedup, toxicity, url_filter
 from tramline.llm.common import cut, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -92,5 +92,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_ngram_jaccard, op3_url_filter, op4_license_scan, op5_chat_format, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_decontamination, op10_byte_bpe)}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_ngram_jaccard, op3_url_filter, op4_license_scan, op5_chat_format, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_decontamination, op10_byte_bpe, op11_pii)}
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL}
