@@ -23,10 +23,10 @@ def mapped(key: Column, values: Mapping[str, object], otherwise: Column | None =
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres on a sphere."""
+    """Metres on a sphere; null where a coordinate is null."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.sin(dlat / 2) * F.sin(dlat / 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon / 2) * F.sin(dlon / 2)
-    return 2 * EARTH_RADIUS * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_RADIUS * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -1,7 +1,8 @@
 """Cleaning of labelled segments: outlier flags and repair, smoothing, discards and their counts.
 
 Flags, discards and the linear smoothing are window expressions. Repairs read values that
-were repaired before, in order; they run in NumPy for each segment.
+were repaired before, in order; they run in NumPy for each piece of a segment, cut where
+nothing is to be repaired.
 """
 
 from __future__ import annotations
@@ -12,13 +13,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tramline import schemas
 from tramline.functions.scalar import mapped
+from tramline.operators.kinematics import chunk_of, whole_rows
 
 #: Least-squares weights of a quadratic in the middle of 5 and 7 points.
 SMOOTHING = {5: ((-3, 12, 17, 12, -3), 35), 7: ((-2, 3, 6, 7, 6, 3, -2), 21)}
 
+#: Points that smoothing and repair look at on each side, at most.
+HALO = 3
+#: Points of a segment after which it is cut, where it is quiet.
+CHUNK = 1 << 16
+_FIRST = -(1 << 62)
+
 
 def not_finite(x: Column) -> Column:
     return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -100,11 +109,57 @@ def _whole_segments(keys: list[str], change: Callable[[pd.DataFrame, list[slice]
     return run
 
 
+def _pieces(points: DataFrame, keys: list[str], order: str, quiet: Column, chunk: int, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """points, cut where no repair reaches across; adds _k, _piece, _halo.
+
+    A segment is cut once for each ``chunk`` places of its order column, before the middle of the first 2 * HALO + 1 neighbours in
+    that chunk which are all quiet (need no repair): so what a repair or a smoothing reads lies in the
+    same piece, with the HALO points on the other side of a cut, which are there twice, marked _halo. A
+    segment within one chunk, or without so many quiet neighbours, stays whole. One exchange of the points by
+    segment and chunk and one row for each chunk; ``kept`` may filter these rows (with n, flagged), and the points with them.
+    """
+    base = points.select("*", F.struct(*keys).alias("_k"), chunk_of(order, chunk).alias("_c"))
+    w = Window.partitionBy("_k", "_c").orderBy(order)
+    near = w.rowsBetween(-HALO, HALO)
+    calm = (F.count(F.lit(1)).over(near) == 2 * HALO + 1) & (F.sum(F.when(quiet, 0).otherwise(1)).over(near) == 0)
+    marked = base.select("*", F.row_number().over(w).alias("_r"), calm.alias("_calm"))
+    chunks = marked.groupBy("_k", "_c").agg(
+        F.min(F.when(F.col("_calm"), F.col("_r"))).alias("_cut"), F.count(F.lit(1)).alias("n"), F.sum(F.col("is_outlier").cast("long") if "is_outlier" in points.columns else F.lit(0)).alias("flagged"), whole_rows(base)).where("_whole is not null").drop("_whole")
+    if kept is not None:
+        chunks = kept(chunks)
+    v = Window.partitionBy("_k").orderBy("_c")
+    chunks = chunks.withColumn("_first", F.row_number().over(v) == 1).withColumn("_cut", F.when(~F.col("_first"), F.col("_cut")))
+    chunks = chunks.select("_k", "_c", "_cut", F.coalesce(F.last(F.when(F.col("_cut").isNotNull(), F.col("_c")), ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(_FIRST)).alias("_open"))
+    if kept is None:
+        # Segments of one chunk, nearly all, need no row.
+        joined = marked.join(chunks.where(f"_cut is not null or _open <> {_FIRST}"), ["_k", "_c"], "left")
+    else:
+        joined = marked.join(chunks, ["_k", "_c"])
+    after = F.coalesce(F.col("_r") >= F.col("_cut"), F.lit(False))
+    open_ = F.coalesce("_open", F.lit(_FIRST))
+    own = F.struct(F.when(after, F.col("_c")).otherwise(open_).alias("piece"), F.lit(False).alias("halo"))
+    twice = F.struct(F.when(after, open_).otherwise(F.col("_c")).alias("piece"), F.lit(True).alias("halo"))
+    both = F.when((F.col("_r") >= F.col("_cut") - HALO) & (F.col("_r") < F.col("_cut") + HALO), F.array(own, twice)).otherwise(F.array(own))
+    return joined.select(*points.columns, "_k", F.explode(both).alias("_p")).select(*points.columns, "_k", F.col("_p.piece").alias("_piece"), F.col("_p.halo").alias("_halo"))
+
+
 def _each_segment(points: DataFrame, keys: list[str], order: str, change: Callable[[pd.DataFrame, list[slice]], pd.DataFrame]) -> DataFrame:
     """Applies ``change`` to rows and the slices of their segments, many segments at a time."""
     return points.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(_whole_segments(keys, change), points.schema)
 
 
+def _each_piece(pieces: DataFrame, order: str, schema: StructType, change: Callable[[pd.DataFrame, list[slice]], pd.DataFrame]) -> DataFrame:
+    """Applies ``change`` to rows and the slices of their pieces, many pieces at a time; halos are left out."""
+    names = schema.names
+
+    def whole(pdf: pd.DataFrame, segments: list[slice]) -> pd.DataFrame:
+        return change(pdf, segments).loc[lambda x: ~x["_halo"].to_numpy(bool), names]
+
+    # A key of text, so that pandas compares plain values.
+    keyed = pieces.withColumn("_k", F.to_json("_k", {"ignoreNullFields": "false"}))
+    return keyed.repartition("_k", "_piece").sortWithinPartitions("_k", "_piece", order).mapInPandas(_whole_segments(["_k", "_piece"], whole), schema)
+
+
 def _repaired(pdf: pd.DataFrame, segments: list[slice]) -> pd.DataFrame:
     marks = pdf["is_outlier"].to_numpy(bool)
     for c in ("speed", "acceleration", "bearing_change"):
@@ -116,6 +171,11 @@ def _repaired(pdf: pd.DataFrame, segments: list[slice]) -> pd.DataFrame:
     return pdf
 
 
+def _level(limit: float) -> Column:
+    """Whether no settling begins here, whatever the label."""
+    return F.coalesce(F.col("bearing_change") <= limit * 0.8, F.lit(False))
+
+
 def _settled(pdf: pd.DataFrame, segments: list[slice], limit: float) -> pd.DataFrame:
     values, slow = pdf["bearing_change"].to_numpy(float).copy(), pdf["label"].isin(["Walk", "Bike"]).to_numpy()
     for s in segments:
@@ -124,9 +184,11 @@ def _settled(pdf: pd.DataFrame, segments: list[slice], limit: float) -> pd.DataF
     return pdf
 
 
-def repair(flagged: DataFrame, keys: list[str], order: str = "step") -> DataFrame:
-    """Repairs speed, acceleration and bearing_change of flagged points, segment by segment."""
-    return _each_segment(flagged, keys, order, _repaired)
+def repair(flagged: DataFrame, keys: list[str], order: str = "step", chunk: int | None = None) -> DataFrame:
+    """Repairs speed, acceleration and bearing_change of flagged points, segment by segment; with ``chunk`` (CHUNK, say) long ones in pieces of about so many points."""
+    if chunk is None:
+        return _each_segment(flagged, keys, order, _repaired)
+    return _each_piece(_pieces(flagged, keys, order, ~F.col("is_outlier"), chunk), order, flagged.schema, _repaired)
 
 
 def smooth(points: DataFrame, keys: list[str], window: int | None, order: str = "step", columns: tuple[str, ...] = ("speed", "acceleration")) -> DataFrame:
@@ -153,9 +215,12 @@ def smooth(points: DataFrame, keys: list[str], window: int | None, order: str =
     return points.select(*(smoothed[c].alias(c) if c in smoothed else F.col(c) for c in points.columns))
 
 
-def smooth_bearing(points: DataFrame, keys: list[str], limit: float, order: str = "step") -> DataFrame:
-    """Settles bearing changes over the limit, 0.8 times the limit for walking and cycling."""
-    return _each_segment(points, keys, order, lambda pdf, segments: _settled(pdf, segments, limit))
+def smooth_bearing(points: DataFrame, keys: list[str], limit: float, order: str = "step", chunk: int | None = None) -> DataFrame:
+    """Settles bearing changes over the limit, 0.8 times the limit for walking and cycling; with ``chunk`` long segments in pieces of about so many points."""
+    if chunk is None:
+        return _each_segment(points, keys, order, lambda pdf, segments: _settled(pdf, segments, limit))
+    pieces = _pieces(points, keys, order, _level(limit), chunk)
+    return _each_piece(pieces, order, points.schema, lambda pdf, segments: _settled(pdf, segments, limit))
 
 
 def _discard_reason(n_points: Column, n_outliers: Column, p: schemas.Preset) -> Column:
@@ -169,17 +234,16 @@ def verdicts(points: DataFrame, keys: list[str], mode: str = "balanced") -> Data
     return sums.withColumn("discard_reason", _discard_reason(F.col("n_points"), F.col("n_outliers"), p))
 
 
-def clean(points: DataFrame, keys: list[str], mode: str = "balanced", order: str = "step") -> DataFrame:
+def clean(points: DataFrame, keys: list[str], mode: str = "balanced", order: str = "step", chunk: int | None = None) -> DataFrame:
     """Points of the segments that are kept, repaired and smoothed. Distances and totals stay as they were.
 
     The same as ``verdicts``, ``repair``, ``smooth`` and ``smooth_bearing`` one after the
-    other, with one exchange of the points by segment.
+    other; rows of one segment with two labels are two segments. One exchange of the points by segment; with ``chunk``
+    (CHUNK, say) one by segment and chunk and one by piece, and a segment of any length is many pieces.
     """
     p = schemas.preset(mode)
-    by = Window.partitionBy(*keys, "label")
-    flagged = flag_outliers(points).repartition(*keys)
-    counted = flagged.withColumns({"_points": F.count(F.lit(1)).over(by), "_outliers": F.sum(F.col("is_outlier").cast("long")).over(by)})
-    kept = counted.where(_discard_reason(F.col("_points"), F.col("_outliers"), p).isNull()).drop("_points", "_outliers")
+    every = [*keys, *(c for c in ("label",) if c not in keys)]
+    flagged = flag_outliers(points)
 
     def change(pdf: pd.DataFrame, segments: list[slice]) -> pd.DataFrame:
         pdf = _repaired(pdf, segments)
@@ -192,7 +256,19 @@ def clean(points: DataFrame, keys: list[str], mode: str = "balanced", order: str
             pdf[c] = values
         return _settled(pdf, segments, p.max_bearing_change)
 
-    return kept.sortWithinPartitions(*keys, order).mapInPandas(_whole_segments(keys, change), kept.schema)
+    if chunk is None:
+        by = Window.partitionBy(*every)
+        counted = flagged.repartition(*every).withColumns({"_points": F.count(F.lit(1)).over(by), "_outliers": F.sum(F.col("is_outlier").cast("long")).over(by)})
+        rows = counted.where(_discard_reason(F.col("_points"), F.col("_outliers"), p).isNull()).drop("_points", "_outliers")
+        return rows.sortWithinPartitions(*every, order).mapInPandas(_whole_segments(every, change), rows.schema)
+    totals = Window.partitionBy("_k")
+
+    def kept(chunks: DataFrame) -> DataFrame:
+        sums = chunks.withColumns({"n": F.sum("n").over(totals), "flagged": F.sum("flagged").over(totals)})
+        return sums.withColumn("label", F.col("_k.label")).where(_discard_reason(F.col("n"), F.col("flagged"), p).isNull()).drop("label")
+
+    quiet = ~F.col("is_outlier") & _level(p.max_bearing_change)
+    return _each_piece(_pieces(flagged, every, order, quiet, chunk, kept), order, flagged.schema, change)
 
 
 def funnel(points: DataFrame, keys: list[str], mode: str = "balanced") -> DataFrame:

@@ -1,21 +1,22 @@
-"""Point features of tracks, by window functions over each track in time order.
+"""Point features of tracks, by window functions over chunks of each track in time order.
 
-All windows share one specification, so Spark shuffles and sorts the points once. A track
-is a window partition: it has to fit on the disk of one task, not in memory.
+A track may hold a third of all points, so it is no window: it is cut into chunks of
+CHUNK seconds, and windows stay inside them. What goes on over a cut (the last point, its
+speed and bearing, sums so far) is one row for each chunk; windows over these rows carry
+it on, and a join on track and chunk, for which the points stay where they are, hands it back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.scalar import bearing, haversine, turned
 
 LEAST_STEP = 1e-6
-
-
-def track_window(track: str = "track_id") -> Window:
-    return Window.partitionBy(track).orderBy("ts", "seq")
+#: Seconds of a track that one task orders.
+CHUNK = 86_400
+_FIRST = -(1 << 62)
 
 
 def valid_points(points: DataFrame) -> DataFrame:
@@ -23,36 +24,77 @@ def valid_points(points: DataFrame) -> DataFrame:
 
 
 def long_tracks(points: DataFrame, least: int, track: str = "track_id") -> DataFrame:
-    """Points of tracks with so many of them."""
-    return points.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(track))).where(F.col("_n") >= least).drop("_n")
+    """Points of tracks with so many of them; counted by aggregation, so a track may be of any length."""
+    key = F.struct(track).alias("_k")
+    long = points.groupBy(key).count().where(F.col("count") >= least).select("_k")
+    return points.withColumn("_k", key).join(long, "_k", "left_semi").drop("_k")
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """An aggregate that reads all columns: with it, what is summed up and what is joined need the same exchange, which Spark then makes once."""
+    return F.bit_xor(F.xxhash64(*df.columns)).alias("_whole")
+
+
+def chunk_of(order: str, chunk: int | None) -> Column:
+    """Number of the chunk of a place; rows without a place come first."""
+    return F.lit(0).cast("long") if chunk is None else F.coalesce(F.floor(F.col(order) / chunk).cast("long"), F.lit(_FIRST))
+
 
+def _moved(lat0: Column, lon0: Column, time0: Column, lat: Column, lon: Column, time: Column) -> dict[str, Column]:
+    known = lat0.isNotNull()
+    gap = F.coalesce((time - time0) / 1e6, F.lit(0.0))
+    distance = F.when(known, haversine(lat0, lon0, lat, lon)).otherwise(0.0)
+    return {"time_diff": gap, "distance": distance, "bearing": F.when(known, bearing(lat0, lon0, lat, lon)).otherwise(0.0), "speed": distance / _span(gap)}
 
-def kinematics(points: DataFrame, track: str = "track_id") -> DataFrame:
-    """Adds time_diff, distance, speed, acceleration, bearing, bearing_change, total_distance, total_time.
+
+def _span(gap: Column) -> Column:
+    return F.when(gap == 0, LEAST_STEP).otherwise(gap)
+
+
+def _named(values: dict[str, Column], prefix: str) -> list[Column]:
+    return [v.alias(prefix + k) for k, v in values.items()]
+
+
+def kinematics(points: DataFrame, track: str = "track_id", chunk: int = CHUNK) -> DataFrame:
+    """Adds step, time_diff, distance, speed, acceleration, bearing, bearing_change, total_distance, total_time.
 
     The first point of a track has zeros. A step of no time counts as LEAST_STEP seconds in
-    divisions. Points of one time follow each other by seq.
+    divisions. Points of one time follow each other by seq. A task holds at most the points of
+    ``chunk`` seconds of a track; the results don't depend on it but for the last places of sums.
     """
-    w = track_window(track)
+    at = F.unix_micros("ts")
+    base = points.select("*", F.struct(track).alias("_k"), F.coalesce(F.floor(F.unix_seconds("ts") / chunk), F.lit(_FIRST)).alias("_c"))
+    w = Window.partitionBy("_k", "_c").orderBy("ts", "seq")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    micros = F.unix_micros("ts")
-    steps = points.select(
-        "*", F.coalesce((micros - F.lag(micros).over(w)) / 1e6, F.lit(0.0)).alias("time_diff"),
-        F.lag("lat").over(w).alias("_lat"), F.lag("lon").over(w).alias("_lon"), F.row_number().over(w).alias("step"),
-    )
-    known = F.col("_lat").isNotNull()
-    moves = steps.select(
-        *points.columns, "step", "time_diff",
-        F.when(known, haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).otherwise(0.0).alias("distance"),
-        F.when(known, bearing(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).otherwise(0.0).alias("bearing"),
-        F.when(F.col("time_diff") == 0, LEAST_STEP).otherwise(F.col("time_diff")).alias("_span"),
-    ).withColumn("speed", F.col("distance") / F.col("_span"))
-    return moves.select(
-        *points.columns, "step", "time_diff", "distance", "speed",
-        F.coalesce((F.col("speed") - F.lag("speed").over(w)) / F.col("_span"), F.lit(0.0)).alias("acceleration"),
-        "bearing", F.coalesce(turned(F.col("bearing"), F.lag("bearing").over(w)), F.lit(0.0)).alias("bearing_change"),
-        F.sum("distance").over(so_far).alias("total_distance"), F.sum("time_diff").over(so_far).alias("total_time"),
-    )
+    steps = base.select("*", F.row_number().over(w).alias("_r"), F.lag(at).over(w).alias("_at"), F.lag("lat").over(w).alias("_lat"), F.lag("lon").over(w).alias("_lon"))
+    moves = steps.select(*base.columns, "_r", *_named(_moved(F.col("_lat"), F.col("_lon"), F.col("_at"), F.col("lat"), F.col("lon"), at), "_"))
+    inside = moves.select(
+        "*", F.lag("_speed").over(w).alias("_speed0"), F.lag("_bearing").over(w).alias("_bearing0"), F.sum("_distance").over(so_far).alias("_far"), F.sum("_time_diff").over(so_far).alias("_long"))
+
+    # One row for each chunk; the first chunk of a track needs nothing from before.
+    point = F.struct("lat", "lon", at.alias("at"))
+    ends = inside.groupBy("_k", "_c").agg(
+        F.min_by(point, "_r").alias("first"), F.max_by(point, "_r").alias("last"), F.max("_r").alias("n"), F.coalesce(F.sum("_distance"), F.lit(0.0)).alias("far"), F.sum("_time_diff").alias("long"),
+        F.max_by(F.struct("_speed", "_bearing"), "_r").alias("end"), whole_rows(base)).where("_whole is not null")
+    v = Window.partitionBy("_k").orderBy("_c")
+    before = v.rowsBetween(Window.unboundedPreceding, -1)
+    edge = _moved(*(F.col(f"last0.{c}") for c in ("lat", "lon", "at")), *(F.col(f"first.{c}") for c in ("lat", "lon", "at")))
+    linked = ends.withColumn("last0", F.lag("last").over(v)).select("*", *_named(edge, "edge_"))
+    tail = lambda c: F.lag(F.when(F.col("n") > 1, F.col(f"end._{c}")).otherwise(F.col(f"edge_{c}"))).over(v).alias(f"tail_{c}")
+    added = F.coalesce("edge_distance", F.lit(0.0))
+    carried = linked.select(
+        "_k", "_c", *(f"edge_{c}" for c in edge), tail("speed"), tail("bearing"), F.col("last0").isNotNull().alias("later"), F.sum("n").over(before).alias("steps"),
+        (F.sum(F.col("far") + added).over(before) + added).alias("far"), (F.sum(F.col("long") + F.col("edge_time_diff")).over(before) + F.col("edge_time_diff")).alias("long")).where("later")
+
+    joined = inside.join(carried, ["_k", "_c"], "left")
+    first, second, later = F.col("_r") == 1, F.col("_r") == 2, F.col("later").isNotNull()
+    own = {c: F.when(first & later, F.col(f"edge_{c}")).otherwise(F.col(f"_{c}")) for c in edge}
+    last = {c: F.when(first, F.col(f"tail_{c}")).when(second & later, F.col(f"edge_{c}")).otherwise(F.col(f"_{c}0")) for c in ("speed", "bearing")}
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return joined.select(
+        *points.columns, (none("steps") + F.col("_r")).cast("long").alias("step"), own["time_diff"].alias("time_diff"), own["distance"].alias("distance"), own["speed"].alias("speed"),
+        F.coalesce((own["speed"] - last["speed"]) / _span(own["time_diff"]), F.lit(0.0)).alias("acceleration"), own["bearing"].alias("bearing"),
+        F.coalesce(turned(own["bearing"], last["bearing"]), F.lit(0.0)).alias("bearing_change"), (none("far") + F.col("_far")).alias("total_distance"), (none("long") + F.col("_long")).alias("total_time"))
 
 
 def trip_summary(features: DataFrame, track: str = "track_id") -> DataFrame:

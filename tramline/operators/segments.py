@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.scalar import normal_mode
+from tramline.operators.kinematics import chunk_of, whole_rows
 
 EPS = 1e-8
 DAY = 86400
+#: Points of a segment that one task orders.
+CHUNK = 1 << 16
 
 
 def label_join(points: DataFrame, labels: DataFrame, user: str = "user_id", least_points: int = 10) -> DataFrame:
@@ -42,39 +45,69 @@ def length_summary(segments: DataFrame) -> DataFrame:
     ).withColumn("share", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
 
 
-def statistics(points: DataFrame, keys: list[str] | None = None, order: str = "step") -> DataFrame:
+def _flips_and_runs(first: Column, last: Column) -> Column:
+    """struct<flips, run>: sign changes over the cuts, and the longest fast run that a cut touches, of the ends of chunks in order.
+
+    first, last: array<struct<c, fast, sign>>, the first and last points of all chunks, of which ``last`` also
+    knows the chunk's size. A run goes on over a chunk that is fast as a whole.
+    """
+    ends = F.zip_with(F.array_sort(first), F.array_sort(last), lambda a, b: F.struct(a["fast"].alias("head"), a["sign"].alias("from"), b["fast"].alias("tail"), b["sign"].alias("to"), b["n"].alias("n")))
+    start = F.struct(F.lit(0).cast("long").alias("flips"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("open"), F.lit(None).cast("double").alias("to"))
+
+    def step(x: Column, e: Column) -> Column:
+        grown = x["open"] + e["head"]
+        return F.struct(
+            (x["flips"] + F.coalesce((x["to"] != e["from"]).cast("long"), F.lit(0))).alias("flips"), F.greatest(x["run"], grown).alias("run"),
+            F.when(e["head"] == e["n"], grown).otherwise(e["tail"]).alias("open"), e["to"].alias("to"))
+
+    return F.aggregate(ends, start, step)
+
+
+def statistics(points: DataFrame, keys: list[str] | None = None, order: str = "step", chunk: int | None = None) -> DataFrame:
     """The 18 statistics of each segment.
 
     points: keys, an order column, speed, acceleration, bearing_change, distance, time_diff,
-    total_distance, total_time, lat, lon. One exchange by the keys serves the windows and the
-    aggregation.
+    total_distance, total_time, lat, lon. A segment is as long as its label interval, and one exchange by the keys
+    serves the windows and the aggregation. Where an interval may hold more points than a task should, give ``chunk``
+    (CHUNK, say): segments are cut after so many places of the order column, sums are added up from
+    partial ones, and runs and changes of sign go on over the cuts by the ends of the chunks.
     """
     keys = keys or ["segment_id"]
-    by = Window.partitionBy(*keys)
-    w = by.orderBy(order)
     sign = F.signum("acceleration")
-    base = points.select(
-        *keys, F.col(order).alias("_o"), "lat", "lon", "total_distance", "total_time", F.greatest("speed", F.lit(0.0)).alias("_v"), F.abs("acceleration").alias("_a"),
-        F.abs("bearing_change").alias("_b"), F.greatest("distance", F.lit(0.0)).alias("_d"), F.greatest("time_diff", F.lit(0.0)).alias("_t"),
-        (sign != F.lag(sign).over(w)).cast("int").alias("_flip"), F.max(F.greatest("speed", F.lit(0.0))).over(by).alias("_top"),
-        F.row_number().over(w).alias("_r"),
-    )
-    fast = Window.partitionBy(*keys, F.col("_v") > 10).orderBy("_o")
+    plain = points.select(
+        F.struct(*keys).alias("_k"), chunk_of(order, chunk).alias("_c"), F.col(order).alias("_o"), "lat", "lon", "total_distance", "total_time",
+        F.greatest("speed", F.lit(0.0)).alias("_v"), F.abs("acceleration").alias("_a"), F.abs("bearing_change").alias("_b"), F.greatest("distance", F.lit(0.0)).alias("_d"),
+        F.greatest("time_diff", F.lit(0.0)).alias("_t"), sign.alias("_sign"))
+    by = Window.partitionBy("_k", "_c")
+    w = by.orderBy("_o")
+    chunk_top = F.max("_v").over(by)
+    base = plain.select("*", (F.col("_sign") != F.lag("_sign").over(w)).cast("int").alias("_flip"), F.row_number().over(w).alias("_r"), chunk_top.alias("_top"), F.count(F.lit(1)).over(by).alias("_n"))
+    fast = Window.partitionBy("_k", "_c", F.col("_v") > 10).orderBy("_o")
     runs = base.withColumn("_run", F.when(F.col("_v") > 10, F.col("_r") - F.row_number().over(fast)))
-    run_length = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_run"))
-    bin_ = F.least(F.floor(F.col("_v") / (F.col("_top") + EPS) * 10), F.lit(9)).cast("int")
-    binned = runs.select("*", bin_.alias("_bin"), F.when(F.col("_run").isNotNull(), run_length).otherwise(0).alias("_fast"))
+    run_length = F.count(F.lit(1)).over(Window.partitionBy("_k", "_c", "_run"))
+    runs = runs.withColumn("_fast", F.when(F.col("_run").isNotNull(), run_length).otherwise(0))
+    # The top speed of a whole segment, where it has several chunks, comes from one row for each of them.
+    tops = plain.groupBy("_k", "_c").agg(F.max("_v").alias("_top"), whole_rows(plain)).where("_whole is not null")
+    whole = Window.partitionBy("_k")
+    tops = tops.select("_k", "_c", F.max("_top").over(whole).alias("_higher"), F.count(F.lit(1)).over(whole).alias("_chunks")).where("_chunks > 1").drop("_chunks")
+    runs = runs.withColumn("_higher", F.lit(None).cast("double")) if chunk is None else runs.join(tops, ["_k", "_c"], "left")
+    bin_ = F.least(F.floor(F.col("_v") / (F.coalesce("_higher", "_top") + EPS) * 10), F.lit(9)).cast("int")
+    binned = runs.withColumn("_bin", bin_).withColumn("_r", F.struct("_c", "_r"))
+    end = F.struct(F.col("_c").alias("c"), F.col("_fast").alias("fast"), F.col("_sign").alias("sign"), F.col("_n").alias("n"))
+    cut_ends = [F.collect_list(F.when(F.col("_higher").isNotNull() & (F.col("_r._r") == at), end)).alias(name) for at, name in ((F.lit(1), "_firsts"), (F.col("_n"), "_lasts"))]
     n = F.count(F.lit(1))
     histogram = [F.sum((F.col("_bin") == k).cast("long")).alias(f"_h{k}") for k in range(10)]
-    agg = binned.groupBy(*keys).agg(
+    agg = binned.groupBy("_k").agg(
         n.alias("n_points"), F.avg("_v").alias("speed_mean"), F.stddev_pop("_v").alias("speed_std"), F.max("_v").alias("speed_max"),
         F.avg("_a").alias("accel_mean"), F.stddev_pop("_a").alias("accel_std"), F.max("_a").alias("accel_max"),
         F.avg("_b").alias("bearing_mean"), F.stddev_pop("_b").alias("bearing_std"),
         F.avg((F.col("_v") < 0.5).cast("double")).alias("stop_ratio"), F.avg((F.col("_v") > 15).cast("double")).alias("high_speed_ratio"),
         F.min_by("lat", "_r").alias("_lat0"), F.min_by("lon", "_r").alias("_lon0"), F.max_by("lat", "_r").alias("_lat1"), F.max_by("lon", "_r").alias("_lon1"),
         F.max_by("total_distance", "_r").alias("_dist"), F.max_by("total_time", "_r").alias("_time"), F.sum("_d").alias("_sum_d"), F.sum("_t").alias("_sum_t"),
-        F.sum("_flip").alias("_flips"), F.max("_fast").alias("_fast"), *histogram,
+        F.sum("_flip").alias("_flips"), F.max("_fast").alias("_fast"), *histogram, *cut_ends,
     )
+    cuts = _flips_and_runs(F.col("_firsts"), F.col("_lasts"))
+    agg = agg.withColumn("_cuts", cuts).select("_k.*", "*").withColumns({"_flips": F.coalesce("_flips", F.lit(0)) + F.col("_cuts.flips"), "_fast": F.greatest("_fast", "_cuts.run")})
     distance = F.when(F.col("_dist") > 0, F.col("_dist")).otherwise(F.col("_sum_d"))
     time = F.when(F.col("_time") > 0, F.col("_time")).otherwise(F.col("_sum_t"))
     straight = F.sqrt(
