@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, chat, collocations, decontaminate, divergence, fingerprint, licenses, line_dedup, ngram_join, pii, substring_dedup, toxicity, url_filter
+from tramline.llm import bpe, chat, collocations, decontaminate, divergence, fingerprint, licenses, line_dedup, ngram_join, oracles, pii, substring_dedup, toxicity, url_filter
 from tramline.llm.common import cut, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -105,4 +105,4 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_ngram_jaccard, op3_url_filter, op4_license_scan, op5_chat_format, op6_toxicity, op7_line_dedup, op8_substring_dedup, op9_decontamination, op10_byte_bpe, op11_pii, op12_collocations, op13_divergence)}
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, **oracles.ORACLE_SQL}
