@@ -7,14 +7,20 @@ documents; the last one returns token ids instead.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from tramline.llm.common import cut, table, unused
+from tramline.llm.common import cut, emptied, table, unused, written
 from tramline.llm.queries import VOCABULARY
 
 
+def _identity() -> Column:
+    """128 bits of id and text; a null differs from all values."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.md5(F.concat(part("doc_id"), F.lit("\0"), part("text")))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go; it is fitted on the labelled ones."""
     model = toxicity.fit(docs, toxicity.grades_of(table(spark, sf_dir, "labels")))
@@ -40,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     one row stays.
     """
     key = unused(docs, "key")
-    single = docs.withColumn(key, F.xxhash64("doc_id", "text")).dropDuplicates([key])
+    single = cut(docs.withColumn(key, _identity()).dropDuplicates([key]))
     joined = ngram_join.similarity_join(single, id_col=key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(key).alias("kept")))
     stays = single.select(key, "doc_id").join(joined.select(key, "class_id"), key).groupBy("class_id").agg(first.alias("first")).select(F.col("first.kept").alias(key))
@@ -51,7 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in which a window of a benchmark item occurs go."""
     # By id and text, so that rows without an id or with a repeated one are judged by their own text.
     key = unused(docs, "key")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn(key, _identity())
     found = decontaminate.scan(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
     hit = cut(found.where("n_hit > 0").select(key).distinct())
     return keyed.join(hit, key, "left_anti").select(*docs.columns)
@@ -75,7 +81,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """What the last stage keeps. Each stage's rows are written once, so that the next one may read them as often as it needs."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            emptied(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
