@@ -144,3 +144,32 @@ def test_columns_of_any_name_pass_every_stage(spark, made):
         assert kept == {r[0]: r[5:] for r in rows}
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, made[0]).collect()}
     assert got == {1: (rows[0][1], 1), 2: ("a b c d e\nf g", 13)}
+
+
+def test_each_stage_runs_once(spark, made, monkeypatch):
+    """Rows that leave each stage are made once, whatever the next ones do with them."""
+    seen = [spark.sparkContext.accumulator(0) for _ in corpus_pipeline.STAGES]
+
+    def counted(k, stage):
+        def run(spark, docs, sf_dir):
+            out, left = stage(spark, docs, sf_dir), seen[k]
+
+            def count(batches):
+                for batch in batches:
+                    left.add(batch.num_rows)
+                    yield batch
+
+            return out.mapInArrow(count, out.schema)
+
+        return run
+
+    folder, *rest = made
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, counted(k, stage)) for k, (name, stage) in enumerate(corpus_pipeline.STAGES)])
+    corpus_pipeline.run(spark, folder).write.format("noop").mode("overwrite").save()
+    assert [x.value for x in seen] == [*map(len, brute(*rest)), len(brute(*rest)[-1])]
+
+
+def test_documents_of_equal_hashes_are_told_apart(spark, made):
+    rows = [(i, t, "en", "s", 1) for i, t in ((None, None), (None, "-"), (None, "="), (0, None), (0, ""), (1, "0"))]
+    kept = corpus_pipeline.drop_near_copies(spark, small(spark, rows), made[0])
+    assert kept.count() == len(rows)
