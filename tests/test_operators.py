@@ -297,7 +297,7 @@ def test_nearest_any_line_has_all_pieces_and_no_threshold(spark, sf_dir):
     for seq, x in zip(pts.seq, pts[["lat", "lon"]].to_numpy()):
         at = np.clip(((x - a) * d).sum(1) / (d * d).sum(1), 0, 1)
         want[seq] = np.hypot(*(x - a - at[:, None] * d).T).min() * 111300
-    got = {r.seq: r.distance for r in queries.QUERIES["geo19_nearest_any_line"](spark, sf_dir).collect()}
+    got = {r.seq: r.distance for r in queries.QUERIES["geo19_nearest_line"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and max(want.values()) > 300
     assert all(abs(got[k] - want[k]) < 0.01 for k in want)
 

@@ -8,10 +8,6 @@ are split by adaptive skew handling; the points' side may be salted with ``salts
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import count
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,21 +124,15 @@ def road_edges(nodes: DataFrame, road: str = "road_id", order: str = "pos") -> D
         road, F.col("node_id").alias("src"), F.col("next_id").alias("dst"), haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")).alias("metres"))
 
 
-def nearest_segment(points: DataFrame, edges: DataFrame, key: str, radius: float, rings: int | None = 3) -> DataFrame:
+def nearest_segment(points: DataFrame, edges: DataFrame, key: str, radius: float, rings: int = 3) -> DataFrame:
     """Nearest road by distance to its line segments: searched within radius, then 4 times as far, and so on.
 
     edges: road_id, road_type, lat1, lon1, lat2, lon2. Each ring only searches the points that
     have no road yet; a segment is put into all cells that the bounding boxes of its parts of about
-    a cell's length touch. With rings=None the search goes on until each point with finite coordinates has a road.
+    a cell's length touch. Points without a road within the last ring have no row; ``nearest.nearest_line`` has no threshold.
     """
     out, left = None, points.select(key, "lat", "lon")
-    finite = lambda *names: reduce(and_, (F.abs(c) < float("inf") for c in names))
-    if rings is None:
-        left, edges = left.where(finite("lat", "lon")), edges.where(finite("lat1", "lon1", "lat2", "lon2"))
-        rings = 1 if edges.isEmpty() else None
-    for ring in count() if rings is None else range(rings):
-        if rings is None and ring and left.isEmpty():
-            break
+    for ring in range(rings):
         side = radius * 4**ring / DEGREE
         long = F.greatest(F.abs(F.col("lat2") - F.col("lat1")), F.abs(F.col("lon2") - F.col("lon1")))
         cut = edges.withColumn("_n", F.greatest(F.lit(1), F.ceil(long / side).cast("int"))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
@@ -155,7 +145,6 @@ def nearest_segment(points: DataFrame, edges: DataFrame, key: str, radius: float
         at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
         found = _cells(left, side).join(boxed, ["_cy", "_cx"]).withColumn("distance", planar(F.col("lat"), F.col("lon"), F.col("lat1") + at * dy, F.col("lon1") + at * dx))
         best = found.where(F.col("distance") <= side * DEGREE).groupBy(key).agg(F.min(F.struct("distance", "road_id", "road_type")).alias("_b")).select(key, "_b.*")
-        best = best.persist() if rings is None else best
         out = best if out is None else out.union(best)
         left = left.join(best.select(key), key, "left_anti")
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tramline import schemas
 from tramline.functions import scalar
-from tramline.operators import cleaning, kinematics, learning, resample, segments, spatial, weather
+from tramline.operators import cleaning, kinematics, learning, nearest, resample, segments, spatial, weather
 from tramline.plans import dashboards, fixtures
 from tramline.plans.oracles import CTES, MODE_SQL, OUTLIER_SQL, sql
 
@@ -440,9 +440,11 @@ def _line_sql(lines: str, near: str, limit: str) -> str:
 
 
 # All pieces and no threshold; the SQL compares all pairs.
-add("geo19_nearest_line", lambda s, d: spatial.nearest_segment(fixtures.points(s, d), all_road_lines(s, d), "seq", 300.0, None).select("seq", "road_id", r("distance", 3).alias("distance")),
+add("geo19_nearest_line", lambda s, d: nearest.nearest_line(fixtures.points(s, d), all_road_lines(s, d), "seq").select("seq", "road_id", r("distance", 3).alias("distance")),
     _line_sql("lat2 is not null", "true", "true"), "pts", "rds")
-QUERIES["geo19_nearest_any_line"], ORACLES["geo19_nearest_any_line"] = QUERIES["geo19_nearest_line"], ORACLES["geo19_nearest_line"]
+# The road that each POI stands at.
+add("geo19_nearest_any_line", lambda s, d: nearest.nearest_line(fixtures.pois(s, d), all_road_lines(s, d), "poi_id").select("poi_id", "road_id", r("distance", 3).alias("distance")),
+    _line_sql("lat2 is not null", "true", "true").replace("p.seq", "p.poi_id").replace("select seq", "select poi_id").replace("group by seq", "group by poi_id").replace("from pts p", "from poi p"), "poi", "rds")
 # A search within a radius, as maps ask for it: all pieces, points without one within 300 m have no row.
 add("geo19_line_within_300m", lambda s, d: spatial.nearest_segment(fixtures.points(s, d), all_road_lines(s, d), "seq", 300.0, 1).select("seq", "road_id", r("distance", 3).alias("distance")),
     _line_sql("lat2 is not null", "p.lat between least(lat1,lat2)-0.003 and greatest(lat1,lat2)+0.003 and p.lon between least(lon1,lon2)-0.003 and greatest(lon1,lon2)+0.003", "d <= 300"), "pts", "rds")
