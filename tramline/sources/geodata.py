@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.sources.jsonsplit import json_objects, parsed
+
 POI_TAGS = ("bus_stop", "station", "parking", "taxi", "subway_entrance")
 _FEATURE = "struct<id: string, properties: map<string,string>, geometry: struct<type: string, coordinates: string>>"
 
@@ -24,18 +26,8 @@ def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geojson_parts(spark: SparkSession, path: str) -> DataFrame:
-    """A FeatureCollection of any size, split by Spark at the features' type, so many tasks read it.
-
-    Each feature has to begin with its "type", as common writers put it, and no other value
-    may be the lone word Feature; a feature that is no JSON by itself raises.
-    """
-    # What follows one "Feature" up to the next: the rest of that feature, then the comma and begin of the next, or the end of the file.
-    parts = spark.read.option("lineSep", '"Feature"').text(path).where(~F.col("value").rlike(r'"FeatureCollection"'))
-    ahead = r'\s*,\s*\{\s*"type"\s*:\s*$'
-    rest = F.when(F.col("value").rlike(ahead), F.regexp_replace("value", ahead, "")).otherwise(F.regexp_replace("value", r"(?s)\s*\](?:\s*,(?:(?!\}\s*\]).)*)?\s*\}\s*$", ""))
-    whole = F.concat(F.lit('{"type": "Feature"'), rest)
-    parsed = parts.select(whole.alias("text"), F.from_json(whole, _FEATURE).alias("f"))
-    return _features(parsed.select(F.when(F.col("f.geometry").isNull() & F.col("f.properties").isNull(), F.raise_error(F.concat(F.lit("no feature: "), F.left("text", F.lit(200))))).otherwise(F.col("f")).alias("f")))
+    """A FeatureCollection of any size and any writer, read by many tasks; a feature that is no JSON raises, as does a file that ends too soon."""
+    return _features(parsed(json_objects(spark, path, "features"), _FEATURE.removeprefix("struct<").removesuffix(">")).select("f"))
 
 
 def write_geojson_lines(features: DataFrame, path: str) -> None:
@@ -89,11 +81,17 @@ def road_nodes(roads: DataFrame) -> DataFrame:
 
 
 def read_overpass(spark: SparkSession, path: str) -> DataFrame:
-    """Ways of an Overpass answer as features: node references become coordinates; ways with fewer than two known nodes are left out."""
-    element = "struct<type: string, id: long, lat: double, lon: double, tags: map<string,string>, nodes: array<long>>"
-    text = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"elements array<{element}>")["elements"]).alias("e")).select("e.*")
-    nodes = text.where("type = 'node' and lat is not null").select(F.col("id").alias("node"), F.array("lon", "lat").alias("c"))
-    ways = text.where("type = 'way'").select("id", "tags", F.posexplode("nodes").alias("pos", "node"))
-    lines = ways.join(nodes, "node").groupBy("id").agg(F.first("tags").alias("properties"), F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("v")).where("size(v) >= 2")
-    return lines.select(F.col("id").cast("string").alias("id"), F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"), F.lit("LineString").alias("geometry_type"),
-                        F.to_json(F.transform("v", lambda x: x["c"])).alias("coordinates"))
+    """Ways of an Overpass answer of any size as features: node references become coordinates; ways with fewer than two known nodes are left out.
+
+    Elements are read by many tasks; references are joined with nodes, and gathered again for each way. An element that
+    comes twice counts once.
+    """
+    element = "type: string, id: long, lat: double, lon: double, tags: map<string,string>, nodes: array<long>"
+    elements = parsed(json_objects(spark, path, "elements"), element).select("f.*")
+    nodes = elements.where("type = 'node' and lat is not null").groupBy(F.col("id").alias("node")).agg(F.min(F.struct("lon", "lat")).alias("at")).select("node", F.array("at.lon", "at.lat").alias("c"))
+    ways = elements.where("type = 'way'").select("id", F.map_entries("tags").alias("tags"), "nodes").groupBy("id").agg(F.min(F.struct("nodes", "tags")).alias("w")).select("id", "w.nodes", "w.tags")
+    references = ways.select("id", F.posexplode("nodes").alias("pos", "node"))
+    lines = references.join(nodes, "node").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("v")).where("size(v) >= 2")
+    properties = F.coalesce(F.map_from_entries("tags"), F.create_map().cast("map<string,string>"))
+    return lines.join(ways.select("id", "tags"), "id").select(
+        F.col("id").cast("string").alias("id"), properties.alias("properties"), F.lit("LineString").alias("geometry_type"), F.to_json(F.transform("v", lambda x: x["c"])).alias("coordinates"))
