@@ -46,11 +46,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     one row stays.
     """
     key = unused(docs, "key")
-    single = cut(docs.withColumn(key, _identity()).dropDuplicates([key]))
-    joined = ngram_join.similarity_join(single, id_col=key)
+    # The join takes repeated rows as one; texts are shuffled once more for what stays.
+    keyed = docs.withColumn(key, _identity())
+    joined = ngram_join.similarity_join(keyed, id_col=key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(key).alias("kept")))
-    stays = single.select(key, "doc_id").join(joined.select(key, "class_id"), key).groupBy("class_id").agg(first.alias("first")).select(F.col("first.kept").alias(key))
-    return single.join(stays, key, "left_semi").select(*docs.columns)
+    stays = keyed.select(key, "doc_id").distinct().join(joined.select(key, "class_id"), key).groupBy("class_id").agg(first.alias("first")).select(F.col("first.kept").alias(key))
+    return keyed.dropDuplicates([key]).join(stays, key, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
