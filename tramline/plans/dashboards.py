@@ -146,3 +146,10 @@ def map_scale(regions: DataFrame, value: str = "ratio", at: float = 0.8) -> Data
 def with_status(experiments: DataFrame, status: str) -> DataFrame:
     """Experiments of one status, such as completed or not_trained."""
     return experiments.where(F.col("status") == status)
+
+
+def mode_list(segments: DataFrame) -> DataFrame:
+    """Each known mode, its name in the interface, and how many labelled segments there are of it."""
+    counts = segments.select("segment_id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n_segments"))
+    modes = segments.sparkSession.createDataFrame(list(schemas.API_MODES.items()), "label string, api string")
+    return modes.join(counts, "label", "left").select("label", "api", F.coalesce("n_segments", F.lit(0)).alias("n_segments"))

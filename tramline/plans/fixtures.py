@@ -63,12 +63,13 @@ def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
         (116.4 + ((F.col("s_suppkey") * 10007) % 4001 - 2000) / 20000.0).alias("lon"), F.element_at(F.array(*map(F.lit, names)), F.col("s_nationkey") % 5 + 1).alias("poi_type"))
 
 
-def weather(spark: SparkSession) -> DataFrame:
-    i = F.col("i")
-    days = spark.range(60).select(F.col("id").cast("int").alias("i")).where(~i.between(20, 36) & (i % 9 != 4))
+def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day for each date of ``orders``, moved to begin with 2024; its numbers come from that day's orders. Days 20 to 36 and every ninth are missing, as are some numbers."""
+    i = F.datediff("o_orderdate", F.lit("1995-01-01").cast("date"))
+    days = table(spark, sf_dir, "orders").groupBy(i.alias("i")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("k"), F.sum("o_orderkey").alias("s")).where(~F.col("i").between(20, 36) & (F.col("i") % 9 != 4))
     return days.select(
-        F.date_add(F.lit("2024-01-01").cast("date"), i).alias("date"), (i * 7 % 45 - 10).cast("double").alias("temp"),
-        F.when(i % 5 != 0, ((i * 13) % 24) / 2.0).alias("prcp"), (4 + i % 20).cast("double").alias("wspd"))
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("i")).alias("date"), (F.col("k") % 45 - 10).cast("double").alias("temp"),
+        F.when((F.col("n") + F.col("k")) % 5 != 0, (F.col("s") % 24) / 2.0).alias("prcp"), (4 + F.col("k") % 20).cast("double").alias("wspd"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,8 +88,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         coalesce(min(d)/200.0, 0.0) as poi_distance from pts p left join ppoi q on p.seq = q.seq group by p.seq"""),
     "dens": (("pts", "proad"), "select p.seq, least(count(r.seq)/50.0, 1.0) as road_density from pts p left join (select seq from proad where d <= 100) r on p.seq = r.seq group by p.seq"),
     "wx": ((), """
-      select date '2024-01-01' + cast(i as integer) as date, cast(i*7 % 45 - 10 as double) as temp, case when i % 5 = 0 then cast(null as double) else cast((i*13) % 24 as double)/2 end as prcp, cast(4 + i % 20 as double) as wspd
-      from range(60) r(i) where i not between 20 and 36 and i % 9 <> 4"""),
+      select date '2024-01-01' + cast(i as integer) as date, cast(k % 45 - 10 as double) as temp, case when (n+k) % 5 = 0 then cast(null as double) else cast(s % 24 as double)/2 end as prcp, cast(4 + k % 20 as double) as wspd
+      from (select datediff('day', date '1995-01-01', cast(o_orderdate as date)) as i, count(*) as n, cast(sum(o_custkey) as bigint) as k, cast(sum(o_orderkey) as bigint) as s from orders group by 1) o where i not between 20 and 36 and i % 9 <> 4"""),
     "wxf": (("wx",), """
       select *, cast(prcp > 0.5 as int)::double as is_rainy, cast(prcp > 10 as int)::double as is_heavy_rain, cast(prcp > 0.5 and temp < 2 as int)::double as is_snowy, cast(temp < 0 as int)::double as is_cold, cast(temp > 30 as int)::double as is_hot
       from (select date, temp, 8.0::double as tmin, 19.0::double as tmax, coalesce(prcp, 0.0) as prcp, wspd from wx)"""),

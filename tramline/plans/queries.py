@@ -310,33 +310,33 @@ add("geo24_compare_regions", lambda s, d: rounded(dashboards.compare_regions(reg
 add("geo25_top_regions", lambda s, d: rounded(dashboards.top_regions(regions(s, d))), f"select region, round(ratio,4) as ratio from {REGION} z order by z.ratio desc, region limit 5", "seg", "pred")
 
 # --- weather
-add("wx1_defaults", lambda s, d: weather.fill_defaults(fixtures.weather(s)), "select date, temp, tmin, tmax, prcp, wspd from wxf", "wxf")
-add("wx2_flags", lambda s, d: weather.with_flags(weather.fill_defaults(fixtures.weather(s))), "select * from wxf", "wxf")
-add("wx3_nearest_day", lambda s, d: weather.nearest_day(fixtures.points(s, d).select(F.to_date("ts").alias("date")).distinct(), weather.with_flags(weather.fill_defaults(fixtures.weather(s)))), "select * from wxn", "wxn")
-add("wx4_point_weather", lambda s, d: weather.point_weather(fixtures.points(s, d), fixtures.weather(s), "seq"),
+add("wx1_defaults", lambda s, d: weather.fill_defaults(fixtures.weather(s, d)), "select date, temp, tmin, tmax, prcp, wspd from wxf", "wxf")
+add("wx2_flags", lambda s, d: weather.with_flags(weather.fill_defaults(fixtures.weather(s, d))), "select * from wxf", "wxf")
+add("wx3_nearest_day", lambda s, d: weather.nearest_day(fixtures.points(s, d).select(F.to_date("ts").alias("date")).distinct(), weather.with_flags(weather.fill_defaults(fixtures.weather(s, d)))), "select * from wxn", "wxn")
+add("wx4_point_weather", lambda s, d: weather.point_weather(fixtures.points(s, d), fixtures.weather(s, d), "seq"),
     "select seq, " + ", ".join(f"coalesce({c}, 0.0) as {c}" for c in weather.FEATURES) + " from pts p join wxn w on cast(p.ts as date) = w.date", "pts", "wxn")
-add("wx5_wx10_climate", lambda s, d: rounded(weather.climate_summary(weather.fill_defaults(fixtures.weather(s)))), "select count(*) as days, min(date) as first_day, max(date) as last_day, round(avg(temp),4) as mean_temp, sum(is_rainy) as rainy_days, sum(is_snowy) as snowy_days, sum(is_cold) as cold_days, sum(is_hot) as hot_days from wxf", "wxf")
+add("wx5_wx10_climate", lambda s, d: rounded(weather.climate_summary(weather.fill_defaults(fixtures.weather(s, d)))), "select count(*) as days, min(date) as first_day, max(date) as last_day, round(avg(temp),4) as mean_temp, sum(is_rainy) as rainy_days, sum(is_snowy) as snowy_days, sum(is_cold) as cold_days, sum(is_hot) as hot_days from wxf", "wxf")
 _DAYS = "days as (select cast(unnest(generate_series((select min(date) from wx), (select max(date) from wx), interval 1 day)) as date) as date), cal as (select d.date, w.temp, w.prcp, w.wspd from days d left join wx w on d.date = w.date)"
-add("wx6_calendar", lambda s, d: weather.calendar(fixtures.weather(s)), ", " + _DAYS + " select * from cal", "wx")
-add("wx7_interpolate", lambda s, d: weather.interpolate(weather.calendar(fixtures.weather(s)), "temp", 13.5).select("date", r("temp").alias("temp")),
+add("wx6_calendar", lambda s, d: weather.calendar(fixtures.weather(s, d)), ", " + _DAYS + " select * from cal", "wx")
+add("wx7_interpolate", lambda s, d: weather.interpolate(weather.calendar(fixtures.weather(s, d)), "temp", 13.5).select("date", r("temp").alias("temp")),
     ", " + _DAYS + """, k as (select *, last_value(temp ignore nulls) over a as v0, last_value(case when temp is not null then date end ignore nulls) over a as d0,
         first_value(temp ignore nulls) over b as v1, first_value(case when temp is not null then date end ignore nulls) over b as d1
       from cal window a as (order by date rows between unbounded preceding and current row), b as (order by date rows between current row and unbounded following))
     select date, round(coalesce(temp, case when date - d0 <= 7 then coalesce(v0 + (v1-v0)*(date-d0)/nullif(d1-d0,0), v0) end, 13.5),4) as temp from k""", "wx")
-add("wx8_missing_rates", lambda s, d: rounded(weather.missing_rates(weather.calendar(fixtures.weather(s)), ["temp", "prcp", "wspd"])),
+add("wx8_missing_rates", lambda s, d: rounded(weather.missing_rates(weather.calendar(fixtures.weather(s, d)), ["temp", "prcp", "wspd"])),
     ", " + _DAYS + " select 'temp' as \"column\", round(avg(cast(temp is null as int)),4) as missing_rate from cal union all select 'prcp', round(avg(cast(prcp is null as int)),4) from cal union all select 'wspd', round(avg(cast(wspd is null as int)),4) from cal", "wx")
-add("wx9_station_features", lambda s, d: weather.station_features(fixtures.weather(s).withColumn("tavg", F.col("temp")).drop("temp")).select("date", "temp", "is_rainy", "is_windy", r("temp_norm").alias("temp_norm"), "month", "season"),
+add("wx9_station_features", lambda s, d: weather.station_features(fixtures.weather(s, d).withColumn("tavg", F.col("temp")).drop("temp")).select("date", "temp", "is_rainy", "is_windy", r("temp_norm").alias("temp_norm"), "month", "season"),
     "select date, temp, coalesce(cast(prcp > 0.5 as int),0)::double as is_rainy, cast(wspd > 6 as int)::double as is_windy, round(greatest(0.0, least(1.0,(temp+20)/60.0)),4) as temp_norm, cast(month(date) as int) as month, cast((month(date) % 12)//3 as int) as season from wx", "wx")
 add("wx11_stand_in", lambda s, d: rounded(weather.stand_in(fixtures.points(s, d), "seq").select("seq", "w0", "w1", "w3", "w7"), 3),
     """select seq, cast(cast(h between 6 and 17 as int) as double) as w0, round(case when h between 6 and 17 then 18.0+7.0*sin((t-6)*pi()/12) else 12.0+5.0*sin((t-18)*pi()/12) end,3) as w1, round(1013.25+4.0*sin(t*pi()/6),3) as w3,
       cast(cast(h in (7,8,17,18) as int) as double) as w7 from (select seq, hour(ts) as h, hour(ts)+minute(ts)/60.0 as t from pts)""", "pts")
-add("wx12_rain_join", lambda s, d: weather.rain_by_day(fixtures.points(s, d), fixtures.weather(s)).select("seq", "is_rainy"), "select seq, coalesce(cast(prcp > 0 as int),0) as is_rainy from pts p left join wx w on cast(p.ts as date) = w.date", "pts", "wx")
+add("wx12_rain_join", lambda s, d: weather.rain_by_day(fixtures.points(s, d), fixtures.weather(s, d)).select("seq", "is_rainy"), "select seq, coalesce(cast(prcp > 0 as int),0) as is_rainy from pts p left join wx w on cast(p.ts as date) = w.date", "pts", "wx")
 
 # --- dashboards
 _SHARE = lambda v: f"round(count(*) filter (pred_label = '{v}')*100.0/count(*),2) as \"{v}\""
 _SHARES = ", ".join(map(_SHARE, schemas.MODES))
 add("dsh1_mode_by_bucket", lambda s, d: dashboards.shares(located(s, d).withColumn("bucket", scalar.time_bucket(F.col("ts"))), "bucket", "pred_label"), f"select {BUCKET_SQL} as bucket, {_SHARES} from {LOC} group by 1", "seg", "pred")
-add("dsh2_mode_by_rain", lambda s, d: dashboards.distribution(weather.rain_by_day(located(s, d), fixtures.weather(s)), "pred_label", ["is_rainy"]),
+add("dsh2_mode_by_rain", lambda s, d: dashboards.distribution(weather.rain_by_day(located(s, d), fixtures.weather(s, d)), "pred_label", ["is_rainy"]),
     f"select is_rainy, pred_label, count(*) as n, round(count(*)*100.0/sum(count(*)) over (partition by is_rainy),2) as percent from (select pred_label, coalesce(cast(prcp > 0 as int),0) as is_rainy from {LOC} l left join wx w on cast(l.ts as date) = w.date) group by 1, 2", "seg", "pred", "wx")
 add("dsh3_car_share_by_hour", lambda s, d: dashboards.hourly_share(located(s, d), "Car & taxi", "pred_label"),
     f"select cast(g.h as int) as hour, round(coalesce(x.share,0.0),2) as share from range(24) g(h) left join (select hour(ts) as hour, avg(cast(pred_label = 'Car & taxi' as int))*100.0 as share from {LOC} group by 1) x on g.h = x.hour", "seg", "pred")
@@ -367,7 +367,8 @@ add("dsh26_report_classes", lambda s, d: learning.report(fixtures.predictions(s,
     "select label, round(coalesce(f1,0.0),4) as f1, support from rep where label in ('Bike','Bus','Car & taxi','Subway','Train','Walk')", "rep")
 _RULE = lambda fast: f"case when max_speed > 45 then 'train' when avg_speed > 16 then '{fast}' when avg_speed > 7 then case when stop_ratio > 0.15 then 'bus' else 'car' end when avg_speed > 3.5 then 'bike' else 'walk' end"
 add("dsh27_two_rules", lambda s, d: two_rules(s, d), f"select segment_id, {_RULE('car')} as base, {_RULE('subway')} as spatial from (select segment_id, avg(speed) as avg_speed, max(speed) as max_speed, avg(case when speed < 0.5 then 1.0 else 0.0 end) as stop_ratio from seg group by 1)", "seg")
-add("dsh30_modes", lambda s, d: s.createDataFrame([(k, v) for k, v in schemas.API_MODES.items()], "label string, api string"), "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in schemas.API_MODES.items()) + ") m(label, api)")
+add("dsh30_modes", lambda s, d: dashboards.mode_list(fixtures.segment_points(s, d)),
+    "select m.label, m.api, coalesce(n, 0) as n_segments from (values " + ", ".join(f"('{k}', '{v}')" for k, v in schemas.API_MODES.items()) + ") m(label, api) left join (select label, count(distinct segment_id) as n from seg group by 1) c on c.label = m.label", "seg")
 
 
 def two_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,7 +563,7 @@ def four_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode and confidence of four rule classifiers for each segment: by speed, with rails, with rain (nobody cycles on a wet day), with both."""
     sums = fixtures.segment_points(spark, sf_dir).groupBy("segment_id").agg(
         F.avg("speed").alias("a"), F.max("speed").alias("m"), F.avg((F.col("speed") < 0.5).cast("double")).alias("q"), F.to_date(F.min("ts")).alias("date"))
-    days = weather.nearest_day(sums.select("date").distinct(), weather.with_flags(weather.fill_defaults(fixtures.weather(spark)))).select("date", F.coalesce(F.col("is_rainy") > 0, F.lit(False)).alias("wet"))
+    days = weather.nearest_day(sums.select("date").distinct(), weather.with_flags(weather.fill_defaults(fixtures.weather(spark, sf_dir)))).select("date", F.coalesce(F.col("is_rainy") > 0, F.lit(False)).alias("wet"))
     numbers = [F.col("a"), F.col("m"), F.col("q")]
 
     def model(name: str, rails: bool, rain: bool) -> Column:
