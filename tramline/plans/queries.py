@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tramline import schemas
 from tramline.functions import scalar
-from tramline.operators import cleaning, kinematics, learning, models, nearest, resample, segments, spatial, weather
+from tramline.operators import cells, cleaning, kinematics, learning, models, nearest, resample, segments, spatial, weather
 from tramline.plans import dashboards, fixtures
 from tramline.plans.oracles import CTES, MODE_SQL, OUTLIER_SQL, sql
 from tramline.session import working_folder
@@ -266,6 +266,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("geo13_spatial_vector", vectors, VECTOR_SQL, "roadf", "poif", "dens")
 add("geo14_cell_shared", lambda s, d: spatial.cell_shared(vectors(s, d), fixtures.points(s, d), "seq").select("seq", "road_walk", "road_car", "poi_distance"),
     f"""select p.seq, v.road_walk, v.road_car, v.poi_distance from (select *, min(seq) over (partition by round_even(lat/0.001,0), round_even(lon/0.001,0)) as first_seq from pts) p join ({VECTOR_SQL}) v on v.seq = p.first_seq""", "pts", "roadf", "poif", "dens")
+def cached_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points by a store that a run over the points of odd number has filled."""
+    tables, path = [f(spark, sf_dir) for f in (fixtures.points, fixtures.roads, fixtures.pois)], f"{working_folder(spark)}/cells-{uuid.uuid4().hex}"
+    cells.cached_vectors(tables[0].where("seq % 2 = 1"), *tables[1:], "seq", path)
+    return rounded(cells.cached_vectors(*tables, "seq", path)).select("seq", "road_walk", "road_car", "poi_distance")
+
+
+add("geo18_cached_cells", cached_cells,
+    f"""select p.seq, v.road_walk, v.road_car, v.poi_distance from (select *, coalesce(min(case when seq % 2 = 1 then seq end) over cell, min(seq) over cell) as first_seq from pts window cell as (partition by round_even(lat/0.001,0), round_even(lon/0.001,0))) p
+      join ({VECTOR_SQL}) v on v.seq = p.first_seq""", "pts", "roadf", "poif", "dens")
 add("geo15_coverage", lambda s, d: spatial.road_features(fixtures.points(s, d), fixtures.roads(s, d), fixtures.pois(s, d), "seq").groupBy("road_class").agg(F.count(F.lit(1)).alias("n")), "select road_class, count(*) as n from roadf group by 1", "roadf")
 add("geo16_poi_links", lambda s, d: rounded(spatial.poi_links(fixtures.pois(s, d), fixtures.roads(s, d)), 3),
     """, c as (select p.poi_id, r.node_id, 2*6371000.0*asin(sqrt(least(1.0, sin(radians(r.lat-p.lat)/2)*sin(radians(r.lat-p.lat)/2) + cos(radians(p.lat))*cos(radians(r.lat))*sin(radians(r.lon-p.lon)/2)*sin(radians(r.lon-p.lon)/2)))) as metres
