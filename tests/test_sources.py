@@ -133,3 +133,21 @@ def test_tables_of_a_database(spark):
     rows.write.format("jdbc").options(url=url, dbtable="users", driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
     back = reports.read_jdbc(spark, url, "users", "ID", (0, 20), 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
     assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect())) == [(k, f"user{k}") for k in range(20)]
+
+
+def test_problems_of_files(spark, tmp_path):
+    head = "".join(f"h{k}\n" for k in range(6))
+    files = {
+        "000/Trajectory/good.plt": head + "39.9,116.3,0,492,39744.1,2008-10-23,02:53:04\n39.8,116.4,0,492,39744.1,2008-10-23,02:53:10\n",
+        "000/Trajectory/some.plt": head + "39.9,116.3,0,492,39744.1,2008-10-23,02:53:04\nx,116.4,0,492,39744.1,2008-10-23,02:53:10\n1,2,3\n39,116,0,4,3,2008-13-23,02:53:10\n",
+        "001/Trajectory/wide.plt": head + "1,2,3,4,5,6,7,8\n39.9,116.3,0,492,39744.1,2008-10-23,02:53:04\n", "001/Trajectory/empty.plt": "", "001/Trajectory/head.plt": head + "\n \n", "002/Trajectory/torn.plt": "\x00\x01",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.track_id: (r.user_id, r.n_rows, r.n_points, r.problem, r.example) for r in tracks.read_problems(spark, f"{tmp_path}/*/Trajectory/*.plt").collect()}
+    assert got == {
+        "good": ("000", 2, 2, None, None), "some": ("000", 4, 1, "rows", "x,116.4,0,492,39744.1,2008-10-23,02:53:10"), "wide": ("001", 2, 0, "columns", "1,2,3,4,5,6,7,8"),
+        "empty": ("001", 0, 0, "no rows", None), "head": ("001", 0, 0, "no rows", None), "torn": ("002", 0, 0, "no rows", None)}
+    points = tracks.read_plt(spark, f"{tmp_path}/*/Trajectory/*.plt").where("lat is not null and lon is not null")
+    assert {r.track_id: r["count"] for r in points.groupBy("track_id").count().collect()} == {"good": 2, "some": 1}

@@ -36,6 +36,30 @@ def read_plt(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("user_id", "track_id", F.col("pos").cast("long").alias("seq"), stamp.alias("ts"), at(1).try_cast("double").alias("lat"), at(2).try_cast("double").alias("lon")).where("ts is not null")
 
 
+def read_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(file, user_id, track_id, n_rows, n_points, problem, example): what ``read_plt`` makes of each file, and why some or all rows of it are missing.
+
+    problem is null where every row is a point; else ``no rows`` (empty, or a header alone), ``columns`` (the first row has
+    not 6 or 7, so the whole file is left out) or ``rows`` (some rows have another number of columns, or no time or place
+    that can be read). example is the first line that was left out. One row for each file, however wrong.
+    """
+    lines = _identity(_lines(spark, path)).withColumn("part", F.split("line", ","))
+    row = (F.col("pos") >= HEADER_LINES) & (F.trim("line") != "")
+    at = lambda k: F.try_element_at("part", F.lit(k))
+    stamp = F.try_to_timestamp(F.concat_ws(" ", F.trim(at(-2)), F.trim(at(-1))), F.lit("yyyy-MM-dd HH:mm:ss"))
+    read = stamp.isNotNull() & at(1).try_cast("double").isNotNull() & at(2).try_cast("double").isNotNull()
+    first = lines.groupBy("file").agg(F.min_by(F.when(row, F.size("part")), F.when(row, F.col("pos"))).alias("width"))
+    marked = lines.join(first, "file").withColumns({"row": row, "point": row & F.col("width").isin(6, 7) & (F.size("part") == F.col("width")) & read})
+    files = marked.groupBy("file", "user_id", "track_id", "width").agg(
+        F.count(F.when(F.col("row"), 1)).alias("n_rows"), F.count(F.when(F.col("point"), 1)).alias("n_points"),
+        F.min_by(F.when(F.col("row") & ~F.col("point"), F.col("line")), F.when(F.col("row") & ~F.col("point"), F.col("pos"))).alias("example"))
+    # The reader passes over empty files; Spark's listing of the folder has them.
+    listed = _identity(spark.createDataFrame([(f,) for f in spark.read.text(path, wholetext=True).inputFiles()], "file string"))
+    files = listed.join(files.drop("user_id", "track_id"), "file", "left").na.fill(0, ["n_rows", "n_points"])
+    problem = F.when(F.col("n_rows") == 0, "no rows").when(~F.col("width").isin(6, 7), "columns").when(F.col("n_points") < F.col("n_rows"), "rows")
+    return files.select("file", "user_id", "track_id", "n_rows", "n_points", problem.alias("problem"), "example")
+
+
 def read_plt_upload(spark: SparkSession, path: str) -> DataFrame:
     """track_id, seq, ts, lat, lon of an uploaded track file: at least 7 lines; rows of 6 or more parts; date and time last. Rows that don't parse are left out."""
     rows = _identity(_lines(spark, path)).withColumn("part", F.split("line", ","))
