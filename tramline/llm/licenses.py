@@ -7,6 +7,10 @@ template's two halves, so copies that follow each other are told apart. Words th
 unique both there and in the template are anchors; the longest chain of them that ascends
 in both is kept, and the gaps between are aligned in the same way, with equal words at
 their ends first. What share of the template's words is aligned is its coverage.
+
+Coverage alone doesn't tell a licence from its neighbours, which differ in one word. So the
+words that decide (a name, a version) must be aligned without another word between them, a short notice as a whole, and a
+longer one must not be scattered over foreign text.
 """
 
 from __future__ import annotations
@@ -14,14 +18,16 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Least coverage of a hit.
-COVERAGE = 0.8
+#: Least coverage of a hit, and least share of aligned words in the text from the first to the last of them.
+COVERAGE, DENSITY = 0.8, 0.6
+#: Templates of so many words or fewer are found word for word only.
+SHORT = 12
 #: The notices and headers that public licenses ask for.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -131,6 +137,18 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved",
 }
 
+# What tells these from other licences of the same wording.
+DECIDING = {
+    "Apache-2.0-header": ("Apache License, Version 2.0",),
+    "GPL-3.0-header": ("GNU General Public License", "version 3"),
+    "GPL-2.0-header": ("GNU General Public License", "version 2"),
+    "LGPL-3.0-header": ("GNU Lesser General Public License", "version 3"),
+    "AGPL-3.0-header": ("GNU Affero General Public License", "version 3"),
+    "MPL-2.0-header": ("Mozilla Public License, v. 2.0",),
+    "BSD-3-Clause-full": ("Neither the name",),
+    "BSL-1.0": ("person or organization",),
+}
+
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -184,20 +202,35 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def _near(pairs: list[tuple[int, int]], fixed: int, reach: int) -> list[tuple[int, int]]:
-    """The pairs around that of index ``fixed`` whose text positions are at most ``reach`` apart; others are chance."""
-    lo = hi = fixed
-    while lo and pairs[lo][0] - pairs[lo - 1][0] <= reach:
-        lo -= 1
-    while hi + 1 < len(pairs) and pairs[hi + 1][0] - pairs[hi][0] <= reach:
-        hi += 1
-    return pairs[lo : hi + 1]
+    """The pairs around that of index ``fixed`` whose text positions are at most ``reach`` apart; others are chance.
+
+    On each side as far as aligned words outweigh foreign ones, two to one: a few words that agree beyond a longer gap belong to other text.
+    """
+
+    def end(step: int) -> int:
+        k = best = fixed
+        score = most = 0.0
+        while 0 <= k + step < len(pairs):
+            gap, own = abs(pairs[k + step][0] - pairs[k][0]), abs(pairs[k + step][1] - pairs[k][1])
+            if gap > reach:
+                break
+            k += step
+            score += 1 - max(0, gap - own) / 2
+            if score >= most:
+                best, most = k, score
+        return best
+
+    return pairs[end(-1) : end(1) + 1]
 
 
 class Template:
     """Words of a template, its telling words, and how many of these a text of the least coverage has."""
 
-    def __init__(self, text: str, least: float):
+    def __init__(self, text: str, least: float, deciding: tuple[str, ...] = ()):
         self.words = words_of(text)[0]
+        self.least = 1.0 if len(self.words) <= SHORT else least
+        least = self.least
+        self.deciding = [self._place(words_of(d)[0]) for d in deciding]
         counts = Counter(self.words)
         # The longest words, a third of them at least: more than a text of the least coverage may lack.
         lacking = int((1 - least) * len(self.words) + 1e-9)
@@ -206,15 +239,42 @@ class Template:
         self.needed = max(1, len(self.telling) - lacking)
         self.fixed = {w: k for k, w in enumerate(self.words) if counts[w] == 1 and (w in self.telling or len(self.telling) > len(ordered) / 2)}
 
+    def _place(self, words: list[str]) -> range:
+        for k in range(len(self.words) - len(words) + 1):
+            if self.words[k : k + len(words)] == words:
+                return range(k, k + len(words))
+        raise ValueError(f"the template doesn't say {' '.join(words)!r}")
+
+    def accepts(self, pairs: list[tuple[int, int]]) -> bool:
+        """Whether aligned words, by their places in text and template, are a copy."""
+        span = pairs[-1][0] - pairs[0][0] + 1
+        if len(self.words) <= SHORT:
+            return len(pairs) == len(self.words) == span
+        if len(pairs) < self.least * len(self.words) - 1e-9 or len(pairs) < DENSITY * span:
+            return False
+        at = {j: i for i, j in pairs} if self.deciding else {}
+        return all(j in at and at[j] - at.get(d[0], -1) == j - d[0] for d in self.deciding for j in d)
+
+
+def _merged(places: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places (first, last) in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(places):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
 
 class Scanner:
     """Finds each copy of each template in a text."""
 
-    def __init__(self, templates: dict[str, str], least: float = COVERAGE):
+    def __init__(self, templates: dict[str, str], least: float = COVERAGE, deciding: dict[str, tuple[str, ...]] | None = None):
         import ahocorasick
 
-        self.least = least
-        self.templates = {name: Template(text, least) for name, text in sorted(templates.items())}
+        deciding = (DECIDING if templates is TEMPLATES else {}) if deciding is None else deciding
+        self.templates = {name: Template(text, least, deciding.get(name, ())) for name, text in sorted(templates.items())}
         self.owners: dict[str, list[str]] = {}
         self.any_word = ahocorasick.Automaton()
         for name, t in self.templates.items():
@@ -224,8 +284,11 @@ class Scanner:
         if self.owners:
             self.any_word.make_automaton()
 
-    def _copies(self, name: str, words: list[str], places: dict[str, list[int]]) -> Iterator[tuple[float, int, int]]:
-        """(coverage, first word, last word) of the copies of a template, from left to right, none of which overlap."""
+    def _copies(self, name: str, words: list[str], places: dict[str, list[int]], taken: list[tuple[int, int]]) -> Iterator[tuple[float, int, int]]:
+        """(coverage, first word, last word) of the copies of a template, from left to right, none of which overlap.
+
+        taken: places in order that belong to copies of more aligned words than this template has; a copy there would be dropped.
+        """
         template = self.templates[name]
         size, telling = len(template.words), template.telling
         told = sorted((k, w) for w in telling for k in places.get(w, ()))
@@ -234,6 +297,9 @@ class Scanner:
         for k, w in sorted((k, w) for w in template.fixed for k in places.get(w, ())):
             if k < done:
                 continue
+            y = bisect_left(taken, (k + 1,))
+            if y and taken[y - 1][1] >= k:
+                continue
             own, o = places[w], template.fixed[w]
             x = bisect_left(own, k)
             left = max(done, own[x - 1] + 1 if x else 0, k - o - size)
@@ -243,7 +309,7 @@ class Scanner:
             before = [(i + left, j) for i, j in align(words[left:k], template.words[:o])]
             behind = [(i + k + 1, j + o + 1) for i, j in align(words[k + 1 : right], template.words[o + 1 :])]
             pairs = _near([*before, (k, o), *behind], len(before), max(10, size // 2))
-            if len(pairs) >= self.least * size - 1e-9:
+            if template.accepts(pairs):
                 done = pairs[-1][0] + 1
                 yield len(pairs) / size, pairs[0][0], pairs[-1][0]
 
@@ -258,10 +324,13 @@ class Scanner:
                 places.setdefault(w, []).append(k)
         found = Counter(name for w in places for name in self.owners[w] if w in self.templates[name].telling)
         hits = []
-        for name, n in found.items():
-            if n >= self.templates[name].needed:
-                size = len(self.templates[name].words)
-                hits += [(c, size, name, spans[a][0], spans[b][1]) for c, a, b in self._copies(name, words, places)]
+        # Long templates first: where one is found, shorter ones, often its beginning, need not be tried.
+        aligned: list[tuple[int, int, float]] = []
+        for name in sorted((n for n, k in found.items() if k >= self.templates[n].needed), key=lambda n: (-len(self.templates[n].words), n)):
+            size = len(self.templates[name].words)
+            copies = list(self._copies(name, words, places, _merged((a, b) for a, b, n in aligned if n > size)))
+            aligned += [(a, b, c * size) for c, a, b in copies]
+            hits += [(c, size, name, spans[a][0], spans[b][1]) for c, a, b in copies]
         hits.sort(key=lambda h: (-h[0] * h[1], -h[0], h[2], h[3]))
         kept: list[tuple[int, int, str, float]] = []
         for c, _, name, start, end in hits:
@@ -271,18 +340,20 @@ class Scanner:
         return [{"license": name, "coverage": c, "start": start, "end": end} for start, end, name, c in kept]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE,
+         deciding: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(id, license, coverage, n_hits, hits), one row for each input row, in the map stage of the scan.
 
     hits lists (license, coverage, start, end) in the order of the text; license and
     coverage are those of the best one (most words aligned, then the name), null without a
     hit. Each copy in a text is a hit of its own, copies one after the other too. Null and empty texts have none; rows with the same id stay rows of their own; null
-    ids stay null; other columns are ignored. Templates are constants of the code, or given.
+    ids stay null; other columns are ignored. Templates, and the words that decide them, are constants of the code, or given.
     """
+    own = DECIDING if templates is None and deciding is None else deciding or {}
     templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, own)
         sizes = {name: len(t.words) for name, t in scanner.templates.items()}
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
