@@ -21,6 +21,15 @@ def _identity() -> Column:
     return F.md5(F.concat(part("doc_id"), F.lit("\0"), part("text")))
 
 
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a long for each pair of id and text. Different pairs with one hash (the few that a very large table has) get others, by all 128 bits."""
+    number, again = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(key), _identity())
+    hashed = docs.select(number.alias("key"), _identity().alias("identity"))
+    clash = hashed.groupBy("key").agg(F.min("identity").alias("a"), F.max("identity").alias("b")).where("a <> b").select("key")
+    known = [r["key"] for r in clash.collect()]
+    return docs.withColumn(key, F.when(number.isin(known), again).otherwise(number) if known else number)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go; it is fitted on the labelled ones."""
     model = toxicity.fit(docs, toxicity.grades_of(table(spark, sf_dir, "labels")))
@@ -47,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     key = unused(docs, "key")
     # The join takes repeated rows as one; texts are shuffled once more for what stays.
-    keyed = docs.withColumn(key, _identity())
+    keyed = _keyed(docs, key)
     joined = ngram_join.similarity_join(keyed, id_col=key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(key).alias("kept")))
     stays = keyed.select(key, "doc_id").distinct().join(joined.select(key, "class_id"), key).groupBy("class_id").agg(first.alias("first")).select(F.col("first.kept").alias(key))
@@ -58,7 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in which a window of a benchmark item occurs go."""
     # By id and text, so that rows without an id or with a repeated one are judged by their own text.
     key = unused(docs, "key")
-    keyed = docs.withColumn(key, _identity())
+    keyed = _keyed(docs, key)
     found = decontaminate.scan(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
     hit = cut(found.where("n_hit > 0").select(key).distinct())
     return keyed.join(hit, key, "left_anti").select(*docs.columns)
