@@ -173,3 +173,21 @@ def test_documents_of_equal_hashes_are_told_apart(spark, made):
     rows = [(i, t, "en", "s", 1) for i, t in ((None, None), (None, "-"), (None, "="), (0, None), (0, ""), (1, "0"))]
     kept = corpus_pipeline.drop_near_copies(spark, small(spark, rows), made[0])
     assert kept.count() == len(rows)
+
+
+def test_clashing_hashes_are_told_apart(spark, made, monkeypatch):
+    """With a hash of two values nearly all documents clash, and keep their own fates."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"{LONG} {k % 5}" if k < 20 else f"{OTHER} {'x ' * k}", "en", "s", 1) for k in range(40)]
+    want = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, small(spark, rows), made[0]).collect()}
+    plain = F.xxhash64
+
+    def poor(*columns):
+        return F.pmod(plain(*columns), F.lit(2)) if all(isinstance(c, str) for c in columns) else plain(*columns)
+
+    monkeypatch.setattr(corpus_pipeline.F, "xxhash64", poor)
+    keyed = corpus_pipeline._keyed(small(spark, rows), "key")
+    monkeypatch.setattr(corpus_pipeline.F, "xxhash64", plain)
+    assert keyed.select("key").distinct().count() == 40
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, small(spark, rows), made[0]).collect()} == want
