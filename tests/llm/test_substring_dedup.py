@@ -128,3 +128,22 @@ def test_very_long_text_and_many_contexts_of_one_passage(spark):
     long = [f"w{draw.randrange(50)}" for _ in range(200_000)]
     docs += [(5000, " ".join(long)), (5001, " ".join(long[70_000:90_000])), (5002, "x" * 200_000 + " " + " ".join(passage))]
     assert rows(spark.createDataFrame(docs, "doc_id long, text string"), shard=500) == brute(docs, 50)
+
+
+def test_results_say_which_anchor_they_are_of():
+    import numpy as np
+    import pyarrow as pa
+
+    words = np.arange(7, dtype=np.uint64).tobytes()
+    rows = [[(3 << 32) + 9, (3 << 32) + 9, -(5 << 32) + 9, -(5 << 32) + 9], [0] * 4, [1, 2, 3, 4], [77] * 4, [1, 2, 1, 2], [words] * 4]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    out = [r for b in sd._stream(6, 3)(iter([pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, types)], ["h", "shard", "_id", "c", "kind", "words"])])) for r in b.to_pylist()]
+    # One context hash, two anchors: each has the documents of its own.
+    assert [(r["a"], r["c"], min(r["least"])) for r in out] == [(3, 77, 1), (3, 77, 1), (-5, 77, 3), (-5, 77, 3)]
+
+
+def test_query(spark, sf_dir):
+    from tramline.llm import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert {r[0]: tuple(r)[1:] for r in queries.op8_substring_dedup(spark, sf_dir).collect()} == {i: w[:3] for i, w in brute([tuple(d) for d in docs], 50).items()}

@@ -224,7 +224,7 @@ def _contexts(window: int, anchor: int):
 
 
 def _stream(window: int, anchor: int = ANCHOR):
-    """Rows (h, shard, _id, c, kind, words) sorted by h, shard and kind to (c, least document of each window).
+    """Rows (h, shard, _id, c, kind, words) sorted by h, shard and kind to (a, c, least document of each window), a being the upper half of h.
 
     References come first. Only they (about SHARD at most), their automaton and 2000 results
     are held, however many contexts a group has. The words of the anchor are numbers from
@@ -237,12 +237,14 @@ def _stream(window: int, anchor: int = ANCHOR):
         at, *ids = np.frombuffer(words, np.uint64).tolist()
         return [*ids[:at], *middle, *ids[at:]]
 
-    def batch_of(out: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["c", "least"])
+    def batch_of(out: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["a", "c", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for _, rows in groups_of(batches, 2):
+        for (h, _), rows in groups_of(batches, 2):
+            a = h >> 32
             automaton, own, closed = SuffixAutomaton(), [], False
             for _, _, doc, c, kind, words in rows:
                 ids = ids_of(words)
@@ -253,13 +255,13 @@ def _stream(window: int, anchor: int = ANCHOR):
                 if not closed:
                     automaton.close()
                     closed = True
-                out.append((c, automaton.least_documents(ids, window)))
+                out.append((a, c, automaton.least_documents(ids, window)))
                 if len(out) >= 2000:
                     yield batch_of(out)
                     out = []
             if not closed:
                 automaton.close()
-            out += [(c, automaton.least_documents(ids_of(words), window)) for c, words in own]
+            out += [(a, c, automaton.least_documents(ids_of(words), window)) for c, words in own]
             if len(out) >= 2000:
                 yield batch_of(out)
                 out = []
@@ -309,7 +311,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in a document of a smaller id; windows are those of the input. Kept words are joined by
     single spaces. Null texts have no words. Rows of one id never count as earlier than
     each other; a row with a null id stays whole and is no reference (and -2**63 is no id). Other columns are
-    ignored. Words, runs and contexts are compared by 64-bit hashes; a word is hashed by xxh3 as
+    ignored. Words and runs are compared by 64-bit hashes, contexts by 96 bits; a word is hashed by xxh3 as
     a whole, runs by mixing at each joint.
     """
     if window > 2 * anchor or anchor > window:
@@ -335,13 +337,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only the first of rows with the same id and text gives its words.
     parts = rows.join(wanted, ["_id", "_t"]).select("_id", "_text", "wanted").mapInArrow(
         _contexts(window, anchor), "h long, shard int, _id long, c long, kind int, words binary")
-    least = parts.repartition("h", "shard").sortWithinPartitions("h", "shard", "kind").mapInArrow(_stream(window, anchor), "c long, least array<long>")
-    least = least.groupBy("c", "least").agg(F.lit(1).alias("_one")).select("c", "least")
+    least = parts.repartition("h", "shard").sortWithinPartitions("h", "shard", "kind").mapInArrow(_stream(window, anchor), "a int, c long, least array<long>")
+    least = least.groupBy("a", "c", "least").agg(F.lit(1).alias("_one")).select("a", "c", "least")
     starts = F.filter(F.transform("least", lambda x, k: F.when(x < F.col("_id"), begin + k)), lambda x: x.isNotNull())
     ends = (F.array_min("s"), F.array_max("s"))
     # Mostly the covered windows follow each other and are one span.
     packed = F.when(ends[1] - ends[0] + 1 == F.size("s"), F.array(span(*ends))).otherwise(F.transform("s", lambda x: span(x, x)))
-    covered = lookup(found, least, "c", "_id").select("_id", "_t", starts.alias("s")).where("size(s) > 0").select("_id", "_t", F.explode(packed).alias("span"))
+    # A context is one by its hash and half of its anchor's, 96 bits; that the other half differs would be one more chance in 2**32.
+    placed = found.select("_id", "_t", "pos", "c", F.shiftright("h", 32).cast("int").alias("_a"))
+    covered = lookup(placed, least, "c", "_id").where("a = _a").select("_id", "_t", starts.alias("s")).where("size(s) > 0").select("_id", "_t", F.explode(packed).alias("span"))
 
     spans = covered.groupBy("_id", "_t").agg(F.collect_list("span").alias("spans"))
     return rows.join(spans, ["_id", "_t"], "left").select("_id", "_text", "spans").mapInArrow(
