@@ -99,6 +99,22 @@ def test_crowded_ids_give_the_same_rows(spark, monkeypatch):
     assert sorted(map(tuple, fp.edited_documents(frame).collect()), key=repr) == plain and len(plain) == len(docs)
 
 
+def test_many_equal_rows_are_counted_before_they_are_dealt(spark):
+    """Rows alike are one row until the end, and each has its result."""
+    from pyspark.sql import functions as F
+
+    n = 150_000
+    alike = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text\nof all").alias("text"))
+    docs = alike.union(spark.createDataFrame([(3, "other"), (3, "other"), (3, None), (9, "last one")], "doc_id long, text string"))
+    linked = fp.with_next(docs)
+    assert linked.count() < 12 and linked.agg(F.sum("times")).first()[0] == n + 4
+    out = fp.edited_documents(docs)
+    counts = {(r.doc_id, r.n_chars, r.near_next == 1.0): r.n for r in out.groupBy("doc_id", "n_chars", "near_next").agg(F.count("*").alias("n")).collect()}
+    # All but one of the equal rows are followed by their like.
+    assert counts[None, 16, True] == n - 1 and counts[None, 16, False] == 1 and counts[3, 5, True] == 1 and sum(counts.values()) == n + 4
+    assert out.where("doc_id is null").select("fingerprint").distinct().count() == 1
+
+
 def test_very_long_text(spark):
     rows = fp.edited_documents(spark.createDataFrame([(1, "word and " * 150_000), (2, "x" * 1_000_000)], "doc_id long, text string")).collect()
     assert {r.n_chars for r in rows} == {9 * 150_000, 1_000_000}

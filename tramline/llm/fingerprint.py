@@ -97,14 +97,15 @@ def _next_bucket(buckets: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, hi, lo, place, _text, next_text, across): each text with that of the next larger id, after the last the first.
+    """(_id, hi, lo, place, times, _text, next_text, across): each text with that of the next larger id, after the last the first.
 
     (hi, lo, place) numbers the rows; across tells that the next row has another (hi, lo). A
     null id comes before all others; rows of one id
     follow each other by their text hash. Null texts are empty. Each text is dealt once,
     with the few of its bucket of 64 ids; only the first one of each bucket is dealt again.
     Where ids crowd (null or repeated ones), buckets are those of one id and 24 bits of the
-    text hash; rows alike in both are in one.
+    text hash, and equal rows are counted before they are dealt: all but the last of them are followed
+    by their like, and stand for ``times`` rows.
     """
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     hi = F.shiftright(ids, BUCKET_BITS)
@@ -113,11 +114,21 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     by_id = F.shiftleft(F.col("_order").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)), 24) + F.shiftright(F.xxhash64("_text"), 40) + (1 << 23)
     rows = rows.withColumn("lo", by_id if crowded else F.lit(0).cast("long"))
     order = Window.partitionBy("hi", "lo").orderBy("_order", F.xxhash64("_text"))
-    placed = rows.select("_id", "hi", "lo", F.row_number().over(order).alias("place"), "_text", F.lead("_text").over(order).alias("next_text"))
+    if crowded:
+        rows = rows.groupBy("_id", "_order", "hi", "lo", "_text").agg(F.count(F.lit(1)).alias("times"))
+    else:
+        rows = rows.withColumn("times", F.lit(1).cast("long"))
+    placed = rows.select("_id", "hi", "lo", F.row_number().over(order).alias("place"), "times", "_text", F.lead("_text").over(order).alias("next_text"))
     heads = placed.where("place = 1").select(F.col("hi").alias("next_hi"), F.col("lo").alias("next_lo"), F.col("_text").alias("head_text"))
     following = _next_bucket(rows.select("hi", "lo").distinct()).join(heads, ["next_hi", "next_lo"]).select("hi", "lo", "head_text")
     across = F.col("next_text").isNull()
-    return placed.join(following, ["hi", "lo"]).select("_id", "hi", "lo", "place", "_text", F.coalesce("next_text", "head_text").alias("next_text"), across.alias("across"))
+    linked = placed.join(following, ["hi", "lo"]).select("_id", "hi", "lo", "place", "times", "_text", F.coalesce("next_text", "head_text").alias("next_text"), across.alias("across"))
+    if not crowded:
+        return linked
+    like = F.struct((2 * F.col("place")).alias("place"), (F.col("times") - 1).alias("times"), F.col("_text").alias("next_text"), F.lit(False).alias("across"))
+    last = F.struct((2 * F.col("place") + 1).alias("place"), F.lit(1).cast("long").alias("times"), "next_text", "across")
+    each = linked.select("_id", "hi", "lo", "_text", F.explode(F.filter(F.array(like, last), lambda x: x["times"] > 0)).alias("x"))
+    return each.select("_id", "hi", "lo", "x.place", "x.times", "_text", "x.next_text", "x.across")
 
 
 def edited_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +150,7 @@ def edited_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.struct(F.lit(1).alias("variant"), F.substring("_text", F.col("whole") + 1, F.char_length("_text")).alias("part")),
         F.struct(F.lit(2).alias("variant"), F.concat("cut", "taken").alias("part")),
         F.struct(F.lit(3).alias("variant"), F.when(F.col("across"), F.col("next_text")).alias("part")))
-    own = ["_id", "hi", "lo", "place", "n_chars", "edited_sha256"]
+    own = ["_id", "hi", "lo", "place", "times", "n_chars", "edited_sha256"]
     parts = pairs.withColumn("edited_sha256", F.sha2(F.concat("kept", "taken"), 256)).select(
         *own, F.explode(F.filter(variants, lambda v: v["part"].isNotNull())).alias("v")).select(*own, "v.variant", F.col("v.part").alias("_part"))
     lanes = fingerprints(parts, [*own, "variant"], "_part")
@@ -149,6 +160,7 @@ def edited_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edited = merged(merged(F.col("text_lanes"), F.col("f1"), -1), F.col("f2"))
     order = Window.partitionBy("hi", "lo").orderBy("place")
     done = whole.select(*own, "text_lanes", edited.alias("edited_lanes"), F.coalesce("f3", F.lead("text_lanes").over(order)).alias("next_lanes"))
+    done = done.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return done.select(
         F.col("_id").alias(id_col), "n_chars", "edited_sha256", text_of(F.col("text_lanes")).alias("fingerprint"), text_of(F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("text_lanes"), F.col("edited_lanes")).alias("near_edited"), likeness(F.col("text_lanes"), F.col("next_lanes")).alias("near_next"))
