@@ -375,3 +375,15 @@ def test_time_warp_against_numpy(spark):
         drawn = np.interp(np.linspace(0, n - 1, m), np.arange(n), values)
         want = np.interp(np.linspace(0, m - 1, n), np.arange(m), drawn)
         assert np.allclose([got[g, k] for k in range(n)], want)
+
+
+def test_salted_look_ups_are_the_plain_ones(spark, sf_dir):
+    from tramline.plans import fixtures
+
+    points, roads, pois = (f(spark, sf_dir) for f in (fixtures.points, fixtures.roads, fixtures.pois))
+    points = points.limit(300)
+    whole = lambda df: sorted(tuple(r) for r in df.collect())
+    for make in (
+        lambda k: spatial.nearest(points, roads, "seq", "node_id", 150.0, salts=k), lambda k: spatial.road_features(points, roads, pois, "seq", salts=k),
+        lambda k: spatial.poi_features(points, pois, "seq", salts=k), lambda k: spatial.road_density(points, roads, "seq", salts=k)):
+        assert whole(make(5)) == whole(make(1))

@@ -39,9 +39,9 @@ def within(points: DataFrame, targets: DataFrame, key: str, radius: float, stric
     return found.where(F.col("distance") < radius if strict else F.col("distance") <= radius).drop("_cy", "_cx", "_salt", "lat", "lon")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, radius: float, strict: bool = True) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, radius: float, strict: bool = True, salts: int = 1) -> DataFrame:
     """The nearest target of each point that has one within the radius; ties by the lesser target key."""
-    found = within(points, targets, key, radius, strict)
+    found = within(points, targets, key, radius, strict, salts)
     best = F.min(F.struct("distance", target_key, *(c for c in targets.columns if c not in (target_key, "lat", "lon"))))
     return found.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
@@ -50,27 +50,27 @@ def road_class(road_type: Column) -> Column:
     return mapped(road_type, schemas.ROAD_CLASSES, F.lit("unknown"))
 
 
-def road_features(points: DataFrame, roads: DataFrame, pois: DataFrame, key: str) -> DataFrame:
+def road_features(points: DataFrame, roads: DataFrame, pois: DataFrame, key: str, salts: int = 1) -> DataFrame:
     """Road class of each point: nearest road node under 150 m; a bus stop within 50 m turns car into bus."""
-    near = nearest(points, roads, key, "node_id", 150.0).select(key, road_class(F.col("road_type")).alias("near_class"))
-    stops = within(points, pois.where("poi_type = 'bus_stop'"), key, 50.0).select(key).distinct().withColumn("at_stop", F.lit(True))
+    near = nearest(points, roads, key, "node_id", 150.0, salts=salts).select(key, road_class(F.col("road_type")).alias("near_class"))
+    stops = within(points, pois.where("poi_type = 'bus_stop'"), key, 50.0, salts=salts).select(key).distinct().withColumn("at_stop", F.lit(True))
     joined = points.select(key).join(near, key, "left").join(stops, key, "left")
     plain = F.coalesce("near_class", F.lit("unknown"))
     return joined.select(key, plain.alias("near_class"), F.coalesce("at_stop", F.lit(False)).alias("at_stop"),
                          F.when((plain == "car") & F.col("at_stop"), "bus").otherwise(plain).alias("road_class"))
 
 
-def poi_features(points: DataFrame, pois: DataFrame, key: str) -> DataFrame:
+def poi_features(points: DataFrame, pois: DataFrame, key: str, salts: int = 1) -> DataFrame:
     """Whether there is a bus stop, a station, parking within 300 m, and the nearest distance over 200, 0 where none."""
-    found = within(points, pois, key, 300.0).groupBy(key).agg(
+    found = within(points, pois, key, 300.0, salts=salts).groupBy(key).agg(
         *(F.max((F.col("poi_type") == t).cast("int")).alias(f"has_{t}") for t in ("bus_stop", "station", "parking")), (F.min("distance") / 200.0).alias("poi_distance"))
     filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("has_bus_stop", "has_station", "has_parking")]
     return points.select(key).join(found, key, "left").select(key, *filled, F.coalesce("poi_distance", F.lit(0.0)).alias("poi_distance"))
 
 
-def road_density(points: DataFrame, roads: DataFrame, key: str) -> DataFrame:
+def road_density(points: DataFrame, roads: DataFrame, key: str, salts: int = 1) -> DataFrame:
     """Road nodes within 100 m over 50, at most 1."""
-    found = within(points, roads.select("node_id", "lat", "lon"), key, 100.0).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    found = within(points, roads.select("node_id", "lat", "lon"), key, 100.0, salts=salts).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     return points.select(key).join(found, key, "left").select(key, F.least(F.coalesce(F.col("_n") / 50.0, F.lit(0.0)), F.lit(1.0)).alias("road_density"))
 
 
