@@ -2,10 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import pytest
-
 from tramline.llm import collocations as col
-from tramline.llm import queries
 
 
 def brute(rows, least=col.LEAST, top=col.TOP, cover=col.COVER):
@@ -45,9 +42,8 @@ def made(seed, n=300, vocabulary=30, langs=("en", None, "d e", "f\tr%+é", "")):
     return [(draw.choice(langs), text()) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
-    rows = made(seed) + [("en", "big apple " * 40 + "new york city hall, " * 50)] * 2 + [("en", None), ("en", "")]
+def test_against_brute_force(spark):
+    rows = made(1) + [("en", "big apple " * 40 + "new york city hall, " * 50)] * 2 + [("en", None), ("en", "")]
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "lang string, text string, n int, key string").repartition(5)
     assert rows_of(col.mine(frame)) == brute(rows)
     assert rows_of(col.mine(frame, top=7, least=5)) == brute(rows, top=7, least=5)
@@ -102,8 +98,3 @@ def test_very_long_text_and_words(spark):
 
 def test_empty_table(spark):
     assert col.mine(spark.createDataFrame([], "lang string, text string")).count() == 0
-
-
-def test_query(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text").collect()
-    assert rows_of(queries.op12_collocations(spark, sf_dir)) == brute([tuple(d) for d in docs])

@@ -103,7 +103,7 @@ def test_many_equal_rows_are_counted_before_they_are_dealt(spark):
     """Rows alike are one row until the end, and each has its result."""
     from pyspark.sql import functions as F
 
-    n = 150_000
+    n = 10_000
     alike = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text\nof all").alias("text"))
     docs = alike.union(spark.createDataFrame([(3, "other"), (3, "other"), (3, None), (9, "last one")], "doc_id long, text string"))
     linked = fp.with_next(docs)

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tramline.llm import pii, queries
+from tramline.llm import pii
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -94,10 +94,10 @@ def test_long_texts(spark):
 
 def test_very_long_texts(spark):
     # The plain patterns would take the square of these lengths.
-    got = rows(spark, long_texts(500_000))
-    assert [r[:4] for r in got] == [(0, 0, 0, 0)] * 4 + [(0, 125_000, 0, 0), (0, 0, 0, 0), (1, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (5_000, 5_000, 0, 0)]
-    assert got[6][5] == "email:0:2000002" and got[4][5].endswith(",ip:999992:999999")
-    assert got[9][5].split(",")[4_999::5_000] == [f"email:{16 * 4_999 + 9}:{16 * 4_999 + 15}", f"ip:{16 * 4_999}:{16 * 4_999 + 8}"]
+    got = rows(spark, long_texts(200_000))
+    assert [r[:4] for r in got] == [(0, 0, 0, 0)] * 4 + [(0, 50_000, 0, 0), (0, 0, 0, 0), (1, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (2_000, 2_000, 0, 0)]
+    assert got[6][5] == "email:0:800002" and got[4][5].endswith(",ip:399992:399999")
+    assert got[9][5].split(",")[1_999::2_000] == [f"email:{16 * 1_999 + 9}:{16 * 1_999 + 15}", f"ip:{16 * 1_999}:{16 * 1_999 + 8}"]
 
 
 def test_repeated_rows_and_empty_tables(spark):
@@ -106,11 +106,6 @@ def test_repeated_rows_and_empty_tables(spark):
     assert pii.digests(pii.find(frame.limit(0))).count() == 0
 
 
-def test_query(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    assert {r[0]: tuple(r)[1:] for r in queries.op11_pii(spark, sf_dir).collect()} == {r.doc_id: row_of(r.text) for r in docs}
-
-
 @pytest.mark.parametrize("account, good", [("DE89370400440532013000", True), ("GB82WEST12345698765432", True), ("GB82WEST12345698765433", False)])
 def test_mod97(spark, account, good):
     from pyspark.sql import functions as F

@@ -344,8 +344,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Mostly the covered windows follow each other and are one span.
     packed = F.when(ends[1] - ends[0] + 1 == F.size("s"), F.array(span(*ends))).otherwise(F.transform("s", lambda x: span(x, x)))
     # A context is one by its hash and half of its anchor's, 96 bits; that the other half differs would be one more chance in 2**32.
-    placed = found.select("_id", "_t", "pos", "c", F.shiftright("h", 32).cast("int").alias("_a"))
-    covered = lookup(placed, least, "c", "_id").where("a = _a").select("_id", "_t", starts.alias("s")).where("size(s) > 0").select("_id", "_t", F.explode(packed).alias("span"))
+    # The half goes along with the text's number in one long, as rows of these are the most that is dealt here.
+    low = F.lit((1 << 32) - 1)
+    placed = found.select("_id", "pos", "c", F.shiftleft(F.col("_t").cast("long"), 32).bitwiseOR(F.shiftright("h", 32).bitwiseAND(low)).alias("_ta"))
+    covered = lookup(placed, least, "c", "_id").where(F.col("_ta").bitwiseAND(low) == F.col("a").cast("long").bitwiseAND(low))
+    covered = covered.select("_id", F.shiftright("_ta", 32).cast("int").alias("_t"), starts.alias("s")).where("size(s) > 0").select("_id", "_t", F.explode(packed).alias("span"))
 
     spans = covered.groupBy("_id", "_t").agg(F.collect_list("span").alias("spans"))
     return rows.join(spans, ["_id", "_t"], "left").select("_id", "_text", "spans").mapInArrow(
