@@ -100,7 +100,7 @@ def _frequent_words(words: DataFrame, least: int) -> tuple[np.ndarray, int]:
     while bits < min(16 * often.count(), MAX_BITS):
         bits *= 2
     place = F.xxhash64("key").bitwiseAND(F.lit(bits - 1))
-    slots = often.select(F.shiftright(place, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(xxhash64(key) & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    slots = often.select(F.shiftright(place, 6).alias("slot"), F.expr("shiftleft(1L, cast(xxhash64(key) & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
     found, bitmap = slots.toArrow(), np.zeros(bits // 64, np.int64)
     bitmap[found["slot"].to_numpy()] = found["bits"].to_numpy()
     return bitmap.view(np.uint64), bits - 1
