@@ -34,7 +34,10 @@ def reference(rows):
     """One track after the other, point by point."""
     import math
 
-    from tramline.streaming.kinematics import metres
+    def metres(lat1, lon1, lat2, lon2):
+        p1, p2 = math.radians(lat1), math.radians(lat2)
+        a = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+        return 2 * 6371000.0 * math.asin(math.sqrt(min(1.0, a)))
 
     out = []
     for name in {r[0] for r in rows}:

@@ -9,7 +9,6 @@ with the length of a track; tracks without points for an hour of event time are
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,33 +25,21 @@ OUTPUT = "track_id string, seq long, ts timestamp, time_diff double, distance do
 STATE = "lat double, lon double, at double, speed double, total_distance double, total_time double"
 
 
-def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    p1, p2 = math.radians(lat1), math.radians(lat2)
-    a = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_RADIUS * math.asin(math.sqrt(min(1.0, a)))
-
-
 def _update(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
-    last = state.get if state.exists else None
     points = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
-    rows = []
-    for seq, ts, lat, lon in points[["seq", "ts", "lat", "lon"]].itertuples(index=False):
-        at = pd.Timestamp(ts).timestamp()
-        if last is None:
-            gap = moved = speed = push = far = long = 0.0
-        else:
-            gap, moved = at - last[2], metres(last[0], last[1], lat, lon)
-            speed = moved / (gap or LEAST_STEP)
-            push, far, long = (speed - last[3]) / (gap or LEAST_STEP), last[4] + moved, last[5] + gap
-        rows.append((key[0], seq, ts, gap, moved, speed, push, far, long))
-        last = (lat, lon, at, speed, far, long)
-    if last is not None:
-        state.update(tuple(float(x) for x in last))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(last[2] * 1000)) + 3_600_000)
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    if not len(points):
+        return
+    lat0, lon0, at0, speed0, far0, long0 = state.get if state.exists else [0.0] * 6
+    last = (round(at0 * 1e6), lat0, lon0, speed0, 0.0, far0, long0, 0) if state.exists else None
+    at = points["ts"].to_numpy("datetime64[us]").astype("int64")
+    out, end = moved_on(at, points["lat"].to_numpy(float), points["lon"].to_numpy(float), last)
+    state.update((end[1], end[2], end[0] / 1e6, end[3], end[5], end[6]))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), end[0] // 1000) + 3_600_000)
+    told = pd.DataFrame({"track_id": key[0], "seq": points["seq"].to_numpy(), "ts": points["ts"].to_numpy(), **out})
+    yield told[[c.split()[0] for c in OUTPUT.split(", ")]]
 
 
 def stream_kinematics(points: DataFrame, late: str = "10 minutes") -> DataFrame:
