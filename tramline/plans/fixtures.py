@@ -1,7 +1,7 @@
 """Tracks, labels, roads, POIs, weather and predictions derived from the driver's tables.
 
 There is no GPS data at hand. These tables stand in for it: random walks from ``events``,
-road nodes from ``part``, POIs from ``supplier``. oracles.py has the same in SQL.
+road nodes from ``part``, POIs from ``supplier``, weather days from ``orders``. oracles.py has the same in SQL.
 """
 
 from __future__ import annotations
