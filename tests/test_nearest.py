@@ -96,3 +96,10 @@ def test_a_hot_tile_is_many_tasks(spark):
     edges = spark.createDataFrame([(1, "a", 0.0, 0.001, 1.0, 0.001), (2, "b", 0.0, 5.0, 0.0, 6.0)], EDGE)
     found = nearest.nearest_line(points, edges, "k", part=10_000)
     assert found.where("road_id = 1 and abs(distance - 111.3) < 1e-6").count() == 60_000
+
+
+def test_any_line_asks_for_all_points(spark, sf_dir):
+    from tramline.plans import fixtures, queries
+
+    found = queries.QUERIES["geo19_nearest_any_line"](spark, sf_dir)
+    assert found.columns == ["seq", "road_id", "distance"] and found.count() == fixtures.points(spark, sf_dir).count()
