@@ -98,6 +98,14 @@ def test_a_hot_tile_is_many_tasks(spark):
     assert found.where("road_id = 1 and abs(distance - 111.3) < 1e-6").count() == 60_000
 
 
+def test_copies_of_a_piece_are_one(spark, monkeypatch):
+    sizes, tiles = [], nearest._tiles
+    monkeypatch.setattr(nearest, "_tiles", lambda edges, n: sizes.append((n, edges.count())) or tiles(edges, n))
+    points, edges = made(3, 40, 30)
+    check(spark, points, [(road + 1000 * k, kind, *piece) for k in range(5) for road, kind, *piece in edges])
+    assert sizes == [(30, 30)]
+
+
 def test_any_line_asks_for_all_points(spark, sf_dir):
     from tramline.plans import fixtures, queries
 
