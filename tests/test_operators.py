@@ -387,3 +387,13 @@ def test_salted_look_ups_are_the_plain_ones(spark, sf_dir):
         lambda k: spatial.nearest(points, roads, "seq", "node_id", 150.0, salts=k), lambda k: spatial.road_features(points, roads, pois, "seq", salts=k),
         lambda k: spatial.poi_features(points, pois, "seq", salts=k), lambda k: spatial.road_density(points, roads, "seq", salts=k)):
         assert whole(make(5)) == whole(make(1))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_within_a_radius_put_no_piece_into_cells(spark, sf_dir):
+    from tramline.plans import queries
+
+    assert "_cy" not in _plan(queries.QUERIES["geo19_line_within_300m"](spark, sf_dir))
