@@ -397,3 +397,29 @@ def test_lines_within_a_radius_put_no_piece_into_cells(spark, sf_dir):
     from tramline.plans import queries
 
     assert "_cy" not in _plan(queries.QUERIES["geo19_line_within_300m"](spark, sf_dir))
+
+
+def test_targets_repeated_for_cells_are_not_broadcast(spark, sf_dir):
+    from tramline.plans import queries
+
+    assert "BroadcastHashJoin" not in _plan(queries.QUERIES["geo12_road_density"](spark, sf_dir))
+
+
+def _pairs(monkeypatch):
+    """Numbers of targets that ``within`` gets."""
+    seen, plain = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda points, targets, *a, **k: seen.append(targets.count()) or plain(points, targets, *a, **k))
+    return seen
+
+
+def _copied(spark, n):
+    """One point, n roads at one place and another, n bus stops."""
+    points = spark.createDataFrame([(1, 39.9, 116.4)], "seq long, lat double, lon double")
+    roads = spark.createDataFrame([(k, 39.9002, 116.4, "primary") for k in range(n, 0, -1)] + [(0, 39.9, 116.4009, "rail")], "node_id long, lat double, lon double, road_type string")
+    return points, roads, spark.createDataFrame([(k, 39.9001, 116.4, "bus_stop") for k in range(n)], "poi_id long, lat double, lon double, poi_type string")
+
+
+def test_density_counts_all_roads_of_a_place(spark, monkeypatch):
+    points, roads, _ = _copied(spark, 30)
+    seen = _pairs(monkeypatch)
+    assert [r.road_density for r in spatial.road_density(points, roads, "seq").collect()] == [30 / 50] and seen == [2]
