@@ -423,3 +423,9 @@ def test_density_counts_all_roads_of_a_place(spark, monkeypatch):
     points, roads, _ = _copied(spark, 30)
     seen = _pairs(monkeypatch)
     assert [r.road_density for r in spatial.road_density(points, roads, "seq").collect()] == [30 / 50] and seen == [2]
+
+
+def test_nearest_of_roads_at_one_place_is_the_least(spark, monkeypatch):
+    points, roads, _ = _copied(spark, 30)
+    seen = _pairs(monkeypatch)
+    assert [(r.node_id, r.road_type) for r in spatial.nearest(points, roads, "seq", "node_id", 150.0).collect()] == [(1, "primary")] and seen == [2]
