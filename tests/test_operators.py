@@ -429,3 +429,8 @@ def test_nearest_of_roads_at_one_place_is_the_least(spark, monkeypatch):
     points, roads, _ = _copied(spark, 30)
     seen = _pairs(monkeypatch)
     assert [(r.node_id, r.road_type) for r in spatial.nearest(points, roads, "seq", "node_id", 150.0).collect()] == [(1, "primary")] and seen == [2]
+
+
+def test_road_features_of_stops_at_one_place(spark, monkeypatch):
+    seen = _pairs(monkeypatch)
+    assert [tuple(r) for r in spatial.road_features(*_copied(spark, 30), "seq").collect()] == [(1, "car", True, "bus")] and seen == [2, 1]
