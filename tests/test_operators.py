@@ -434,3 +434,9 @@ def test_nearest_of_roads_at_one_place_is_the_least(spark, monkeypatch):
 def test_road_features_of_stops_at_one_place(spark, monkeypatch):
     seen = _pairs(monkeypatch)
     assert [tuple(r) for r in spatial.road_features(*_copied(spark, 30), "seq").collect()] == [(1, "car", True, "bus")] and seen == [2, 1]
+
+
+def test_vector_of_copies_at_one_place(spark, monkeypatch):
+    seen = _pairs(monkeypatch)
+    (row,) = spatial.spatial_vector(*_copied(spark, 30), "seq").collect()
+    assert (row.road_bus, row.has_bus_stop) == (1.0, 1.0) and row.road_density == 30 / 50 and seen == [3]
