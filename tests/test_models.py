@@ -164,3 +164,18 @@ def test_sequence_model_step_by_step(spark):
     kept = models.apply_sequence(frame, "id", ["a", "b"], w, "still", features=True).collect()
     assert len(kept) == 7 and all(len(r.features) == 8 + 4 for r in kept)
     assert models.apply_sequence(frame.limit(0), "id", ["a", "b"], w, "still").count() == 0
+
+
+def _calls(monkeypatch, owner, name):
+    made, plain = [], getattr(owner, name)
+    monkeypatch.setattr(owner, name, lambda *a, **k: made.append(a) or plain(*a, **k))
+    return made
+
+
+def test_statistics_model_makes_no_series(spark, sf_dir, monkeypatch):
+    from tramline.operators import resample
+    from tramline.plans import queries
+
+    made = _calls(monkeypatch, resample, "resample")
+    rows = queries.QUERIES["ml12_softmax_trained"](spark, sf_dir)
+    assert rows.count() > 0 and not made
