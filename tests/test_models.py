@@ -179,3 +179,12 @@ def test_statistics_model_makes_no_series(spark, sf_dir, monkeypatch):
     made = _calls(monkeypatch, resample, "resample")
     rows = queries.QUERIES["ml12_softmax_trained"](spark, sf_dir)
     assert rows.count() > 0 and not made
+
+
+def test_series_go_through_the_recurrent_layers_once(spark, sf_dir, monkeypatch):
+    from tramline.plans import fixtures, queries
+
+    fitted, points = _calls(monkeypatch, models, "fit"), _calls(monkeypatch, fixtures, "segment_points")
+    assert queries.QUERIES["ml8_ml14_sequence_trained"](spark, sf_dir).count() > 0
+    assert len(points) == 1 and len(fitted) == 1
+    assert all("MapInArrow" not in df._jdf.queryExecution().executedPlan().toString() for df in fitted[0][:2])
