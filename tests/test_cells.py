@@ -73,3 +73,13 @@ def test_equal_cells_of_two_versions_and_clearing(spark, tables, tmp_path):
     odd = few.withColumn("lat", F.when(F.col("seq") % 2 == 0, F.col("lat")))
     assert cells.cached_vectors(odd, roads, pois, "seq", path).count() == odd.where("lat is not null").count()
     assert cells.cached_vectors(few.limit(0), roads, pois, "seq", f"{tmp_path}/none").count() == 0
+
+
+def test_new_cells_ask_for_places_not_copies(spark, tmp_path, monkeypatch):
+    seen, within = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda points, targets, *a, **k: seen.append(targets.count()) or within(points, targets, *a, **k))
+    points = spark.createDataFrame([(1, 39.9, 116.4)], "seq long, lat double, lon double")
+    roads = spark.createDataFrame([(k, 39.9002, 116.4, "primary") for k in range(20)], "node_id long, lat double, lon double, road_type string")
+    pois = spark.createDataFrame([(k, 39.9001, 116.4, "bus_stop") for k in range(20)], "poi_id long, lat double, lon double, poi_type string")
+    (row,) = cells.cached_vectors(points, roads, pois, "seq", str(tmp_path)).collect()
+    assert (row.road_bus, row.road_density) == (1.0, 20 / 50) and seen == [2]
