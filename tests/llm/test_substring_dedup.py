@@ -121,6 +121,38 @@ def test_run_hashes_tell_orders_apart():
     assert sd.run_hashes(ids[::-1], 40)[0] != sd.run_hashes(ids, 40)[0]
 
 
+def test_hashes_tell_words_of_all_lengths_apart():
+    words = [b"a", b"a\0", b"abcdefgh", b"abcdefgh\0", b"abcdefghi", b"abcdefghij", b"ijabcdefgh", *(b"x" * k for k in (8, 9, 16, 17, 256, 257, 600)), b"x" * 256 + b"y", "é\u00a0è\u2028".encode()]
+    texts = [b"", b" \t\n", b"\v".join(words), b"\r\n" + b" \f ".join(reversed(words)) + b" ", b"abcdefgh", b"\0"]
+    found, sizes = sd.hashes_of(texts)
+    split = [t.split() for t in texts]
+    assert sizes.tolist() == list(map(len, split)) == [0, 0, len(words), len(words), 1, 1]
+    known = dict(zip((w for t in split for w in t), found.tolist()))
+    assert [known[w] for t in split for w in t] == found.tolist() and len(set(known.values())) == len(known)
+    assert all(sd.hashes_of([w])[0].tolist() == [h] for w, h in known.items())
+    assert [len(x) for x in sd.hashes_of([])] == [0, 0]
+
+
+def test_texts_of_a_batch_are_hashed_together(monkeypatch):
+    import pyarrow as pa
+
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice("ab") for _ in range(draw.randint(0, 30))).encode() for _ in range(400)]
+
+    def anchors(k, texts):
+        kinds = (pa.int64(), pa.int32(), pa.binary())
+        batch = pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip((range(k, k + len(texts)), [0] * len(texts), texts), kinds)], ["_id", "_t", "_text"])
+        return [r for b in sd._find_anchors(6, 3, -1)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+
+    alone = [r for k, t in enumerate(texts) for r in anchors(k, [t])]
+    calls, hashes_of = [], sd.hashes_of
+    monkeypatch.setattr(sd, "hashes_of", lambda x: calls.append(len(x)) or hashes_of(x))
+    # No run and no window reaches from one text into the next.
+    assert anchors(0, texts) == alone and calls == [400]
+    monkeypatch.setattr(sd, "PART", 100)
+    assert anchors(0, texts) == alone and len(calls) > 50
+
+
 def test_very_long_text_and_many_contexts_of_one_passage(spark):
     draw = random.Random(12)
     passage = [f"p{k}" for k in range(60)]

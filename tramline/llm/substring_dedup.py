@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,11 @@ SPREAD = 8
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = (1 << 63) - 1
-#: Words whose hashes a Python worker remembers; longer ones than LONG_WORD bytes are not.
-MAX_WORDS, LONG_WORD = 500_000, 256
+#: Words of more bytes are hashed one by one; texts of about PART bytes are hashed together.
+LONG_WORD, PART = 256, 1 << 20
+#: The bytes between words, and the first 0 to 8 bytes of a number.
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -48,23 +52,40 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
-class WordHashes:
-    """64-bit hashes of words, each word hashed once as a whole."""
+def hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and the number of words of each text.
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        import xxhash
-
-        words, known, long = words_of(text), self.known, {}
-        if len(known) > MAX_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            (known if len(w) <= LONG_WORD else long)[w] = xxhash.xxh3_64_intdigest(w, 8)
-        if long:
-            return np.fromiter((long[w] if w in long else known[w] for w in words), np.uint64, len(words))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    A word's length and its first eight bytes are mixed, then eight more at a time at a mixed joint; a word of more than LONG_WORD bytes is hashed by xxh3.
+    """
+    import xxhash
+
+    raw = b" ".join((b"", *texts, bytes(8)))
+    data = np.frombuffer(raw, np.uint8)
+    apart = SPACE[data]
+    apart[-8:] = True
+    edge = np.flatnonzero(apart[1:] != apart[:-1]) + 1
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    out = _mixed(_mixed(size.astype(np.uint64) * _BASE) + (eight[start] & _FIRST[np.minimum(size, 8)]))
+    some, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(some):
+        out[some] = _mixed(out[some] * _BASE + (eight[start[some] + at] & _FIRST[np.minimum(size[some] - at, 8)]))
+        at += 8
+        some = some[size[some] > at]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : start[k] + size[k]], 8)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return out, np.diff(np.searchsorted(start, ends + 1), prepend=0)
+
+
+def _parts(batch: pa.RecordBatch, texts: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, with about PART bytes of text or a single row."""
+    at, ends = 0, np.cumsum(pc.binary_length(batch.column(texts)).to_numpy(zero_copy_only=False))
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right"))
+        to = min(max(to, at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def run_hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -92,22 +113,28 @@ def _sliding(x: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors_of(ids: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes and context hashes of the anchors of all windows."""
+def anchors_of(ids: np.ndarray, sizes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the texts, positions in them, hashes and context hashes of the anchors of all windows; ids of texts of so many words."""
     n = len(ids)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     grams = run_hashes(ids, anchor)
     size = window - anchor + 1
     least = _sliding(grams, size, np.minimum)
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    # A window over the end of its text is none.
+    least[text[: n - window + 1] != text[window - 1 :]] = 0
     # A run is an anchor if it is the least of a window that it lies in; equal least ones all are.
     pad = np.zeros(size - 1, np.uint64)
     pos = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), size, np.maximum) == grams)
-    start, end = np.maximum(pos - (window - anchor), 0), np.minimum(pos + window, n)
+    pos = pos[(text[pos] == text[pos + anchor - 1]) & (sizes[text[pos]] >= window)]
+    text, begin, stop = text[pos], (ends - sizes)[text[pos]], ends[text[pos]]
+    start, end = np.maximum(pos - (window - anchor), begin), np.minimum(pos + window, stop)
     shape = (pos - start).astype(np.uint64) * np.uint64(1 << 20) + (end - start).astype(np.uint64)
     # The runs at the start, at the anchor and at the end leave no word of the context out.
     around = _mixed(_mixed(grams[start] + shape) * _BASE + grams[end - anchor])
-    return pos, grams[pos], _mixed(around ^ grams[pos])
+    return text, pos - begin, grams[pos], _mixed(around ^ grams[pos])
 
 
 class SuffixAutomaton:
@@ -136,18 +163,23 @@ class SuffixAutomaton:
         return short
 
     def add(self, words: list[int], document: int) -> None:
-        last = 0
+        edges, link, length, least, last = self.next, self.link, self.length, self.least, 0
         for word in words:
-            if (q := self.next[last].get(word)) is not None:
-                last = self._split(last, q, word)
-                self.least[last] = min(self.least[last], document)
+            if (q := edges[last].get(word)) is not None:
+                last = q if length[last] + 1 == length[q] else self._split(last, q, word)
+                if document < least[last]:
+                    least[last] = document
                 continue
-            new, p = self._state(self.length[last] + 1, 0, {}, document), last
-            while p >= 0 and word not in self.next[p]:
-                self.next[p][word] = new
-                p = self.link[p]
+            new, p = len(edges), last
+            edges.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            least.append(document)
+            while p >= 0 and word not in edges[p]:
+                edges[p][word] = new
+                p = link[p]
             if p >= 0:
-                self.link[new] = self._split(p, self.next[p][word], word)
+                link[new] = self._split(p, edges[p][word], word)
             last = new
 
     def close(self) -> None:
@@ -162,11 +194,11 @@ class SuffixAutomaton:
         out, v, size = [], 0, 0
         link, length, least, edges = self.link, self.length, self.least, self.next
         for k, word in enumerate(words, 1):
-            while v and word not in edges[v]:
+            while (to := edges[v].get(word)) is None and v:
                 v = link[v]
                 size = length[v]
-            if word in edges[v]:
-                v = edges[v][word]
+            if to is not None:
+                v = to
                 size += 1
             while size >= window and length[link[v]] >= window:
                 v = link[v]
@@ -178,16 +210,12 @@ class SuffixAutomaton:
 
 def _find_anchors(window: int, anchor: int, no_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                known = zip(part.column(0).to_numpy(), part.column(2))
-                found = [anchors_of(hashes.of(t.as_py() if i != no_id else None), window, anchor) for i, t in known]
-                size = [len(f[0]) for f in found]
-                pos, h, c = (np.concatenate([f[k] for f in found]) for k in range(3))
+            for part in _parts(batch, 2, 512):
+                doc, t = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                text, pos, h, c = anchors_of(*hashes_of([x.as_py() if i != no_id else b"" for i, x in zip(doc, part.column(2))]), window, anchor)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), size), pa.int64()), pa.array(np.repeat(part.column(1).to_numpy(zero_copy_only=False), size), pa.int32()),
+                    pa.array(doc[text], pa.int64()), pa.array(t[text], pa.int32()),
                     pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], ["_id", "_t", "pos", "h", "c"])
 
     return run
@@ -201,12 +229,12 @@ def _contexts(window: int, anchor: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part, out = batch.slice(lo, 64), []
-                for doc, text, wanted in zip(*(x.to_pylist() for x in part.columns)):
-                    ids = hashes.of(text)
+            for part in _parts(batch, 1, 64):
+                docs, texts, all_wanted = (x.to_pylist() for x in part.columns)
+                hashes, sizes = hashes_of(texts)
+                out = []
+                for doc, ids, wanted in zip(docs, np.split(hashes, np.cumsum(sizes)[:-1]), all_wanted):
                     for w in wanted:
                         pos = w["pos"]
                         left = ids[max(pos - (window - anchor), 0) : pos]
@@ -311,8 +339,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in a document of a smaller id; windows are those of the input. Kept words are joined by
     single spaces. Null texts have no words. Rows of one id never count as earlier than
     each other; a row with a null id stays whole and is no reference (and -2**63 is no id). Other columns are
-    ignored. Words and runs are compared by 64-bit hashes, contexts by 96 bits; a word is hashed by xxh3 as
-    a whole, runs by mixing at each joint.
+    ignored. Words and runs are compared by 64-bit hashes, contexts by 96 bits; words and runs are hashed by
+    mixing at each joint, of eight bytes or two runs (words of over LONG_WORD bytes by xxh3).
     """
     if window > 2 * anchor or anchor > window:
         raise ValueError("an anchor has at least half of the words of a window, and at most all of them")
